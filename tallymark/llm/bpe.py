@@ -40,7 +40,7 @@ NEVER = np.int64(1 << 40)
 #: Cached pieces per worker, and the longest piece that is cached.
 CACHE_PIECES = 250_000
 CACHE_LENGTH = 64
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Code points that the regex module's newer Unicode counts as letters or
 #: numbers and the tokenizers library does not.
 _LATER = (

@@ -90,6 +90,16 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names))
 
 
-def distinct_names(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the wanted columns, so that extra columns of any name cannot clash."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null included) is in ``kept``."""
+    name = fresh(docs, "kept_id")
+    ids = kept.select(F.col("doc_id").alias(name))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

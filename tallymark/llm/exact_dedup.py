@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ascii_lower, bounded_batches, staged, utf8
+from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_ids, staged, utf8
 
 #: Fingerprints an owner holds at most, on average.
 OWNER_LOAD = 500_000
@@ -165,11 +165,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     kept = group_equal(docs).where("kept")
     if not _repeats_ids(docs):
-        ids = kept.select(F.col("doc_id").alias("_id"))
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    pairs = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    named = docs.withColumn("_sha", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
-    return named.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+        return keep_ids(docs, kept)
+    sha, one, two = fresh(docs, "text_sha"), fresh(docs, "kept_id"), fresh(docs, "kept_sha")
+    pairs = kept.select(F.col("doc_id").alias(one), F.col("text_sha256").alias(two))
+    named = docs.withColumn(sha, F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
+    return named.join(pairs, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(sha) == F.col(two)), "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 def _repeats_ids(docs: DataFrame) -> bool:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, utf8
+from .common import bounded_batches, keep_ids, staged, utf8
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -180,8 +180,7 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     A doc_id with several rows stays if any of its rows is kept.
     """
-    kept = judge(docs, min_docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return keep_ids(docs, judge(docs, min_docs).where("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

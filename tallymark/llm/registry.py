@@ -8,6 +8,7 @@ from importlib import import_module
 #: query name -> module of this subpackage with query() and perhaps ORACLE_SQL
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op3_mixing": "mixing",
     "op5_bpe": "bpe",
     "op7_near_dedup": "near_dedup",
     "op10_quality_rules": "quality_rules",
