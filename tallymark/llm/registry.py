@@ -9,6 +9,7 @@ from importlib import import_module
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
     "op3_mixing": "mixing",
+    "op4_url_filters": "url_filters",
     "op5_bpe": "bpe",
     "op7_near_dedup": "near_dedup",
     "op10_quality_rules": "quality_rules",
