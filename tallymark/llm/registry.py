@@ -8,10 +8,12 @@ from importlib import import_module
 #: query name -> module of this subpackage with query() and perhaps ORACLE_SQL
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_quality_classifier": "quality_classifier",
     "op3_mixing": "mixing",
     "op4_url_filters": "url_filters",
     "op5_bpe": "bpe",
     "op7_near_dedup": "near_dedup",
+    "op9_language_id": "language_id",
     "op10_quality_rules": "quality_rules",
 }
 
