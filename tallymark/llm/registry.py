@@ -12,6 +12,7 @@ MODULES = {
     "op3_mixing": "mixing",
     "op4_url_filters": "url_filters",
     "op5_bpe": "bpe",
+    "op6_lm_scoring": "lm_scoring",
     "op7_near_dedup": "near_dedup",
     "op9_language_id": "language_id",
     "op10_quality_rules": "quality_rules",
