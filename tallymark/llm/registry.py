@@ -14,6 +14,7 @@ MODULES = {
     "op5_bpe": "bpe",
     "op6_lm_scoring": "lm_scoring",
     "op7_near_dedup": "near_dedup",
+    "op8_html_text": "html_text",
     "op9_language_id": "language_id",
     "op10_quality_rules": "quality_rules",
 }
