@@ -1,11 +1,14 @@
-"""The queries over the evaluation tables and the SQL that checks them."""
+"""All queries over the evaluation tables and the SQL that checks them."""
 
 from __future__ import annotations
 
+from . import confusion_queries, threshold_queries  # noqa: F401
+from .base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
