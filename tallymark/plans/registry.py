@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import confusion_queries, ranking_queries, threshold_queries  # noqa: F401
+from . import confusion_queries, matching_queries, ranking_queries, scalar_queries, threshold_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
