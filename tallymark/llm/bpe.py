@@ -40,6 +40,8 @@ NEVER = np.int64(1 << 40)
 #: Cached pieces per worker, and the longest piece that is cached.
 CACHE_PIECES = 250_000
 CACHE_LENGTH = 64
+SHORT_WORD = 150
+_LAST = 1 << 40
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Code points that the regex module's newer Unicode counts as letters or
 #: numbers and the tokenizers library does not.
@@ -167,8 +169,11 @@ class Encoder:
         self.ids = {b: i for i, b in enumerate(tables.token_bytes) if b and i not in set(tables.special.values())}
         self.longest: dict[bytes, int] = {}
         for b in self.ids:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
+            if len(b) > 3:
+                self.longest[b[:4]] = max(self.longest.get(b[:4], 3), len(b))
         self.pairs = {int(k): (int(r), int(n)) for k, r, n in zip(tables.pair_keys, tables.pair_rank, tables.pair_new)}
+        self.rank = {k: r for k, (r, _) in self.pairs.items()}
+        self.made = dict(self.pairs.values())
         self.known_good = np.zeros(0, np.int64)
         self.known_bad = np.zeros(0, np.int64)
         self.texts = [str(i).encode() + b"," for i in range(self.size)]
@@ -180,7 +185,7 @@ class Encoder:
         out, i, n = [], 0, len(word)
         ids, longest = self.ids, self.longest
         while i < n:
-            for j in range(min(n, i + longest.get(word[i : i + 2], 1)), i, -1):
+            for j in range(min(n, i + longest.get(word[i : i + 4], 3)), i, -1):
                 token = ids.get(word[i:j])
                 if token is not None:
                     out.append(token)
@@ -190,9 +195,26 @@ class Encoder:
                 raise ValueError("the vocabulary lacks a byte")
         return out
 
+    def merge_short(self, word: bytes) -> list[int]:
+        """The merges themselves on lists, which is faster for words of usual length."""
+        size, rank = self.size, self.rank.get
+        seq = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        ranks = [rank(a * size + b, _LAST) for a, b in zip(seq, seq[1:])]
+        while ranks and (least := min(ranks)) < _LAST:
+            i = ranks.index(least)
+            made = seq[i] = self.made[least]
+            del seq[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(seq[i - 1] * size + made, _LAST)
+            if i < len(ranks):
+                ranks[i] = rank(made * size + seq[i + 1], _LAST)
+        return seq
+
     def merge_exactly(self, word: bytes) -> list[int]:
-        """The merges themselves: lowest rank first, leftmost of equals, O(n log n)."""
+        """The merges themselves: lowest rank first, leftmost of equals; O(n log n) for long words."""
         self.exact_words += 1
+        if len(word) <= SHORT_WORD:
+            return self.merge_short(word)
         seq = [self.ids[word[i : i + 1]] for i in range(len(word))]
         n = len(seq)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n

@@ -38,7 +38,7 @@ from .common import bounded_batches, crc_mod, utf8
 BITS = 18
 SAMPLE_DOCS = 2_000
 MIN_SHARE = 0.002
-MAX_SHARE = 0.2
+MAX_SHARE = 0.4
 MAX_GRADES = 20
 PREFIXES = (4, 5, 6)
 EPOCHS = 30
