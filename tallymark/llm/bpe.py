@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 NEVER = np.int64(1 << 40)
-#: Cached pieces per worker, and the longest piece that is cached.
-CACHE_PIECES = 250_000
+#: Pieces in each of the two generations of a worker's cache, and the longest piece that is cached.
+CACHE_PIECES = 400_000
+CACHE_WORDS = 400_000
 CACHE_LENGTH = 64
 SHORT_WORD = 150
 _LAST = 1 << 40
+_SHORT = (3, 2, 1)
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Code points that the regex module's newer Unicode counts as letters or
 #: numbers and the tokenizers library does not.
@@ -69,6 +71,8 @@ _WORDS_LATER = _word_pattern(rf"[\p{{L}}--[{_LATER}]]", rf"[\p{{N}}--[{_LATER}]]
 
 
 def split_words(piece: str) -> list[str]:
+    if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece]
     return (_WORDS if piece.isascii() or not _HAS_LATER.search(piece) else _WORDS_LATER).findall(piece)
 
 
@@ -160,17 +164,43 @@ def border_holds(t: Tables, a: np.ndarray, b: np.ndarray, until: np.ndarray | No
     return holds
 
 
+class Cache:
+    """Results of pieces in two generations: the older one goes when the newer one is full, and what is used moves up."""
+
+    def __init__(self):
+        self.new: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def find(self, pieces: set[str]) -> tuple[dict[str, object], list[str]]:
+        new, old, found, missing = self.new, self.old, {}, []
+        for p in pieces:
+            if (v := new.get(p)) is None:
+                if (v := old.get(p)) is None:
+                    missing.append(p)
+                    continue
+                new[p] = v
+            found[p] = v
+        return found, missing
+
+    def add(self, results: dict[str, object]) -> None:
+        self.new.update((p, v) for p, v in results.items() if len(p) <= CACHE_LENGTH)
+        if len(self.new) > CACHE_PIECES:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
-    """Encodes texts; remembers distinct pieces up to a fixed number."""
+    """Encodes texts; words and pairs seen before are remembered up to fixed numbers."""
 
     def __init__(self, tables: Tables):
         self.t = tables
         self.size = len(tables.birth)
         self.ids = {b: i for i, b in enumerate(tables.token_bytes) if b and i not in set(tables.special.values())}
-        self.longest: dict[bytes, int] = {}
+        # lengths of the tokens that begin with four given bytes, longest first
+        lengths: dict[bytes, set[int]] = {}
         for b in self.ids:
             if len(b) > 3:
-                self.longest[b[:4]] = max(self.longest.get(b[:4], 3), len(b))
+                lengths.setdefault(b[:4], {3, 2, 1}).add(len(b))
+        self.lengths = {b: tuple(sorted(ls, reverse=True)) for b, ls in lengths.items()}
         self.pairs = {int(k): (int(r), int(n)) for k, r, n in zip(tables.pair_keys, tables.pair_rank, tables.pair_new)}
         self.rank = {k: r for k, (r, _) in self.pairs.items()}
         self.made = dict(self.pairs.values())
@@ -183,13 +213,13 @@ class Encoder:
 
     def propose(self, word: bytes) -> list[int]:
         out, i, n = [], 0, len(word)
-        ids, longest = self.ids, self.longest
+        ids, lengths = self.ids, self.lengths
         while i < n:
-            for j in range(min(n, i + longest.get(word[i : i + 4], 3)), i, -1):
-                token = ids.get(word[i:j])
+            for size in lengths.get(word[i : i + 4], _SHORT):
+                token = ids.get(word[i : i + size])
                 if token is not None:
                     out.append(token)
-                    i = j
+                    i += size
                     break
             else:
                 raise ValueError("the vocabulary lacks a byte")
@@ -284,46 +314,42 @@ class Encoder:
                     runs.append(part.split(" "))
         return runs
 
-    def learn(self, texts: set[str], into: dict[str, object], result: Callable[[list[int]], object]) -> None:
-        """Encode new pieces into a cache of results."""
-        order = list(texts)
-        split = [split_words(p) for p in order]
-        fresh = list({w for ws in split for w in ws if w not in self.words})
-        self.words.update(zip(fresh, self.encode_words(fresh)))
-        for p, ws in zip(order, split):
-            into[p] = result([t for w in ws for t in self.words[w]])
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
-
-    def encode_batch(self, texts: list[str], result: Callable[[list[int]], object], cache: dict[str, object]) -> list[list[object]]:
-        """For each text the results of its pieces in order. ``cache`` maps pieces with their blank to results."""
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
+    def learn(self, texts: list[str], result: Callable[[list[int]], object]) -> dict[str, object]:
+        """Encode new pieces; the result of each."""
+        split = [split_words(p) for p in texts]
+        words = self.words
+        fresh = list({w for ws in split for w in ws if w not in words})
+        words.update(zip(fresh, self.encode_words(fresh)))
+        out = {p: result(words[ws[0]] if len(ws) == 1 else [t for w in ws for t in words[w]]) for p, ws in zip(texts, split)}
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        return out
+
+    def encode_batch(self, texts: list[str], result: Callable[[list[int]], object], cache: Cache) -> list[list[object]]:
+        """For each text the results of its pieces in order."""
         cut = [self.pieces(t) for t in texts]
-        for t in self.t.special:
-            cache.setdefault("\0special" + t, result([self.t.special[t]]))
         firsts = {r[0] for runs in cut for r in runs if r[0]}
-        rests = {p for runs in cut for r in runs if r[0] is not None for p in r[1:]}
-        fresh = {p for p in firsts if p not in cache} | {q for p in rests if (q := " " + p) not in cache}
-        self.learn(fresh, cache, result)
-        get = {p: cache[" " + p] for p in rests}
+        rests = {" " + p for p in set().union(*(r[1:] for runs in cut for r in runs if r[0] is not None))}
+        get, missing = cache.find(firsts | rests)
+        get |= (fresh := self.learn(missing, result))
+        cache.add(fresh)
+        special = {t: result([i]) for t, i in self.t.special.items()}
+        after = {p[1:]: get[p] for p in rests}
         out = []
         for runs in cut:
             found: list[object] = []
             for r in runs:
                 if r[0] is None:
-                    found.append(cache["\0special" + r[1]])
+                    found.append(special[r[1]])
                     continue
                 if r[0]:
-                    found.append(cache[r[0]])
-                found.extend(map(get.__getitem__, r[1:]))
+                    found.append(get[r[0]])
+                found.extend(map(after.__getitem__, r[1:]))
             out.append(found)
-        for p in [p for p in fresh if len(p) > CACHE_LENGTH]:
-            del cache[p]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.encode_batch([text], list, {})[0] for i in piece]
+        return [i for piece in self.encode_batch([text], list, Cache())[0] for i in piece]
 
 
 def decode(tables: Tables, ids) -> str:
@@ -332,16 +358,28 @@ def decode(tables: Tables, ids) -> str:
 
 
 def _small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about 4 MB of text."""
+    """Batches of about 8 MB of text."""
     for batch in batches:
-        rows = max(1, min(batch.num_rows, int(batch.num_rows * (4 << 20) / max(batch.nbytes, 1))))
+        rows = max(1, min(batch.num_rows, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1))))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
 
 
+_kept: list[tuple[Tables, str, Encoder, Cache]] = []
+
+
+def _encoder_of(tables: Tables, kind: str) -> tuple[Encoder, Cache]:
+    """This worker's encoder and cache for a vocabulary, kept from task to task."""
+    for held, name, encoder, cache in _kept:
+        if held is tables and name == kind:
+            return encoder, cache
+    _kept[:] = [(tables, kind, Encoder(tables), Cache())]
+    return _kept[0][2:]
+
+
 def _encoding(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = Encoder(shared.value), {}
+        encoder, cache = _encoder_of(shared.value, "ids")
         for batch in _small_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = [[i for p in found for i in p] for found in encoder.encode_batch(texts, list, cache)]
@@ -362,7 +400,7 @@ def _digesting(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     """Encode, decode the ids, and digest both; a piece's ids are decoded when the piece is new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = Encoder(shared.value), {}
+        encoder, cache = _encoder_of(shared.value, "digests")
         names, raw = encoder.texts, encoder.t.token_bytes
 
         def result(ids: list[int]) -> tuple[int, bytes, bytes]:
