@@ -33,6 +33,8 @@ from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_ids,
 
 #: Fingerprints an owner holds at most, on average.
 OWNER_LOAD = 500_000
+#: Suspect ids that may be broadcast to filter the scan of texts (8 bytes each).
+BROADCAST_IDS = 500_000
 
 
 def rice_parameter(n: int, span_bits: int) -> int:
@@ -146,13 +148,17 @@ def group_equal(docs: DataFrame, bits: int = 64) -> DataFrame:
     marked = staged(marked, "dedup-marked")
 
     suspects = marked.where("suspect")
-    wanted = suspects.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(ascii_lower(F.col("text")).cast("binary").alias("bytes"))
+    wanted = staged(suspects.select(F.col("doc_id").alias("_id")).distinct(), "dedup-wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)  # else all texts are shuffled to the ids
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    normal = found.select(ascii_lower(F.col("text")).cast("binary").alias("bytes"))
     # grouping by the bytes is the verification; a digest with two texts must not happen silently
     verified = normal.groupBy("bytes").agg(F.lit(1).alias("one")).select(F.unhex(F.sha2("bytes", 256)).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_texts"))
     counts = suspects.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best"))
     groups = counts.join(verified, "digest").select("digest", "group_size", "best", F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts share one SHA-256 digest"))).otherwise(F.lit(True)).alias("sound"))
-    repeated = suspects.join(groups.where("sound"), "digest").select("row", "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
+    groups = staged(groups.where("sound"), "dedup-groups")  # of its own exchange, so that a hot group's rows can be split
+    repeated = suspects.join(groups, "digest").select("row", "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
     single = marked.where("not suspect").select("row", "doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return repeated.unionByName(single).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
