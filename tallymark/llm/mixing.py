@@ -119,9 +119,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     sums = staged(ranged.groupBy("lane", "range").agg(F.sum("chars").alias("chars")), "mix-sums")
     totals = {r["lane"]: r["chars"] for r in sums.groupBy("lane").agg(F.sum("chars").alias("chars")).collect()}
     names = {i: s for s, i in own.items()}
-    by_lane = _whole_weights({names.get(lane, ""): n for lane, n in totals.items()} if weights is None else {names.get(lane, "\0shared"): n for lane, n in totals.items()}, weights)
+    name_of = lambda lane: names.get(lane, "\0shared")
+    by_lane = _whole_weights({name_of(lane): n for lane, n in totals.items()}, weights)
     lanes = sorted(totals)
-    lane_weights = [by_lane[names.get(lane, "" if weights is None else "\0shared")] for lane in lanes]
+    lane_weights = [by_lane[name_of(lane)] for lane in lanes]
     plan = phases(lane_weights, [(totals[lane] - 1) // block_chars + 1 for lane in lanes])
     table = spark.createDataFrame(
         [(p, lanes[i], w, q, a, b, s, list(slots)) for p, i, w, q, a, b, s, slots in plan],
