@@ -1,13 +1,15 @@
 """Corpus pipeline: quality rules, exact dedup, near-dedup, mixing, encoding.
 
 Every stage works on all that its predecessor kept and is written as Parquet before
-the next one reads it. The digests of the last stage carry the mixture's order in
-their files.
+the next one reads it. Reading does not keep the order of several files, so the mixing
+stage writes each row's slot and order_key, and the last stage returns them with the
+digests: by (slot, order_key, doc_id) they are in the mixture's order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallymark.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 from tallymark.llm.common import staged
@@ -26,11 +28,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs.drop("slot", "order_key"), with_place=True)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs)
+    # rows that repeat a doc_id share its place
+    place = docs.select(F.col("doc_id").cast("long").alias("_id"), "slot", "order_key").distinct()
+    digests = bpe.round_trip(docs)
+    return digests.join(place, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 STAGES = [

@@ -144,13 +144,17 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     )
 
 
-def in_mixed_order(docs: DataFrame, weights: dict | None = None) -> DataFrame:
-    """The documents, range-partitioned and sorted so that they are read in the mixture's order."""
+def in_mixed_order(docs: DataFrame, weights: dict | None = None, with_place: bool = False) -> DataFrame:
+    """The documents, range-partitioned and sorted in the mixture's order.
+
+    Readers of several files may take them in another order; ``with_place`` adds the
+    columns slot and order_key, by which (then doc_id) the rows are in the mixture's order.
+    """
     name, place = fresh(docs, "mixed_id"), fresh(docs, "mixed_at")
     at = mix(docs.select("doc_id", "text", "source"), weights).groupBy(F.col("doc_id").alias(name)).agg(F.min(F.struct("slot", "order_key")).alias(place))
     placed = docs.join(at, F.col("doc_id").eqNullSafe(F.col(name)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, place, name).sortWithinPartitions(place, name).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return placed.repartitionByRange(parts, place, name).sortWithinPartitions(place, name).select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(f"{place}.slot"), F.col(f"{place}.order_key")] if with_place else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

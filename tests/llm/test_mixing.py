@@ -70,3 +70,20 @@ def test_shared_lane(spark):
     out = mixing.mix(make(spark, rows), block_chars=100, max_lanes=4).collect()
     assert sorted(r["doc_id"] for r in out) == list(range(20))
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+
+
+def test_pipeline_returns_the_mixed_order(spark):
+    import corpus_pipeline
+    from tallymark.llm import mixing
+    from tallymark.llm.common import staged
+
+    rows = [(i, f"text {i} " * (1 + i % 90 * 40), f"s{i % 3}") for i in range(300)] + [(None, "none", "s1"), (7, "again", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    mixed = staged(corpus_pipeline.mixing_stage(spark, docs, ""), "test-mixed")
+    assert len(mixed.inputFiles()) > 1
+    got = corpus_pipeline.encoding_stage(spark, mixed, "").orderBy("slot", "order_key", "doc_id").collect()
+    at = {}
+    for r in mixing.mix(docs).collect():
+        at[r["doc_id"]] = min(at.get(r["doc_id"], (r["slot"], r["order_key"])), (r["slot"], r["order_key"]))
+    assert len(got) == len(rows) and len({r["slot"] for r in got}) > 3
+    assert all((r["slot"], r["order_key"]) == at[r["doc_id"]] for r in got)
