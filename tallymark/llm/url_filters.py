@@ -6,12 +6,12 @@ validity intervals [since, until), and every capture is evaluated as of its fetc
 against the entries that were active then.
 
 A URL is looked up under its host, under each parent domain of two labels or more, and
-under the host with each of its first ``MAX_PATH`` path segments. Of the active
+under the host with each of its path prefixes, as deep as the list's keys go. Of the active
 entries the most specific key decides (longest path, then longest host); without one
 the capture is allowed. A key's entries of equal time: block wins over allow, allow
-over remove. ``MAX_HOST`` and ``MAX_PATH`` bound the look-ups of one URL: of a longer
-host the last ``MAX_HOST`` labels are looked up besides the host itself, and deeper
-path prefixes than ``MAX_PATH`` are rejected in lists with an error.
+over remove. ``MAX_HOST`` and ``MAX_PATH`` are the depths that are looked up at least;
+a list with deeper keys is looked up to its greatest depth. The host of a key is
+lower-cased, its path is taken as written.
 
 The join is an equality on the key with the interval as a residual; intervals of one
 key do not overlap, so a look-up gives at most one row, however hot its host is.
@@ -42,17 +42,17 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys_of(url: str) -> Column:
+def keys_of(url: str, max_host: int = MAX_HOST, max_path: int = MAX_PATH) -> Column:
     """Array of structs (key, rank) under which a URL is looked up; a higher rank is more specific."""
     labels = "split(host, '[.]')"
     parents = (
-        f"transform(sequence(2, greatest(2, least({MAX_HOST}, size({labels}) - 1))), "
+        f"transform(sequence(2, greatest(2, least({max_host}, size({labels}) - 1))), "
         f"n -> struct(array_join(slice({labels}, greatest(size({labels}) - n + 1, 1), n), '.') as key, n as rank))"
     )
     parents = f"case when size({labels}) > 2 then {parents} else array() end"
     segments = "filter(split(path, '/'), s -> s <> '')"
     paths = (
-        f"transform(sequence(1, greatest(1, least({MAX_PATH}, size({segments})))), "
+        f"transform(sequence(1, greatest(1, least({max_path}, size({segments})))), "
         f"n -> struct(concat(host, '/', array_join(slice({segments}, 1, n), '/')) as key, 1000 + n as rank))"
     )
     paths = f"case when size({segments}) > 0 then {paths} else array() end"
@@ -61,10 +61,10 @@ def keys_of(url: str) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, action, since, until) of the dated entries (key, action, listed_at)."""
-    depth = F.size(F.split("key", "/")) - 1
-    checked = entries.where("key is not null and listed_at is not null").select(F.lower("key").alias("key"), "action", "listed_at", F.when(depth > MAX_PATH, F.raise_error(F.lit(f"a list key has more than {MAX_PATH} path segments"))).alias("_bad"))
+    host = F.substring_index("key", "/", 1)
+    checked = entries.where("key is not null and listed_at is not null").select(F.concat(F.lower(host), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)")).alias("key"), "action", "listed_at")
     order = F.expr("case action when 'block' then 2 when 'allow' then 1 else 0 end")
-    one = checked.groupBy("key", "listed_at").agg(F.max(F.struct(order.alias("o"), "action")).alias("a"), F.max("_bad").alias("_bad")).where("_bad is null")
+    one = checked.groupBy("key", "listed_at").agg(F.max(F.struct(order.alias("o"), "action")).alias("a"))
     until = F.lead("listed_at").over(W.partitionBy("key").orderBy("listed_at"))
     spans = one.select("key", F.col("a.action").alias("action"), F.col("listed_at").alias("since"), until.alias("until"))
     return spans.where("action in ('block', 'allow')")
@@ -72,8 +72,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched_at, matched_key, action and allowed of every capture (page_id, url, fetched_at)."""
+    labels, segments = F.size(F.split(F.substring_index("key", "/", 1), "[.]")), F.size(F.split("key", "/")) - 1
+    deepest = entries.agg(F.max(labels).alias("host"), F.max(segments).alias("path")).first()
+    depths = max(MAX_HOST, deepest["host"] or 0), max(MAX_PATH, deepest["path"] or 0)
     base = captures.select("page_id", "url", "fetched_at", F.monotonically_increasing_id().alias("row"))
-    looked = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("keys", keys_of("url"))
+    looked = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("keys", keys_of("url", *depths))
     asked = looked.select("page_id", "url", "fetched_at", "row", F.explode_outer("keys").alias("k")).select("page_id", "url", "fetched_at", "row", "k.key", "k.rank")
     spans = intervals(entries).withColumnRenamed("key", "list_key")
     active = (F.col("key") == F.col("list_key")) & (F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))

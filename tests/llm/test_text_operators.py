@@ -249,3 +249,16 @@ def test_as_of_filter(spark):
     assert got == sorted((r[0], r[3]) for r in pages)
     assert url_filters.evaluate(p.limit(0), e).count() == 0
     assert all(r["allowed"] for r in url_filters.evaluate(p, e.limit(0)).collect())
+
+
+def test_mixed_case_paths_and_deep_keys(spark):
+    at = datetime(2024, 1, 1)
+    entries = [("Example.com/Shop", "block", at), ("b.c.d.e.f.g.org", "block", at), ("deep.org/1/2/3/4/5", "block", at)]
+    pages = [
+        (1, "https://example.COM/Shop/x", at, False), (2, "https://example.com/shop/x", at, True), (3, "https://z.a.b.c.d.e.f.g.org/", at, False),
+        (4, "https://c.d.e.f.g.org/", at, True), (5, "https://deep.org/1/2/3/4/5/6", at, False), (6, "https://deep.org/1/2/3/4", at, True),
+    ]
+    p = spark.createDataFrame([r[:3] for r in pages], "page_id long, url string, fetched_at timestamp")
+    e = spark.createDataFrame(entries, "key string, action string, listed_at timestamp")
+    got = {r["page_id"]: r["allowed"] for r in url_filters.evaluate(p, e).collect()}
+    assert got == {r[0]: r[3] for r in pages}
