@@ -98,8 +98,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null included) is in ``kept``."""
-    name = fresh(docs, "kept_id")
-    ids = kept.select(F.col("doc_id").alias(name))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+def keep_rows(docs: DataFrame, kept: DataFrame, of_row: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` that agree with one of ``kept`` in doc_id and the columns computed by ``of_row`` (nulls included)."""
+    names = {c: fresh(docs, f"kept_{c}") for c in kept.columns}
+    ids = kept.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    mine = {"doc_id": F.col("doc_id"), **of_row}
+    same = [mine[c].eqNullSafe(F.col(n)) for c, n in names.items()]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    return docs.join(ids, condition, "left_semi")

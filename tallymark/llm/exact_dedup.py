@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_ids, staged, utf8
+from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_rows, staged, utf8
 
 #: Fingerprints an owner holds at most, on average.
 OWNER_LOAD = 500_000
@@ -164,23 +164,14 @@ def group_equal(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns.
-
-    Where doc_id does not name a row uniquely, rows are told apart by their text too, at
-    the price of a shuffle of all texts.
-    """
-    kept = group_equal(docs).where("kept")
-    if not _repeats_ids(docs):
-        return keep_ids(docs, kept)
-    sha, one, two = fresh(docs, "text_sha"), fresh(docs, "kept_id"), fresh(docs, "kept_sha")
-    pairs = kept.select(F.col("doc_id").alias(one), F.col("text_sha256").alias(two))
+    """The documents that stay, with their columns; of rows equal in doc_id and text one stays."""
+    groups = group_equal(docs)
+    kept = groups.where("kept").select("doc_id", "text_sha256")
+    single = groups.where("group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty()
+    sha = fresh(docs, "text_sha")
     named = docs.withColumn(sha, F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
-    return named.join(pairs, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(sha) == F.col(two)), "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
-
-
-def _repeats_ids(docs: DataFrame) -> bool:
-    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("m")).first()
-    return ids["n"] != ids["m"]
+    found = keep_rows(named, kept, {"text_sha256": F.col(sha)})
+    return (found if single else found.dropDuplicates(["doc_id", sha])).drop(sha)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
