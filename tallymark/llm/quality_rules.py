@@ -2,11 +2,18 @@
 
 Every document gets integer counts; each (language, source) pair gets a mergeable
 quantile sketch per measure, and a document is rejected when a measure lies beyond
-the far fence of its own group. The sketch is a log-linear histogram: exact below
-128, then 64 buckets per power of two, so two sketches merge by adding counts, the
-result does not depend on how rows were partitioned, and a quantile is off by less
-than 1/64 of its value. Groups with fewer than ``min_docs`` documents use the merged
-sketch of their language, and failing that of all documents.
+the limit of its own group. The sketch is a log-linear histogram: exact below 128, then
+64 buckets per power of two, so two sketches merge by adding counts, the result does
+not depend on how rows were partitioned, and a quantile is off by less than 1/64 of its
+value. Each language's sketch is merged with the one of all documents, scaled down to
+``shrink`` documents, and each group's with its language's, scaled alike: small groups
+lean on their language, large ones on themselves.
+
+Limits come from the percentiles of the merged sketch, by their distance d from the
+median: where d + slack grows at least ``JUMP``-fold from one percentile to the next,
+the group has a far part, and the limit is the geometric middle of the widest such jump;
+else it is ``FAR`` times the distance of the 99th (or 1st) percentile, plus the slack. The
+slack of a measure is what one chance event adds in a text of ``MIN_WORDS`` words.
 
 Defined cases: null or empty text has no words and fails the base rule; null language
 or source forms a group of its own; repeated rows count once each; an empty table
@@ -32,14 +39,17 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_DOCS = 200
-FENCE = 3
-#: measure -> (numerator, per how many words, least upper limit, greatest lower limit)
+SHRINK = 50
+JUMP = 3
+FAR = 3
+#: Weight of one document in a merged sketch; whole numbers keep the merge exact.
+UNIT = 1024
+#: measure -> (numerator, per how many words, slack, whether small values are limited too)
 MEASURES = {
-    "repeat": ("n_repeat_words", 1000, 400, None),
-    "symbol": ("n_symbols", 1000, 100, None),
-    "dup_line": ("n_dup_lines", 1000, 60, None),
-    "word_len": ("word_chars", 100, 1000, 300),
+    "repeat": ("n_repeat_words", 1000, 120, False),
+    "symbol": ("n_symbols", 1000, 20, False),
+    "dup_line": ("n_dup_lines", 1000, 20, False),
+    "word_len": ("word_chars", 100, 20, True),
 }
 
 
@@ -75,14 +85,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         counts = [count_text(t) for t in batch.column("text").to_pylist()]
         columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(COUNTS))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("source"), *columns], names=["doc_id", "lang", "source", *COUNTS])
+        keys = ["doc_id", "lang", "source", "text_hash"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *columns], names=[*keys, *COUNTS])
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the five counts of every row."""
+    """doc_id, lang, source, a hash of the text and the five counts of every row."""
     bounded_batches(docs.sparkSession)
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"), "lang", "source").mapInArrow(_count_batches, schema)
+    schema = "doc_id long, lang string, source string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
+    return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"), F.xxhash64("text").alias("text_hash"), "lang", "source").mapInArrow(_count_batches, schema)
 
 
 def base_failed() -> Column:
@@ -90,7 +101,7 @@ def base_failed() -> Column:
 
 
 def measure(name: str) -> Column:
-    numerator, per, _, _ = MEASURES[name]
+    numerator, per, *_ = MEASURES[name]
     return F.expr(f"{numerator} * {per} div greatest(n_words, 1)")
 
 
@@ -113,74 +124,83 @@ def sketches(counted: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "measure", bucket("v").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def merged(sketch: DataFrame) -> DataFrame:
-    """The sketches at three levels: 0 group, 1 language, 2 everything."""
-    keys = ["level", "lang", "source", "measure"]
-    levels = sketch.select(
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("level"), F.col("lang"), F.col("source")),
-            F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")),
-            F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")),
-        )).alias("g"), "measure", "bucket", "n",
-    ).select("g.level", "g.lang", "g.source", "measure", "bucket", "n")
-    return levels.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-
-
-def quartiles(sketch: DataFrame) -> DataFrame:
-    """First and third quartile and size of every merged sketch."""
-    keys = ["level", "lang", "source", "measure"]
-    running = sketch.select("*", F.sum("n").over(W.partitionBy(*keys).orderBy("bucket")).alias("upto"), F.sum("n").over(W.partitionBy(*keys)).alias("size"))
-    top = bucket_top("bucket")
-    return running.groupBy(*keys).agg(
-        F.max("size").alias("size"),
-        F.min(F.when(4 * F.col("upto") >= F.col("size"), top)).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("size"), top)).alias("q3"),
+def merged(sketch: DataFrame, shrink: int) -> DataFrame:
+    """(lang, source, measure, bucket, w): each group's sketch with its language's added, and that with all documents'."""
+
+    def level(*keys: str) -> DataFrame:
+        return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+    def lean(own: DataFrame, on: DataFrame, keys: list[str], shared: list[str]) -> DataFrame:
+        """``own`` sketches by ``keys``, and those of ``on`` (weights w) scaled to ``shrink`` documents beside each."""
+        total = on.groupBy(*shared, "measure").agg(F.sum("w").alias("whole"))
+        mine = own.select(*keys, "measure").distinct()
+        behind = on.join(total, [*shared, "measure"]).select(*shared, "measure", "bucket", F.expr(f"{shrink * UNIT} * w div whole").alias("w"))
+        beside = mine.join(behind, [*shared, "measure"]).select(*keys, "measure", "bucket", "w")
+        weighed = own.select(*keys, "measure", "bucket", (F.col("n") * UNIT).alias("w"))
+        return weighed.unionByName(beside).groupBy(*keys, "measure", "bucket").agg(F.sum("w").alias("w"))
+
+    whole = level().withColumn("w", F.col("n") * UNIT).drop("n")
+    # joins by name need keys without nulls
+    keyed = lambda df, *keys: df.withColumns({f"_{k}": F.concat(F.when(F.col(k).isNull(), "n").otherwise("v"), F.coalesce(F.col(k), F.lit(""))) for k in keys})
+    sketch = keyed(sketch, "lang", "source")
+    langs = lean(level("_lang"), whole, ["_lang"], [])
+    groups = lean(level("_lang", "_source"), langs, ["_lang", "_source"], ["_lang"])
+    plain = lambda k: F.when(F.substring(f"_{k}", 1, 1) == "v", F.expr(f"substring(_{k}, 2)")).alias(k)
+    return groups.select(plain("lang"), plain("source"), "measure", "bucket", "w")
+
+
+def percentiles(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, p, top): the percentiles 1 to 99 of every merged sketch."""
+    keys = ["lang", "source", "measure"]
+    whole = W.partitionBy(*keys)
+    running = sketch.select(*keys, bucket_top("bucket").alias("top"), "w", F.sum("w").over(whole.orderBy("bucket")).alias("upto"), F.sum("w").over(whole).alias("size"))
+    spread = running.select(*keys, "top", F.expr("100 * (upto - w) div size + 1").alias("first"), F.expr("least(99, 100 * upto div size)").alias("last"))
+    return spread.where("first <= last").select(*keys, F.explode(F.sequence("first", "last")).alias("p"), "top")
+
+
+def thresholds(counted: DataFrame, shrink: int = SHRINK) -> DataFrame:
+    """One row per (lang, source): lower and upper limit of each measure, from the percentiles of its merged sketch."""
+    keys = ["lang", "source", "measure"]
+    whole = W.partitionBy(*keys)
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("top"))).over(whole)
+    slack = F.coalesce(*[F.when(F.col("measure") == name, F.lit(slack)) for name, (_, _, slack, _) in MEASURES.items()])
+    rows = percentiles(merged(sketches(counted), shrink)).select(
+        *keys, "p", "top", F.lead("top").over(whole.orderBy("p")).alias("above"), F.lag("top").over(whole.orderBy("p")).alias("below"), at(1).alias("least"), at(50).alias("mid"), at(99).alias("most"), slack.alias("slack"),
     )
-
-
-def thresholds(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per (lang, source): lower and upper limit of each measure."""
-    q = quartiles(merged(sketches(counted)))
-    group = q.where("level = 0").alias("g")
-    lang = q.where("level = 1").alias("l")
-    whole = q.where("level = 2").alias("w")
-    both = group.join(lang, (F.col("g.measure") == F.col("l.measure")) & F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(whole, F.col("g.measure") == F.col("w.measure"))
-
-    def pick(name: str) -> Column:
-        return F.when(F.col("g.size") >= min_docs, F.col(f"g.{name}")).when(F.col("l.size") >= min_docs, F.col(f"l.{name}")).otherwise(F.col(f"w.{name}"))
-
-    limits = both.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.measure").alias("measure"), pick("q1").alias("q1"), pick("q3").alias("q3"))
-    upper = F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))
-    lower = F.col("q1") - FENCE * (F.col("q3") - F.col("q1"))
-    per_measure = []
-    for name, (_, _, floor, ceiling) in MEASURES.items():
-        mine = F.col("measure") == name
-        per_measure.append(F.max(F.when(mine, F.greatest(upper, F.lit(floor)))).alias(f"{name}_upper"))
-        if ceiling is not None:
-            per_measure.append(F.max(F.when(mine, F.least(lower, F.lit(ceiling)))).alias(f"{name}_lower"))
+    near_up, far_up = F.col("top") - F.col("mid") + F.col("slack"), F.col("above") - F.col("mid") + F.col("slack")
+    near_low, far_low = F.col("mid") - F.col("top") + F.col("slack"), F.col("mid") - F.col("below") + F.col("slack")
+    jump = lambda near, far, inside: F.max(F.when(inside, F.struct((far / near).alias("ratio"), (-F.abs(F.col("p") - 50)).alias("place"), (near * far).alias("square"))))
+    best = rows.groupBy(*keys, "least", "mid", "most", "slack").agg(
+        jump(near_up, far_up, (F.col("p") >= 50) & F.col("above").isNotNull()).alias("up"), jump(near_low, far_low, (F.col("p") <= 50) & F.col("below").isNotNull()).alias("low"),
+    )
+    middle = lambda side: F.sqrt(F.col(f"{side}.square").cast("double"))
+    limits = best.select(
+        *keys,
+        F.when(F.col("up.ratio") >= JUMP, F.col("mid") - F.col("slack") + F.floor(middle("up"))).otherwise(F.col("mid") + FAR * (F.col("most") - F.col("mid")) + F.col("slack")).alias("upper"),
+        F.when(F.col("low.ratio") >= JUMP, F.col("mid") + F.col("slack") - F.floor(middle("low"))).otherwise(F.col("mid") - FAR * (F.col("mid") - F.col("least")) - F.col("slack")).alias("lower"),
+    )
+    per_measure = [F.max(F.when(F.col("measure") == name, F.col("upper"))).alias(f"{name}_upper") for name in MEASURES]
+    per_measure += [F.max(F.when(F.col("measure") == name, F.col("lower"))).alias(f"{name}_lower") for name, (*_, both) in MEASURES.items() if both]
     return limits.groupBy("lang", "source").agg(*per_measure)
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def judge(docs: DataFrame, shrink: int = SHRINK) -> DataFrame:
     """Counts, base rule, group limits and verdict for every document."""
     counted = staged(document_counts(docs), "quality-counts")
-    limits = thresholds(counted, min_docs)
-    l = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    l = thresholds(counted, shrink).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     joined = counted.join(l, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     fine = F.lit(True)
-    for name, (_, _, _, ceiling) in MEASURES.items():
+    for name, (*_, both) in MEASURES.items():
         fine = fine & (measure(name) <= F.col(f"{name}_upper"))
-        if ceiling is not None:
+        if both:
             fine = fine & (measure(name) >= F.col(f"{name}_lower"))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", F.when(base_failed(), False).otherwise(F.coalesce(fine, F.lit(True))))
 
 
-def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents whose verdict is kept, with their columns.
-
-    A doc_id with several rows stays if any of its rows is kept.
-    """
-    return keep_ids(docs, judge(docs, min_docs).where("kept"))
+def keep_good(docs: DataFrame, shrink: int = SHRINK) -> DataFrame:
+    """The documents whose verdict is kept, with their columns; rows that share a doc_id are judged each."""
+    kept = judge(docs, shrink).where("kept").select("doc_id", "lang", "source", "text_hash")
+    return keep_rows(docs, kept, {"lang": F.col("lang"), "source": F.col("source"), "text_hash": F.xxhash64("text")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -188,15 +208,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-_LIMITS = ",\n".join(
-    f"max(case when measure = '{m}' then greatest(q3 + {FENCE} * (q3 - q1), {up}) end) as {m}_upper"
-    + (f",\nmax(case when measure = '{m}' then least(q1 - {FENCE} * (q3 - q1), {lo}) end) as {m}_lower" if lo is not None else "")
-    for m, (_, _, up, lo) in MEASURES.items()
-)
-_VALUES = " union all ".join(f"select lang, source, '{m}' as measure, ({num} * {per}) // greatest(n_words, 1) as v from good" for m, (num, per, _, _) in MEASURES.items())
+_LIMITS = ", ".join(f"max(upper) filter (where measure = '{m}') as {m}_upper, max(lower) filter (where measure = '{m}') as {m}_lower" for m in MEASURES)
+_VALUES = " union all ".join(f"select lang, source, '{m}' as measure, ({num} * {per}) // greatest(n_words, 1) as v from good" for m, (num, per, *_) in MEASURES.items())
 _FINE = " and ".join(
-    f"({num} * {per}) // greatest(n_words, 1) <= {m}_upper" + (f" and ({num} * {per}) // greatest(n_words, 1) >= {m}_lower" if lo is not None else "") for m, (num, per, _, lo) in MEASURES.items()
+    f"({num} * {per}) // greatest(n_words, 1) <= {m}_upper" + (f" and ({num} * {per}) // greatest(n_words, 1) >= {m}_lower" if both else "") for m, (num, per, _, both) in MEASURES.items()
 )
+_SLACK = "case measure " + " ".join(f"when '{m}' then {slack}" for m, (_, _, slack, _) in MEASURES.items()) + " end"
 ORACLE_SQL = f"""
 with d as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select doc_id, lang, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws from d),
@@ -216,15 +233,31 @@ b as (select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PER
 good as (select * from b where not base_failed),
 vals as ({_VALUES}),
 bk as (select lang, source, measure, 64 * greatest(length(bin(v)) - 7, 0) + (v >> greatest(length(bin(v)) - 7, 0)) as bucket from vals),
-lev as (select 0 as level, lang, source, measure, bucket from bk union all select 1, lang, null, measure, bucket from bk union all select 2, null, null, measure, bucket from bk),
-sk as (select level, lang, source, measure, bucket, count(*) as n from lev group by all),
-run as (select *, sum(n) over (partition by level, lang, source, measure order by bucket) as upto, sum(n) over (partition by level, lang, source, measure) as size,
-  case when bucket < 128 then bucket else ((bucket - 64 * (bucket // 64 - 1) + 1) << (bucket // 64 - 1)::int) - 1 end as top from sk),
-qs as (select level, lang, source, measure, max(size) as size, min(top) filter (where 4 * upto >= size) as q1, min(top) filter (where 4 * upto >= 3 * size) as q3 from run group by all),
-pick as (select g.lang, g.source, g.measure,
-  case when g.size >= {MIN_DOCS} then g.q1 when l.size >= {MIN_DOCS} then l.q1 else a.q1 end as q1,
-  case when g.size >= {MIN_DOCS} then g.q3 when l.size >= {MIN_DOCS} then l.q3 else a.q3 end as q3
-  from qs g join qs l on l.level = 1 and l.measure = g.measure and l.lang is not distinct from g.lang join qs a on a.level = 2 and a.measure = g.measure where g.level = 0),
+sk as (select lang, source, measure, bucket, count(*) as n from bk group by all),
+wn as (select measure, bucket, sum(n) as n, sum(sum(n)) over (partition by measure) as whole from sk group by measure, bucket),
+ln as (select lang, measure, bucket, sum(n) * {UNIT} as w from sk group by lang, measure, bucket
+  union all select l.lang, w.measure, w.bucket, ({SHRINK * UNIT} * w.n * {UNIT}) // (w.whole * {UNIT}) from (select distinct lang, measure from sk) l join wn w using (measure)),
+lw as (select lang, measure, bucket, sum(w) as w, sum(sum(w)) over (partition by lang, measure) as whole from ln group by lang, measure, bucket),
+gn as (select lang, source, measure, bucket, n * {UNIT} as w from sk
+  union all select g.lang, g.source, g.measure, l.bucket, ({SHRINK * UNIT} * l.w) // l.whole from (select distinct lang, source, measure from sk) g join lw l on l.measure = g.measure and l.lang is not distinct from g.lang),
+gw as (select lang, source, measure, bucket, sum(w)::bigint as w from gn group by lang, source, measure, bucket),
+run as (select *, (sum(w) over (partition by lang, source, measure order by bucket))::bigint as upto, (sum(w) over (partition by lang, source, measure))::bigint as size,
+  case when bucket < 128 then bucket else ((bucket - 64 * (bucket // 64 - 1) + 1) << (bucket // 64 - 1)::int) - 1 end as top from gw),
+pc as (select lang, source, measure, top, unnest(range((100 * (upto - w)) // size + 1, least(99, (100 * upto) // size) + 1)) as p from run),
+pr as (select *, lead(top) over (partition by lang, source, measure order by p) as above, lag(top) over (partition by lang, source, measure order by p) as below,
+  {_SLACK} as slack,
+  max(top) filter (where p = 1) over (partition by lang, source, measure) as least, max(top) filter (where p = 50) over (partition by lang, source, measure) as mid,
+  max(top) filter (where p = 99) over (partition by lang, source, measure) as most from pc),
+up as (select lang, source, measure, (above - mid + slack)::double / (top - mid + slack) as ratio, (above - mid + slack) * (top - mid + slack) as square,
+  row_number() over (partition by lang, source, measure order by (above - mid + slack)::double / (top - mid + slack) desc, p) as k from pr where p >= 50 and above is not null),
+low as (select lang, source, measure, (mid - below + slack)::double / (mid - top + slack) as ratio, (mid - below + slack) * (mid - top + slack) as square,
+  row_number() over (partition by lang, source, measure order by (mid - below + slack)::double / (mid - top + slack) desc, p desc) as k from pr where p <= 50 and below is not null),
+each as (select distinct lang, source, measure, least, mid, most, slack from pr),
+pick as (select e.lang, e.source, e.measure,
+  case when u.ratio >= {JUMP} then mid - slack + floor(sqrt(u.square::double)) else mid + {FAR} * (most - mid) + slack end as upper,
+  case when l.ratio >= {JUMP} then mid + slack - floor(sqrt(l.square::double)) else mid - {FAR} * (mid - least) - slack end as lower
+  from each e left join up u on u.k = 1 and u.measure = e.measure and u.lang is not distinct from e.lang and u.source is not distinct from e.source
+  left join low l on l.k = 1 and l.measure = e.measure and l.lang is not distinct from e.lang and l.source is not distinct from e.source),
 lim as (select lang, source, {_LIMITS} from pick group by lang, source)
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   case when base_failed then false else coalesce({_FINE}, true) end as kept

@@ -49,10 +49,10 @@ def test_counts_of_a_text():
 def test_rules_keep_good_and_drop_odd(spark):
     rows = make_rows(300) + [(500 + i, " ".join(f"w{k}###" for k in range(80)), "en", "s0", None, "m", "b") for i in range(5)] + ODD
     docs = docs_of(spark, rows)
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs, min_docs=50).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     assert all(got[i]["kept"] for i in range(300) if i != 3) and not any(got[500 + i]["kept"] for i in range(5))
     assert got[9001]["base_failed"] and got[9002]["n_words"] == 0 and got[9004]["n_words"] == 40_000
-    kept = quality_rules.keep_good(docs, min_docs=50)
+    kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() >= 299
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
@@ -65,6 +65,32 @@ def test_sketch_merges_and_bounds_error(spark):
     assert all(r["v"] <= r["top"] <= r["v"] * (1 + 1 / 64) + 1 for r in tops)
 
 
+def test_limits_follow_the_source(spark):
+    """The same share of symbols is normal in one source and far out in the other, in both directions."""
+    rnd = random.Random(12)
+    words = lambda marks: " ".join(f"w{rnd.randrange(10_000)}" + ("#" if k < marks else "") for k in range(100))
+    rows = [(i, words(rnd.randint(28, 34)), "en", "code", None, "", "") for i in range(300)] + [(1000 + i, words(0), "en", "prose", None, "", "") for i in range(300)]
+    rows += [(5000, words(30), "en", "code", None, "", ""), (5001, words(30), "en", "prose", None, "", ""), (5002, words(100) + " " + "###### " * 60, "en", "code", None, "", "")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs_of(spark, rows)).collect()}
+    assert got[5000]["kept"] and not got[5001]["kept"] and not got[5002]["kept"]
+    assert got[5000]["symbol_upper"] > 300 > got[5001]["symbol_upper"]
+    assert sum(got[r[0]]["kept"] for r in rows[:600]) == 600
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rnd = random.Random(13)
+    words = lambda marks: " ".join(f"w{rnd.randrange(10_000)}" + ("#" if k < marks else "") for k in range(100))
+    rows = [(i, words(0), "en", "big", None, "", "") for i in range(400)] + [(1000 + i, words(40 if i == 1 else 0), "en", "small", None, "", "") for i in range(3)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs_of(spark, rows)).collect()}
+    assert not got[1001]["kept"] and got[1000]["kept"] and got[1002]["kept"]
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    rows = make_rows(100) + [(5, "one word", "en", "s1", None, "m", "b")]
+    kept = quality_rules.keep_good(docs_of(spark, rows)).where("doc_id = 5").collect()
+    assert [r["text"] for r in kept] == [rows[5][1]]
+
+
 # --- BPE
 
 
