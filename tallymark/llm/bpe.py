@@ -30,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 NEVER = np.int64(1 << 40)
-#: Pieces in each of the two generations of a worker's cache, and the longest piece that is cached.
-CACHE_PIECES = 400_000
+#: Pieces that a worker remembers (in each of the two generations of a Cache at most as many), words, and the longest piece that is cached.
+CACHE_PIECES = 1_000_000
 CACHE_WORDS = 400_000
 CACHE_LENGTH = 64
 SHORT_WORD = 150
@@ -365,21 +366,21 @@ def _small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch.slice(i, rows)
 
 
-_kept: list[tuple[Tables, str, Encoder, Cache]] = []
+_kept: list[tuple[Tables, type, object]] = []
 
 
-def _encoder_of(tables: Tables, kind: str) -> tuple[Encoder, Cache]:
-    """This worker's encoder and cache for a vocabulary, kept from task to task."""
-    for held, name, encoder, cache in _kept:
-        if held is tables and name == kind:
-            return encoder, cache
-    _kept[:] = [(tables, kind, Encoder(tables), Cache())]
-    return _kept[0][2:]
+def _kept_for(tables: Tables, kind: type, make: Callable[[], object]) -> object:
+    """This worker's object of a kind for a vocabulary, kept from task to task."""
+    for held, name, value in _kept:
+        if held is tables and name is kind:
+            return value
+    _kept[:] = [(tables, kind, make())]
+    return _kept[0][2]
 
 
 def _encoding(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = _encoder_of(shared.value, "ids")
+        encoder, cache = _kept_for(shared.value, Cache, lambda: (Encoder(shared.value), Cache()))
         for batch in _small_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = [[i for p in found for i in p] for found in encoder.encode_batch(texts, list, cache)]
@@ -396,24 +397,107 @@ def _decoding(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+class Digests:
+    """Numbers, written ids and decoded bytes of distinct pieces, kept from batch to batch up to a fixed number.
+
+    Pieces are cut and numbered by Arrow and laid out by Arrow, so that Python only meets
+    the distinct pieces of a batch, and encodes only those that are new.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.cache = encoder, Cache()
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, int] = {"": 0}  # without a blank before
+        self.later: dict[str, int] = {}
+        self.n = np.zeros(1, np.int64)
+        self.ids = self.back = pa.array([b""], pa.large_binary())
+
+    def result(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        names, raw = self.encoder.texts, self.encoder.t.token_bytes
+        return len(ids), b"".join([names[i] for i in ids]), b"".join([raw[i] for i in ids])
+
+    def _add(self, results: list[tuple[int, bytes, bytes]]) -> None:
+        n, ids, back = zip(*results)
+        self.n = np.concatenate([self.n, np.array(n, np.int64)])
+        self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.large_binary())])
+        self.back = pa.concat_arrays([self.back, pa.array(back, pa.large_binary())])
+
+    def _numbers(self, known: dict[str, int], pieces: list[str], blank: str) -> np.ndarray:
+        found = list(map(known.get, pieces))
+        new = [i for i, k in enumerate(found) if k is None]
+        if new:
+            size = len(self.n)
+            learnt = self.encoder.learn([blank + pieces[i] for i in new], self.result)
+            self._add([learnt[blank + pieces[i]] for i in new])
+            for k, i in enumerate(new, size):
+                found[i] = k
+                if len(pieces[i]) <= CACHE_LENGTH:
+                    known[pieces[i]] = k
+        return np.array(found, np.int64)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, Iterator[memoryview], Iterator[memoryview]]:
+        """For each text the number of tokens, the written ids (a comma after each) and the decoded bytes."""
+        if len(self.n) > CACHE_PIECES:
+            self.forget()
+        encoder, texts = self.encoder, texts.fill_null("")
+        plain = texts.to_pylist()
+        # texts with special tokens or with blanks that begin no usual word are cut by the encoder
+        odd = [i for i, t in enumerate(plain) if _IRREGULAR.search(t) or (encoder.special and encoder.special.search(t))]
+        if odd:
+            usual = np.ones(len(plain), bool)
+            usual[odd] = False
+            texts = pc.if_else(pa.array(usual), texts, "")
+        lists = pc.split_pattern(texts, " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        starts -= starts[0]
+        first = np.zeros(len(codes), bool)
+        first[starts[:-1]] = True
+        number = np.zeros((2, max(len(distinct), 1)), np.int64)
+        for row, known, mine, blank in ((0, self.first, first, ""), (1, self.later, ~first, " ")):
+            present = np.flatnonzero(np.bincount(codes[mine], minlength=len(distinct)))
+            number[row, present] = self._numbers(known, [distinct[c] for c in present.tolist()], blank)
+        pieces = number[(~first).astype(np.int64), codes]
+        n, ids, back = self.n, self.ids, self.back
+        if odd:
+            parts = [pieces[i:j] for i, j in zip(starts[:-1], starts[1:])]
+            for i, found in zip(odd, encoder.encode_batch([plain[i] for i in odd], self.result, self.cache)):
+                parts[i] = np.arange(len(n), len(n) + len(found))
+                if found:
+                    m, x, y = zip(*found)
+                    n = np.concatenate([n, np.array(m, np.int64)])
+                    ids, back = pa.concat_arrays([ids, pa.array(x, pa.large_binary())]), pa.concat_arrays([back, pa.array(y, pa.large_binary())])
+            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+            pieces = np.concatenate(parts)
+        counts = np.diff(np.concatenate([[0], np.cumsum(n[pieces])])[starts])
+        return counts, _laid_out(ids, pieces, starts), _laid_out(back, pieces, starts)
+
+
+def _laid_out(results: pa.Array, pieces: np.ndarray, starts: np.ndarray) -> Iterator[memoryview]:
+    """The bytes of each text: the results of its pieces after each other."""
+    laid = results.take(pa.array(pieces))
+    _, offsets, data = laid.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(laid) + 1)[starts] if len(laid) else np.zeros(len(starts), np.int64)
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return (whole[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()))
+
+
 def _digesting(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Encode, decode the ids, and digest both; a piece's ids are decoded when the piece is new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = _encoder_of(shared.value, "digests")
-        names, raw = encoder.texts, encoder.t.token_bytes
-
-        def result(ids: list[int]) -> tuple[int, bytes, bytes]:
-            return len(ids), b"".join([names[i] for i in ids]), b"".join([raw[i] for i in ids])
-
+        digests = _kept_for(shared.value, Digests, lambda: Digests(Encoder(shared.value)))
         for batch in _small_batches(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = []
-            for found in encoder.encode_batch(texts, result, cache):
-                n, ids, back = zip(*found) if found else ((), (), ())
-                text = b"".join(back).decode("utf-8", "replace").encode()
-                rows.append((sum(n), hashlib.sha256(b"".join(ids)[:-1]).hexdigest(), hashlib.sha256(text).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            counts, written, decoded = digests.of(batch.column("text"))
+            columns = [
+                pa.array(counts),
+                pa.array([hashlib.sha256(w[:-1]).hexdigest() for w in written], pa.string()),
+                pa.array([hashlib.sha256(bytes(d).decode("utf-8", "replace").encode()).hexdigest() for d in decoded], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
