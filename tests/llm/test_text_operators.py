@@ -107,6 +107,36 @@ def texts_of_all_kinds():
     return texts + ["", "<|endoftext|>", "a<|endoftext|> b", " " * 500, "a" * 3000, "\U000190b6揌ò9", "the house's café isn't"]
 
 
+def test_bpe_digests_equal_library(spark, monkeypatch):
+    """The three columns that the query returns, with a store of pieces that is forgotten again and again."""
+    import hashlib
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    texts = texts_of_all_kinds() + [None, "x y", "x y", " ".join(f"w{i}" for i in range(30_000))]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def want(text):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        return len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(docs).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+    assert bpe.round_trip(docs.limit(0)).count() == 0
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    digests = bpe.Digests(bpe.Encoder(bpe.load_tables(bpe.default_vocabulary())))
+    for i in range(0, len(texts), 40):
+        part = texts[i : i + 40]
+        counts, written, decoded = digests.of(pa.array(part, pa.string()))
+        rows = zip(counts.tolist(), (hashlib.sha256(w[:-1]).hexdigest() for w in written), (sha(bytes(d).decode("utf-8", "replace")) for d in decoded))
+        assert list(rows) == [want(t) for t in part]
+
+
 def test_bpe_equals_library(tables):
     from tokenizers import Tokenizer
 
