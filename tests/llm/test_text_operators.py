@@ -250,7 +250,7 @@ def test_base_score_and_probabilities(spark):
 def test_bits_of_words_are_a_distribution():
     words = [b"tion", b"the", b"thing", b"and", b"an"] * 3
     times = np.arange(1, 16)
-    table = np.zeros((len(lm_scoring.ORDERS), 1 << lm_scoring.SLOT_BITS, 2), np.int64)
+    table = np.zeros((len(lm_scoring.ORDERS), 1 << 16, 2), np.int64)
     lm_scoring.count_bits(words, times, table)
     mixer = lm_scoring.train_mixer(words, times, table)
     one_byte = [bytes([b]) for b in range(256) if b != 32]
@@ -260,9 +260,117 @@ def test_bits_of_words_are_a_distribution():
 
 
 def test_packing():
-    ids, counts = np.array([0, 5, 900_000]), np.array([1, 70_000, 3])
-    a, b = lm_scoring.unpack(lm_scoring.pack(ids, counts))
-    assert (a == ids).all() and (b == counts).all()
+    ids = np.array([0, 5, 900_000, 5])
+    assert (lm_scoring.unpack(lm_scoring.pack(ids)) == ids).all() and len(lm_scoring.unpack(lm_scoring.pack(ids[:0]))) == 0
+
+
+def slow_decisions(words):
+    """(decision, outcome, contexts) of every binary decision of a text, word by word, and how the rest is coded."""
+    L, m = lm_scoring, 2**64
+    mul, step = int(L._MUL), int(L._STEP)
+    salt = lambda kind, k: (kind * L.CONTEXTS + k + 1) * 0x2545F4914F6CDD1D % m
+    slot = lambda x, bits: ((x ^ (x >> 32)) * step % m) >> (64 - bits)
+    after_one, after_two, seen, coded, rows = {}, {}, Counter(), [], []
+    for t, w in enumerate(words):
+        one, two = words[t - 1] if t >= 1 else None, words[t - 2] if t >= 2 else None
+        h1, h2 = 0 if one is None else L.word_hash(one), 1 if two is None else L.word_hash(two)
+        state = (coded[t - 1] if t >= 1 else 0) * 5 + (coded[t - 2] if t >= 2 else 0)
+        state = state * 32 + min(int(math.log2(t + 1)), 31)
+        a, b = after_two.get((two, one)) if t >= 2 else None, after_one.get(one) if t >= 1 else None
+        how = None
+        for kind, cand in ((0, a), (1, b if b != a else None)):
+            if how is None and cand is not None:
+                rows.append((t, kind, int(cand == w), [(h1 + salt(kind, 0)) * mul % m, (L.word_hash(cand) + salt(kind, 1)) * mul % m, (state + salt(kind, 2)) * mul % m]))
+                how = kind + 1 if cand == w else None
+        if how is None and t:
+            rows.append((t, 2, int(seen[w] > 0), [(h1 + salt(2, 0)) * mul % m, (h1 * 257 + h2 + salt(2, 1)) * mul % m, (state + salt(2, 2)) * mul % m]))
+            how = 3 if seen[w] else None
+        coded.append(how or 4)
+        if t >= 2:
+            after_two[two, one] = w
+        if t >= 1:
+            after_one[one] = w
+        seen[w] += 1
+    return rows, coded, slot
+
+
+def test_score_equals_a_slow_model(spark):
+    """The whole score, decision by decision in plain Python; only the spelling of unknown words is taken from the operator."""
+    L = lm_scoring
+    rnd = random.Random(21)
+    vocabulary = [b"w%d" % i for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(vocabulary).decode() if rnd.random() < 0.8 else f"n{rnd.randrange(10**6)}" for _ in range(rnd.randint(0, 200))), "en", "s", None, "", "") for i in range(60)]
+    rows.append((1000, " ".join(["a b c d"] * 60), "en", "s", None, "", ""))
+    texts = {r[0]: r[1].encode().split() for r in rows}
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % 10}
+    slow = {i: slow_decisions(w) for i, w in texts.items()}
+    size = 16
+    tables = [Counter(), Counter(), Counter()]
+    for i in train:
+        for _, _, bit, contexts in slow[i][0]:
+            for k, x in enumerate(contexts):
+                tables[k][slow[i][2](x, size), bit] += 1
+    counts = Counter(w for i in train for w in texts[i])
+    n, ends = sum(counts.values()), len(train)
+    fresh = sum(sum(c == 4 for c in slow[i][1]) for i in train)
+    once = sum(c == 1 for c in counts.values())
+    got = {r["doc_id"]: r for r in L.score_documents(docs_of(spark, rows)).collect()}
+    for i, words in texts.items():
+        decisions, coded, slot = slow[i]
+        if not all(w in counts for w in words):
+            continue  # has words to spell, which test_bits_of_words is about
+        weights, record = {}, {}
+        total, p_end = 0.0, (ends + 1) / (n + ends + 2)
+        for step in range(0, len(words), L.STEP):
+            moves = []
+            for t, kind, bit, contexts in decisions:
+                if not step <= t < step + L.STEP:
+                    continue
+                seen = [(tables[k][slot(x, size), 0], tables[k][slot(x, size), 1]) for k, x in enumerate(contexts)]
+                x = [math.log((b + 0.4) / (a + 0.4)) if a + b else 0.0 for a, b in seen] + [1.0]
+                gate = (kind, sum(v != 0 for v in x[:-1]))
+                w = weights.get(gate, [L.FIRST_WEIGHT] * L.CONTEXTS + [0.0])
+                hits, ones, sure = record.get(gate, (0.0, 0.0, 0.0))
+                dot = sum(u * v for u, v in zip(w, x))
+                half = L.RECORD / 2
+                shift = math.log((ones + half) / (sure + half)) - math.log((hits - ones + half) / (hits - sure + half))
+                q = 1 / (1 + math.exp(-dot - shift))
+                total += math.log10(q if bit else 1 - q)
+                moves.append((gate, bit, 1 / (1 + math.exp(-dot)), x))
+            for gate, bit, p, x in moves:
+                w = weights.setdefault(gate, [L.FIRST_WEIGHT] * L.CONTEXTS + [0.0])
+                weights[gate] = [u + L.RATE * (bit - p) * v for u, v in zip(w, x)]
+                hits, ones, sure = record.get(gate, (0.0, 0.0, 0.0))
+                record[gate] = (hits + 1, ones + bit, sure + p)
+        seen, new = Counter(), 0
+        for t, w in enumerate(words):
+            if coded[t] == 3:
+                total += math.log10(seen[w] / t)
+            elif coded[t] == 4:
+                p = L.PRIOR * (once + 1) / (fresh + 2) / (L.PRIOR + new)
+                total += math.log10(1 - p) + math.log10(counts[w] / (n - sum(counts[v] for v in seen)))
+                new += 1
+            seen[w] += 1
+        total += len(words) * math.log10(1 - p_end) + math.log10(p_end)
+        assert abs(got[i]["score"] - total) < 1e-3 * max(1, abs(total)), i
+        if words:
+            length = len(b" ".join(words))
+            assert abs(got[i]["bits_per_byte"] + got[i]["score"] / math.log10(2) / length) < 1e-9
+        else:
+            assert got[i]["bits_per_byte"] is None
+    assert sum(all(w in counts for w in texts[i]) for i in texts) > 40
+
+
+def test_score_depends_on_the_order_of_words(spark):
+    rows = make_rows(60)
+    rnd = random.Random(4)
+    words = [f"q{i}" for i in range(30)]
+    again = words * 4
+    mixed = list(again)
+    rnd.shuffle(mixed)
+    rows += [(700, " ".join(again), "en", "s", None, "", ""), (701, " ".join(mixed), "en", "s", None, "", "")]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs_of(spark, rows)).collect()}
+    assert got[700] > got[701] + 5
 
 
 # --- quality classifier
