@@ -47,7 +47,7 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     root = shared_dir(spark)
     _forget_at_exit(spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
