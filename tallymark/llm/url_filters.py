@@ -14,8 +14,10 @@ a list with deeper keys is looked up to its greatest depth. The host of a key is
 lower-cased, its path is taken as written.
 
 The join is an equality on the key with the interval as a residual; intervals of one
-key do not overlap, so a look-up gives at most one row, however hot its host is.
-Skew of a hot host on the capture side is split by adaptive execution.
+key do not overlap, so a look-up gives at most one row, however hot its host is. Look-ups
+leave the URL behind: they carry the page, a hash of the capture and its fetch time, and
+only those that hit come back. Skew of a hot host on the capture side is split by adaptive
+execution.
 
 Defined cases: a null or unparsable URL has no key and is allowed; a null fetch time
 sees no entry; entries with null key or time are ignored; ports, user info, a trailing
@@ -75,14 +77,14 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     labels, segments = F.size(F.split(F.substring_index("key", "/", 1), "[.]")), F.size(F.split("key", "/")) - 1
     deepest = entries.agg(F.max(labels).alias("host"), F.max(segments).alias("path")).first()
     depths = max(MAX_HOST, deepest["host"] or 0), max(MAX_PATH, deepest["path"] or 0)
-    base = captures.select("page_id", "url", "fetched_at", F.monotonically_increasing_id().alias("row"))
+    # a capture is named by its page and a hash; equal captures share their verdict
+    base = captures.select("page_id", "url", "fetched_at", F.xxhash64("url", "fetched_at").alias("capture"))
     looked = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("keys", keys_of("url", *depths))
-    asked = looked.select("page_id", "url", "fetched_at", "row", F.explode_outer("keys").alias("k")).select("page_id", "url", "fetched_at", "row", "k.key", "k.rank")
+    asked = looked.select("page_id", "capture", "fetched_at", F.explode("keys").alias("k")).select("page_id", "capture", "fetched_at", "k.key", "k.rank")
     spans = intervals(entries).withColumnRenamed("key", "list_key")
     active = (F.col("key") == F.col("list_key")) & (F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
-    found = asked.join(spans, active, "left")
-    best = F.max(F.when(F.col("list_key").isNotNull(), F.struct("rank", "list_key", "action"))).alias("best")
-    decided = found.groupBy("row", "page_id", "url", "fetched_at").agg(best)
+    found = asked.join(spans, active).groupBy(F.col("page_id").alias("_page"), F.col("capture").alias("_capture")).agg(F.max(F.struct("rank", "list_key", "action")).alias("best"))
+    decided = base.join(found, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("capture") == F.col("_capture")), "left")
     return decided.select("page_id", "url", "fetched_at", F.col("best.list_key").alias("matched_key"), F.col("best.action").alias("action"), (F.coalesce(F.col("best.action"), F.lit("allow")) != "block").alias("allowed"))
 
 
