@@ -11,13 +11,17 @@ computed from the weights alone and applied to all blocks by arithmetic. When a
 is used up a new phase begins with the weights of the others; no row is dropped or
 repeated.
 
-Without given weights a lane weighs as the square root of its characters, in parts of
-1000. The ``MAX_LANES`` - 1 largest sources have lanes of their own and all further
-ones share a lane, which bounds the schedule (at most ``MAX_LANES`` phases of one
-period each) and what is broadcast to a few MB.
-
-Numbering a lane needs no lane in one task: rows are dealt into ranges of the hash,
-numbered inside (lane, range), and lifted by the sums of the ranges before.
+Without given weights a source weighs as the square root of its characters, in parts of
+1000; with them, sources that are not named weigh 1. The ``MAX_LANES`` - 1 largest
+sources have lanes of their own. All further ones share a lane with the sum of their
+weights, in which the same rule holds on a second level: block j of a source of weight w
+stands at (j + u) / w, with u a number from the source's name below 1, which lies between
+its release j / w and its deadline (j + 1) / w, and the lane takes blocks by that. Given
+weights may add up to ``MAX_PERIOD`` (after division by common factors), which bounds the
+schedule (at most ``MAX_LANES`` phases of one period each) and what is broadcast to 20 MB.
+
+Numbering a source needs no source in one task: rows are dealt into ranges of the hash,
+numbered inside (source, range), and lifted by the sums of the ranges before.
 
 Defined cases: null text counts as one character, as does empty text; null sources
 form a lane; a document longer than a block takes the slot of the block it begins in;
@@ -29,6 +33,7 @@ columns are ignored or, in ``in_mixed_order``, kept.
 from __future__ import annotations
 
 import heapq
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,6 +43,7 @@ from .common import fresh, staged
 
 BLOCK_CHARS = 20_000
 MAX_LANES = 256
+MAX_PERIOD = 20_000
 RANGE_ROWS = 2_000
 PARTS = 1_000
 
@@ -87,56 +93,77 @@ def phases(weights: list[int], blocks: list[int]) -> list[tuple]:
     return out
 
 
-def _whole_weights(sizes: dict, weights: dict | None) -> dict:
-    if weights is not None:
-        if any(int(w) != w or w < 1 for w in weights.values()):
-            raise ValueError("target weights are positive integers")
-        return {lane: int(weights.get(lane, 1)) for lane in sizes}
-    roots = {lane: n**0.5 for lane, n in sizes.items()}
-    total = sum(roots.values()) or 1.0
-    return {lane: max(1, round(PARTS * r / total)) for lane, r in roots.items()}
+def _weighed(sizes: DataFrame, weights: dict | None) -> DataFrame:
+    """The sources (source, chars, n) with their weights."""
+    if weights is None:
+        root = F.sqrt(F.col("chars").cast("double"))
+        total = sizes.agg(F.sum(root)).first()[0] or 1.0
+        return sizes.withColumn("weight", F.greatest(F.lit(1), F.round(PARTS * root / total)).cast("long"))
+    if any(int(w) != w or w < 1 for w in weights.values()):
+        raise ValueError("target weights are positive integers")
+    spark = sizes.sparkSession
+    given = spark.createDataFrame([(s, int(w)) for s, w in weights.items()], "_s string, weight long")
+    return sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
+
+
+def _shared_order(sources: DataFrame, block_chars: int) -> DataFrame:
+    """(source, block, lane_block): the blocks of the sources of the shared lane (source, chars, weight), in its order."""
+    u = F.pmod(F.xxhash64("source", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
+    blocks = sources.select("source", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(chars - 1) div {block_chars}"))).alias("block"))
+    timed = staged(blocks.select("source", "block", ((F.col("block") + u) / F.col("weight")).alias("time")), "mix-shared")
+    n = timed.count()
+    ranges = min(4_096, n // RANGE_ROWS + 1)
+    cuts = timed.agg(F.percentile_approx("time", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
+    number = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda k, cut: k + (F.col("time") > cut).cast("int")) if cuts else F.lit(0)
+    ranged = timed.withColumn("range", number)
+    before = ranged.groupBy("range").count().select("range", (F.sum("count").over(W.orderBy("range")) - F.col("count")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("range").orderBy("time", "source", "block"))
+    return ranged.withColumn("k", inside).join(F.broadcast(before), "range").select("source", "block", (F.col("before") + F.col("k") - 1).alias("lane_block"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, max_lanes: int = MAX_LANES) -> DataFrame:
-    """doc_id, source, lane weight, phase, block, release, deadline, slot and order_key of every row.
+    """doc_id, source, lane weight, phase, lane block, release, deadline, slot and order_key of every row.
 
     Reading the rows by (slot, order_key, doc_id) gives the mixture.
     """
     spark = docs.sparkSession
     chars = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
     base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), chars.alias("chars"), F.xxhash64(F.col("doc_id").cast("long")).alias("order_key")), "mix-base")
-    sizes = base.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
+    sizes = staged(_weighed(base.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")), weights), "mix-sources")
     largest = sizes.orderBy(F.desc("chars"), F.col("source").asc_nulls_first()).limit(max_lanes - 1).collect()
-    own = {r["source"]: i for i, r in enumerate(largest)}
-    schema = "source string, lane int"
-    lane_of = spark.createDataFrame([(s, i) for s, i in own.items()], schema)
-    shared = len(own)
-    laned = base.join(F.broadcast(lane_of.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("lane", F.coalesce("lane", F.lit(shared)))
-
-    rows = sum(r["n"] for r in largest) if len(largest) < max_lanes - 1 else base.count()
-    ranges = min(65_536, max(64, rows // RANGE_ROWS + 1))
-    ranged = laned.withColumn("range", F.expr(f"cast(shiftright(shiftrightunsigned(order_key, 32) * {ranges}L, 32) as int)"))
-    sums = staged(ranged.groupBy("lane", "range").agg(F.sum("chars").alias("chars")), "mix-sums")
-    totals = {r["lane"]: r["chars"] for r in sums.groupBy("lane").agg(F.sum("chars").alias("chars")).collect()}
-    names = {i: s for s, i in own.items()}
-    name_of = lambda lane: names.get(lane, "\0shared")
-    by_lane = _whole_weights({name_of(lane): n for lane, n in totals.items()}, weights)
-    lanes = sorted(totals)
-    lane_weights = [by_lane[name_of(lane)] for lane in lanes]
-    plan = phases(lane_weights, [(totals[lane] - 1) // block_chars + 1 for lane in lanes])
+    own = spark.createDataFrame([(r["source"], i) for i, r in enumerate(largest)], "_s string, lane int")
+    of_lane = [(i, r["weight"], (r["chars"] - 1) // block_chars + 1) for i, r in enumerate(largest)]
+    with_lane = lambda df: df.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("lane", F.coalesce("lane", F.lit(len(largest))))
+    rest = with_lane(sizes).where(F.col("lane") == len(largest))
+    shared = _shared_order(rest, block_chars) if len(largest) == max_lanes - 1 and not rest.isEmpty() else None
+    if shared is not None:
+        weight, n = rest.agg(F.sum("weight"), F.sum(F.expr(f"(chars - 1) div {block_chars} + 1"))).first()
+        of_lane.append((len(largest), weight, n))
+    common = gcd(*(w for _, w, _ in of_lane)) if of_lane else 1
+    if weights is not None and sum(w for _, w, _ in of_lane) // common > MAX_PERIOD:
+        raise ValueError(f"target weights add up to more than {MAX_PERIOD}")
+    plan = phases([w // common for _, w, _ in of_lane], [n for *_, n in of_lane])
     table = spark.createDataFrame(
-        [(p, lanes[i], w, q, a, b, s, list(slots)) for p, i, w, q, a, b, s, slots in plan],
-        "phase int, lane int, weight long, total long, first_block long, end_block long, first_slot long, slots array<int>",
+        [(p, of_lane[i][0], of_lane[i][1], w, q, a, b, s, list(slots)) for p, i, w, q, a, b, s, slots in plan],
+        "phase int, lane int, given long, weight long, total long, first_block long, end_block long, first_slot long, slots array<int>",
     )
 
-    before = sums.select("lane", "range", (F.sum("chars").over(W.partitionBy("lane").orderBy("range")) - F.col("chars")).alias("before"))
-    inside = W.partitionBy("lane", "range").orderBy("order_key", "doc_id", "chars").rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbered = ranged.withColumn("upto", F.sum("chars").over(inside)).join(before, ["lane", "range"])
-    blocks = numbered.withColumn("block", F.expr(f"(before + upto - chars) div {block_chars}"))
+    ranges = min(65_536, max(64, sum(r["n"] for r in largest) // RANGE_ROWS + 1))
+    ranged = base.withColumn("range", F.expr(f"cast(shiftright(shiftrightunsigned(order_key, 32) * {ranges}L, 32) as int)"))
+    sums = staged(ranged.groupBy("source", "range").agg(F.sum("chars").alias("chars")), "mix-sums")
+    before = sums.select(F.col("source").alias("_s"), F.col("range").alias("_r"), (F.sum("chars").over(W.partitionBy("source").orderBy("range")) - F.col("chars")).alias("before"))
+    inside = W.partitionBy("source", "range").orderBy("order_key", "doc_id", "chars").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = ranged.withColumn("upto", F.sum("chars").over(inside)).join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))).drop("_s", "_r")
+    blocks = with_lane(numbered.withColumn("block", F.expr(f"(before + upto - chars) div {block_chars}")))
+    if shared is not None:
+        places = shared.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "lane_block")
+        tail = blocks.where(F.col("lane") == len(largest)).join(places, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+        columns = [c for c in blocks.columns if c != "block"]
+        blocks = blocks.where(F.col("lane") < len(largest)).unionByName(tail.select(*columns, F.col("lane_block").alias("block")))
     at = blocks.join(F.broadcast(table), "lane").where("block >= first_block and block < end_block")
     j = "(block - first_block)"
     return at.select(
-        "doc_id", "source", "weight", "phase", "block",
+        "doc_id", "source", F.col("given").alias("weight"), "phase", "block",
         F.expr(f"first_slot + {j} * total div weight").alias("release"),
         F.expr(f"first_slot - (-(({j} + 1) * total) div weight) + case when (({j} + 1) * total) % weight = 0 then 0 else 1 end").alias("deadline"),
         F.expr(f"first_slot + {j} div weight * total + element_at(slots, cast({j} % weight as int) + 1)").alias("slot"),

@@ -1,18 +1,21 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text (operator 2).
 
 P(grade >= k) = sigmoid(w.x - theta_k) with one weight vector shared by all grades and
-ordered thresholds theta_1 < theta_2 < ... (kept apart by exponentials of the steps).
-x counts the document's distinct lower-cased words, their leading ``PREFIXES`` bytes and a
-few coarse shape marks, all hashed to 2**BITS buckets. From the grade probabilities come the expected grade and the tail
-probability P(grade >= target), by which documents are selected.
+ordered thresholds theta_1 < theta_2 < ... x has the document's distinct lower-cased words
+without ASCII punctuation and their leading ``PREFIXES`` bytes, hashed to 2**BITS buckets,
+counted and divided by the square root of the number of distinct words (so that the
+chance words of a long text weigh no more than those of a short one), and a few coarse
+shape marks. From the grade probabilities come the expected grade and the tail probability
+P(grade >= target), by which documents are selected.
 
 Training uses a bounded sample: about ``SAMPLE_DOCS`` rated documents for each grade,
-chosen by a hash of doc_id outside the held-out fold (crc32(doc_id) mod 5 = 0); a
-bucket of words or prefixes carries weight if at least ``MIN_SHARE`` and at most
-``MAX_SHARE`` of the sample's documents have it (else long texts would outweigh short
-ones by their common words), and weights are
-kept sparse by a proximal L1 step of ``L1_ERRORS`` standard errors of the bucket's count. The model (at most
-2**BITS floats) is shipped to the workers, which score every whole text.
+chosen by a hash of doc_id outside the held-out fold (crc32(doc_id) mod 5 = 0). A bucket
+carries weight if at least ``MIN_SHARE`` and at most ``MAX_SHARE`` of the sample's documents
+have it, its documents are ``SCREEN`` standard errors or more off the grades' shares (fewer
+for small samples, in which no bucket can be so far off, but ``LEAST_SCREEN``), and it is among the ``MOST`` that are furthest off. Workers count and cut the sample's texts;
+the driver holds at most ``MOST`` numbers a document, whatever their length. The penalised
+likelihood (``RIDGE``) is maximised by Fisher scoring, weights and thresholds jointly. The
+model (2**BITS floats) is shipped to the workers, which score every whole text.
 
 Defined cases: null text counts as empty text and has only the shape marks of an empty
 text; ratings of unknown documents, null ratings and null doc_ids are not used; of
@@ -33,19 +36,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, utf8
+from .common import bounded_batches, crc_mod, staged, utf8
 
 BITS = 18
 SAMPLE_DOCS = 2_000
 MIN_SHARE = 0.002
 MAX_SHARE = 0.4
 MAX_GRADES = 20
-PREFIXES = (4, 5, 6)
-EPOCHS = 30
-L1_ERRORS = 0.25
-RATE = 0.1
+PREFIXES = (4, 5, 6, 7, 8)
+SCREEN = 10.0
+LEAST_SCREEN = 4.0
+MOST = 1_000
+RIDGE = 0.03
+SCALE = 10.0
+STEPS = 40
+SAMPLE_TASKS = 8
 SEED = 5
-_SPACE = b" \t\n\x0b\x0c\r"
 
 
 class Model(NamedTuple):
@@ -73,89 +79,143 @@ def marks(text: bytes, n_words: int, n_distinct: int) -> list[bytes]:
 _MARKS = np.array([bucket(b" " + bytes([kind, 33 + k])) for kind in b"ULSDRN" for k in range(40)])
 
 
-def features(text: bytes) -> set[bytes]:
-    words = text.lower().split()
+#: lower case, and blanks for ASCII punctuation, so that a word counts as the same word at the end of a clause
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
+
+
+def features(text: bytes) -> tuple[set[bytes], list[bytes]]:
+    """Distinct words and shape marks."""
+    words = text.translate(_PLAIN).split()
     distinct = set(words)
-    return distinct.union(marks(text, len(words), len(distinct)))
+    return distinct, marks(text, len(words), len(distinct))
+
+
+def scale(n_distinct: int) -> float:
+    return SCALE / max(1, n_distinct) ** 0.5
 
 
-def buckets_of(feature: bytes) -> list[int]:
-    """Buckets of a word and its prefixes, or of a shape mark."""
-    if feature[:1] == b" ":
-        return [bucket(feature)]
-    return [bucket(feature), *(bucket(b" P" + feature[:k]) for k in PREFIXES if len(feature) >= k)]
+def buckets_of(word: bytes) -> list[int]:
+    """Buckets of a word and its prefixes."""
+    return [bucket(word), *(bucket(b" P" + word[:k]) for k in PREFIXES if len(word) >= k)]
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_grades(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each grade the documents, and those that have each bucket."""
+    counts: dict[int, np.ndarray] = {}
+    size: dict[int, int] = {}
     for batch in batches:
-        rows = [sorted(b for w in features(t) for b in buckets_of(w)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "doc_id", "x"])
+        for grade, text in zip(batch.column("grade").to_pylist(), batch.column("text").to_pylist()):
+            have = counts.setdefault(grade, np.zeros(1 << BITS, np.int32))
+            words, shape = features(text)
+            have[list({b for w in words for b in buckets_of(w)} | {bucket(m) for m in shape})] += 1
+            size[grade] = size.get(grade, 0) + 1
+    packed = [zlib.compress(c.tobytes(), 1) for c in counts.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(size.values()), pa.int64()), pa.array(packed, pa.binary())], names=["grade", "n", "counts"])
+
+
+def _columns_of(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's places and values among the buckets used."""
+    place = {int(b): i for i, b in enumerate(used)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, values = [], []
+            for text in batch.column("text").to_pylist():
+                row = values_of(text, place)
+                places.append(list(row))
+                values.append(list(row.values()))
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("doc_id"), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["grade", "doc_id", "places", "x"])
+
+    return run
+
+
+def values_of(text: bytes, place: dict[int, int]) -> dict[int, float]:
+    """The features of a text that have a place, by place."""
+    words, shape = features(text)
+    row: dict[int, float] = {}
+    per_word = scale(len(words))
+    for value, found in ((per_word, (b for w in words for b in buckets_of(w))), (1.0, map(bucket, shape))):
+        for b in found:
+            if (i := place.get(b)) is not None:
+                row[i] = row.get(i, 0.0) + value
+    return dict(sorted(row.items()))
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -35, 35)))
 
 
-def train(rows: list[list[int]], ranks: np.ndarray, grades: list[int]) -> Model:
-    """Fit on rows of buckets with grade ranks 0..K-1."""
-    weights = np.zeros(1 << BITS, np.float64)
-    steps = len(grades) - 1
-    if steps < 1:
-        return Model(grades, weights.astype(np.float32), np.zeros(0))
-    df = np.bincount(np.concatenate([np.unique(np.asarray(r, np.int64)) for r in rows]), minlength=1 << BITS)
-    used = (df >= max(2, MIN_SHARE * len(rows))) & (df <= MAX_SHARE * len(rows))
-    used[_MARKS] = True
-    rows = [np.asarray(r, np.int64)[used[r]] for r in rows]
-    squares = np.zeros(1 << BITS)
-    for r in rows:
-        b, k = np.unique(r, return_counts=True)
-        squares[b] += k * k
-    total = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    shrink = L1_ERRORS * np.sqrt(np.maximum(squares / len(rows) - (total / len(rows)) ** 2, 0) / len(rows))
-    lengths = np.array([len(r) for r in rows])
-    starts, flat = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate(rows)
-    tails = np.cumsum(np.bincount(ranks, minlength=steps + 1)[::-1])[::-1][1:] / len(ranks)
-    start = np.log((1 - tails + 0.01) / (tails + 0.01))
-    first, gap = start[0], np.log(np.maximum(np.diff(start), 0.1))
-    rng = np.random.default_rng(SEED)
-    square, square_t = np.full(len(weights), 1e-8), np.full(steps, 1e-8)
-    size = 64
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for i in range(0, len(order), size):
-            mine = order[i : i + size]
-            pick = np.concatenate([flat[starts[m] : starts[m + 1]] for m in mine])
-            owner = np.repeat(np.arange(len(mine)), lengths[mine])
-            score = np.bincount(owner, weights[pick], len(mine))
-            theta = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
-            y, c = ranks[mine], 1 / len(mine)
-            # P(y) = tail(y) - tail(y + 1); gradients of -log P(y) by the score and by each theta
-            tail = np.concatenate([np.ones((len(mine), 1)), _sigmoid(score[:, None] - theta), np.zeros((len(mine), 1))], axis=1)
-            slope = tail * (1 - tail)
-            at = np.arange(len(mine))
-            p = np.maximum(tail[at, y] - tail[at, y + 1], 1e-9)
-            up, down = slope[at, y] / p, slope[at, y + 1] / p
-            d_score = -(up - down) * c
-            d_theta = np.zeros(steps + 2)
-            np.add.at(d_theta, y, up * c)
-            np.add.at(d_theta, y + 1, -down * c)
-            d_theta = d_theta[1:-1]
-            grad = np.bincount(pick, d_score[owner], len(weights))
-            touched = np.unique(pick)
-            g = grad[touched]
-            square[touched] += g * g
-            pace = RATE / np.sqrt(square[touched])
-            moved = weights[touched] - pace * g
-            weights[touched] = np.sign(moved) * np.maximum(np.abs(moved) - pace * shrink[touched], 0)
-            d_first = d_theta.sum()
-            d_gap = np.array([d_theta[k + 1 :].sum() * np.exp(gap[k]) for k in range(steps - 1)])
-            d = np.concatenate([[d_first], d_gap])
-            square_t += d * d
-            move = RATE * d / np.sqrt(square_t)
-            first -= move[0]
-            gap = np.clip(gap - move[1:], -4, 4)
-    theta = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
-    return Model(grades, weights.astype(np.float32), theta)
+def screen(by_grade: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many standard errors a bucket's documents are off the grades' shares, in the grade where they are most."""
+    n, df = sizes.sum(), by_grade.sum(axis=0)
+    share = (sizes / n)[:, None]
+    spread = np.sqrt(np.maximum(df * (1 - df / n) * share * (1 - share), 1e-9))
+    return (np.abs(by_grade - df * share) / spread).max(axis=0)
+
+
+def choose(by_grade: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The buckets that carry weight: shape marks, and the furthest off of those that pass the screen."""
+    n, df = sizes.sum(), by_grade.sum(axis=0)
+    off = screen(by_grade, sizes)
+    passed = np.flatnonzero((df >= max(2, MIN_SHARE * n)) & (df <= MAX_SHARE * n) & (off >= max(LEAST_SCREEN, min(SCREEN, 0.2 * n**0.5))))
+    best = passed[np.argsort(-off[passed], kind="stable")[:MOST]]
+    return np.union1d(best, _MARKS[df[_MARKS] > 0])
+
+
+def likelihood(x: np.ndarray, ranks: np.ndarray, w: np.ndarray, theta: np.ndarray, hessian: bool = True) -> tuple:
+    """Penalised log-likelihood, its gradient by (w, theta) and the expected information."""
+    n, k, d = len(x), len(theta), len(w)
+    value, grad, info = 0.0, np.zeros(d + k), np.zeros((d + k, d + k))
+    for i in range(0, n, 1_000):  # blocks, so that temporaries stay small
+        part, rank = x[i : i + 1_000].astype(np.float64), ranks[i : i + 1_000]
+        m, at = len(part), np.arange(len(part))
+        tail = np.concatenate([np.ones((m, 1)), _sigmoid((part @ w)[:, None] - theta), np.zeros((m, 1))], axis=1)
+        slope = tail * (1 - tail)
+        p = np.maximum(tail[:, :-1] - tail[:, 1:], 1e-12)
+        # derivatives of each grade's probability by the score and by each threshold
+        by_score = slope[:, :-1] - slope[:, 1:]
+        by_theta = np.zeros((m, k + 1, k))
+        for j in range(k):
+            by_theta[:, j, j] = slope[:, j + 1]
+            by_theta[:, j + 1, j] = -slope[:, j + 1]
+        value += np.log(p[at, rank]).sum()
+        grad[:d] += part.T @ (by_score[at, rank] / p[at, rank])
+        grad[d:] += (by_theta[at, rank] / p[at, rank][:, None]).sum(axis=0)
+        if hessian:
+            info[:d, :d] += part.T @ (part * (by_score**2 / p).sum(axis=1)[:, None])
+            info[:d, d:] += part.T @ ((by_score / p)[:, :, None] * by_theta).sum(axis=1)
+            info[d:, d:] += np.einsum("mgj,mgl,mg->jl", by_theta, by_theta, 1 / p)
+    info[d:, :d] = info[:d, d:].T
+    info[np.arange(d), np.arange(d)] += RIDGE
+    grad[:d] -= RIDGE * w
+    return value - RIDGE / 2 * float(w @ w), grad, info
+
+
+def train(x: np.ndarray, ranks: np.ndarray, grades: list[int], used: np.ndarray) -> Model:
+    """Fit on rows of values of the buckets used, with grade ranks 0..K-1."""
+    weights = np.zeros(1 << BITS, np.float32)
+    k = len(grades) - 1
+    if k < 1:
+        return Model(grades, weights, np.zeros(0))
+    tails = np.cumsum(np.bincount(ranks, minlength=k + 1)[::-1])[::-1][1:] / len(ranks)
+    w, theta = np.zeros(x.shape[1]), np.log((1 - tails + 1e-9) / tails)
+    value, grad, info = likelihood(x, ranks, w, theta)
+    for _ in range(STEPS):
+        step, pace = np.linalg.solve(info + 1e-8 * np.eye(len(info)), grad), 1.0
+        while pace > 1e-6:
+            w_, theta_ = w + pace * step[: len(w)], theta + pace * step[len(w) :]
+            if (np.diff(theta_) > 1e-6).all() and likelihood(x, ranks, w_, theta_, hessian=False)[0] > value:
+                break
+            pace /= 2
+        else:
+            break
+        before = value
+        w, theta = w_, theta_
+        value, grad, info = likelihood(x, ranks, w, theta)
+        if value - before < 1e-7 * abs(before):
+            break
+    weights[used] = w
+    return Model(grades, weights, theta)
 
 
 def grade_tails(model: Model, scores: np.ndarray) -> np.ndarray:
@@ -186,7 +246,8 @@ def _score(shared, target: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in batches:
             scores = []
             for text in batch.column("text").to_pylist():
-                scores.append(sum(map(weights.__getitem__, features(text))))
+                words, shape = features(text)
+                scores.append(scale(len(words)) * sum(map(weights.__getitem__, words)) + sum(float(model.weights[bucket(m)]) for m in shape))
             tails = grade_tails(model, np.array(scores, float))
             probability = tails - np.concatenate([tails[:, 1:], np.zeros((len(tails), 1))], axis=1)
             expected = probability @ grades
@@ -209,10 +270,23 @@ def fit(docs: DataFrame, ratings: DataFrame) -> Model:
     share = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003
     chosen = rated.where(share < rates[F.col("grade")])  # bounded: about SAMPLE_DOCS for each of MAX_GRADES grades
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = texts.select("grade", "doc_id", "text").mapInArrow(_featurise, "grade int, doc_id long, x array<int>").collect()
-    sample = sorted(sample, key=lambda r: (r["doc_id"], r["grade"], r["x"]))
-    grades = sorted({r["grade"] for r in sample})
-    return train([r["x"] for r in sample], np.array([grades.index(r["grade"]) for r in sample], np.int64), grades)
+    sample = staged(texts.select("grade", "doc_id", "text").repartition(SAMPLE_TASKS), "rated-sample")
+    grades = sorted(counts)
+    by_grade, sizes = np.zeros((len(grades), 1 << BITS), np.int64), np.zeros(len(grades), np.int64)
+    for r in sample.mapInArrow(_count_grades, "grade int, n long, counts binary").collect():
+        by_grade[grades.index(r["grade"])] += np.frombuffer(zlib.decompress(r["counts"]), np.int32)
+        sizes[grades.index(r["grade"])] += r["n"]
+    present = np.flatnonzero(sizes)  # a grade may have no rated document left
+    grades, by_grade, sizes = [grades[i] for i in present], by_grade[present], sizes[present]
+    if not grades:
+        return Model([], np.zeros(1 << BITS, np.float32), np.zeros(0))
+    used = choose(by_grade, sizes)
+    rows = sample.mapInArrow(_columns_of(used), "grade int, doc_id long, places array<int>, x array<double>").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["grade"], r["places"]))
+    x = np.zeros((len(rows), len(used)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r["places"]] = r["x"]
+    return train(x, np.array([grades.index(r["grade"]) for r in rows], np.int64), grades, used)
 
 
 def score(docs: DataFrame, model: Model, target: int) -> DataFrame:

@@ -72,6 +72,41 @@ def test_shared_lane(spark):
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
 
 
+def test_shared_lane_keeps_given_weights(spark):
+    """Ten sources of 60 blocks each; all beyond the three largest share a lane, and keep their own weights in it."""
+    rows = [(i * 10 + k, "x" * (101 if k < 3 else 100), "en", f"s{k}", 100, i, "c") for k in range(10) for i in range(60)]
+    given = {f"s{k}": 6 if k == 9 else 3 for k in range(10)}
+    out = mixing.mix(make(spark, rows), given, block_chars=100, max_lanes=4).collect()
+    assert {r["weight"] for r in out if r["source"] == "s9"} == {6 * 3 + 6}
+    ends = min(max(r["slot"] for r in out if r["source"] == s) for s in given)
+    total = sum(given.values())
+    for t in range(1, ends):
+        for s, w in given.items():
+            had = sum(r["slot"] < t for r in out if r["source"] == s)
+            assert abs(had - t * w / total) < 2.5, (t, s, had)
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
+
+
+def test_rows_deviate_less_than_a_block(spark):
+    """Characters of real rows: each source is within two blocks (a block and the document that leaves it) of its share."""
+    rnd = random.Random(8)
+    rows = [(i, "x" * rnd.randint(1, 200), "en", "abc"[min(2, rnd.randrange(6) // 2)], 0, i, "c") for i in range(600)]
+    weights = {"a": 5, "b": 3, "c": 2}
+    out = mixing.mix(make(spark, rows), weights, block_chars=500).collect()
+    first = [r for r in out if r["phase"] == 0]
+    for t in range(1, max(r["slot"] for r in first) + 1):
+        for s, w in weights.items():
+            slots = {r["slot"] for r in first if r["source"] == s and r["slot"] < t}
+            assert abs(len(slots) - t * w / 10) < 1 + 1e-9
+
+
+def test_too_long_a_period_is_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        mixing.mix(make(spark, [(1, "a", "en", "a", 1, 1, "c"), (2, "a", "en", "b", 1, 1, "c")]), {"a": 1_000_003, "b": 7})
+
+
 def test_pipeline_returns_the_mixed_order(spark):
     import corpus_pipeline
     from tallymark.llm import mixing

@@ -268,19 +268,20 @@ def slow_decisions(words):
     """(decision, outcome, contexts) of every binary decision of a text, word by word, and how the rest is coded."""
     L, m = lm_scoring, 2**64
     mul, step = int(L._MUL), int(L._STEP)
+    hash_of = lambda w: zlib.crc32(w) * mul % m
     salt = lambda kind, k: (kind * L.CONTEXTS + k + 1) * 0x2545F4914F6CDD1D % m
     slot = lambda x, bits: ((x ^ (x >> 32)) * step % m) >> (64 - bits)
     after_one, after_two, seen, coded, rows = {}, {}, Counter(), [], []
     for t, w in enumerate(words):
         one, two = words[t - 1] if t >= 1 else None, words[t - 2] if t >= 2 else None
-        h1, h2 = 0 if one is None else L.word_hash(one), 1 if two is None else L.word_hash(two)
+        h1, h2 = 0 if one is None else hash_of(one), 1 if two is None else hash_of(two)
         state = (coded[t - 1] if t >= 1 else 0) * 5 + (coded[t - 2] if t >= 2 else 0)
         state = state * 32 + min(int(math.log2(t + 1)), 31)
         a, b = after_two.get((two, one)) if t >= 2 else None, after_one.get(one) if t >= 1 else None
         how = None
         for kind, cand in ((0, a), (1, b if b != a else None)):
             if how is None and cand is not None:
-                rows.append((t, kind, int(cand == w), [(h1 + salt(kind, 0)) * mul % m, (L.word_hash(cand) + salt(kind, 1)) * mul % m, (state + salt(kind, 2)) * mul % m]))
+                rows.append((t, kind, int(cand == w), [(h1 + salt(kind, 0)) * mul % m, (hash_of(cand) + salt(kind, 1)) * mul % m, (state + salt(kind, 2)) * mul % m]))
                 how = kind + 1 if cand == w else None
         if how is None and t:
             rows.append((t, 2, int(seen[w] > 0), [(h1 + salt(2, 0)) * mul % m, (h1 * 257 + h2 + salt(2, 1)) * mul % m, (state + salt(2, 2)) * mul % m]))
@@ -396,6 +397,54 @@ def test_ordinal_grades(spark):
     assert quality_classifier.score(docs.limit(0), model, 2).count() == 0
 
 
+def ordinal_data(seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    score = x @ np.array([1.0, -2.0, 0.0, 0.5]) + rng.logistic(size=300)
+    return x, np.digitize(score, [-1.0, 0.5, 2.0])
+
+
+def test_ordinal_gradient_by_differences():
+    x, ranks = ordinal_data()
+    rng = np.random.default_rng(1)
+    w, theta = rng.normal(size=4), np.array([-0.7, 0.4, 1.1])
+    _, grad, info = quality_classifier.likelihood(x, ranks, w, theta)
+    at = lambda v: quality_classifier.likelihood(x, ranks, v[:4], v[4:], hessian=False)[0]
+    both = np.concatenate([w, theta])
+    for i in range(7):
+        h = np.zeros(7)
+        h[i] = 1e-5
+        assert abs((at(both + h) - at(both - h)) / 2e-5 - grad[i]) < 1e-3
+    assert (np.linalg.eigvalsh(info) > 0).all()
+
+
+def test_ordinal_fit_equals_plain_ascent():
+    """Fisher scoring ends where slow gradient ascent on the same likelihood ends."""
+    x, ranks = ordinal_data()
+    model = quality_classifier.train(x, ranks, [0, 1, 2, 3], np.arange(4))
+    w, theta = np.zeros(4), np.array([-1.0, 0.0, 1.0])
+    for _ in range(4000):
+        _, grad, _ = quality_classifier.likelihood(x, ranks, w, theta, hessian=False)
+        w, theta = w + 0.004 * grad[:4], theta + 0.004 * grad[4:]
+    assert np.abs(model.weights[:4] - w).max() < 1e-3 and np.abs(model.theta - theta).max() < 1e-3
+
+
+def test_score_by_hand(spark):
+    """The query's two numbers from the model and the text alone."""
+    rows = make_rows(40) + ODD
+    docs = docs_of(spark, rows)
+    rng = np.random.default_rng(2)
+    model = quality_classifier.Model([0, 1, 2], rng.normal(size=1 << quality_classifier.BITS).astype(np.float32), np.array([-1.0, 1.0]))
+    place = {b: b for b in range(1 << quality_classifier.BITS)}
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        s = sum(float(model.weights[b]) * v for b, v in quality_classifier.values_of((text or "").encode(), place).items())
+        one, two = 1 / (1 + math.exp(-s - 1)), 1 / (1 + math.exp(-s + 1))
+        want[doc_id, round(one + two, 4), round(two, 4)] += 1
+    got = quality_classifier.score(docs, model, 2).collect()
+    assert Counter((r["doc_id"], round(r["expected_grade"], 4), round(r["tail_probability"], 4)) for r in got) == want
+
+
 # --- URL filters
 
 
