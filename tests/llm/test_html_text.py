@@ -46,3 +46,37 @@ def test_query_cases(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (2, "<p>a", "u"), (None, "<p>b", "u")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in render_pages(pages).collect()) == [(0, "b"), (1, ""), (2, ""), (2, "a")]
     assert render_pages(pages.limit(0)).count() == 0
+
+
+def test_cells_that_reach_down():
+    page = "<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>"
+    assert extract(page) == "A | B\n  | C\nD | E"
+    assert extract("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f</table>") == "a | b | c\nd |   | e\nf |"
+
+
+def test_visibility_is_inherited():
+    page = "<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p><ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>"
+    assert extract(page) == "yes\n\n* yes"
+    assert extract("<div style='display:none'><b style='visibility:visible'>no</b></div>x") == "x"
+
+
+def test_deep_elements_keep_hiding():
+    page = "<div>" * 700 + "a<div hidden>no<div>no</div>no</div>b" + "</div>" * 700 + "c"
+    assert extract(page).split() == ["ab", "c"]
+
+
+def test_time_is_linear():
+    """Repeats of what never closes; each took time with the square of the page before."""
+    import time
+
+    for part in ("<a ", '<a "', "<a x='", "</b ", "<script></script ", "<!-- ", "<!x ", "<textarea></textarea"):
+        extract(part * 1_000)
+        began = time.time()
+        extract(part * 60_000)
+        assert time.time() - began < 5, part
+
+
+def test_quotes_and_ends():
+    assert extract('<a title="x>y">z</a> <b title="no end>w') == "z w"
+    assert extract("a < b <c") == "a < b"
+    assert extract("a<!-- never closed <b>c</b>") == "a"
