@@ -5,8 +5,9 @@ recurrent layers read each window forwards and backwards, a linear layer labels
 position, and a document's probabilities are the mean over all of its positions, each
 counted once. Every whole text is read. Training is backpropagation through time in
 numpy on the driver, on windows of a bounded sample: about ``SAMPLE_DOCS`` documents
-for each of at most ``MAX_LANGS`` languages, chosen by a hash of doc_id, of which
-``SAMPLE_WINDOWS`` windows each are used. The held-out fold (crc32(doc_id) mod 5 = 0)
+for each language, but no more than about ``MOST_DOCS`` in all (at least ``LEAST_DOCS`` for
+each language), chosen by a hash of doc_id, of which ``SAMPLE_WINDOWS`` windows each are
+used. Every language of the fold is learned. No position sees beyond its window. The held-out fold (crc32(doc_id) mod 5 = 0)
 is never used for training.
 
 The gates use the piecewise linear sigmoid and the candidate x / (1 + |x|), which
@@ -35,7 +36,8 @@ WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 4
-MAX_LANGS = 200
+MOST_DOCS = 80_000
+LEAST_DOCS = 8
 EPOCHS = 6
 BATCH = 128
 SEED = 11
@@ -112,6 +114,31 @@ def _scan_gradient(table: np.ndarray, state: np.ndarray, data: np.ndarray, kept:
     return d_table, d_state
 
 
+def loss_and_gradient(params: list[np.ndarray], windows: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of all positions of the windows (B, T), and its gradient by each parameter."""
+    inputs, states, out, bias = params[:2], params[2:4], params[4], params[5]
+    size = out.shape[1] // 2
+    data = np.ascontiguousarray(windows.T)
+    kept: list[list] = [[], []]
+    fore = _scan(inputs[0], states[0], data, kept[0])
+    back = _scan(inputs[1], states[1], data[::-1], kept[1])[::-1]
+    both = np.concatenate([fore, back], axis=1)
+    logits = np.matmul(out, both) + bias[:, None]
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    at = np.arange(len(labels))
+    loss = float(-np.log(np.maximum(p[:, labels, at], 1e-30)).mean())
+    p[:, labels, at] -= 1
+    p /= p.shape[0] * p.shape[2]
+    d_both = np.matmul(out.T, p)
+    tables, mats = zip(
+        _scan_gradient(inputs[0], states[0], data, kept[0], d_both[:, :size]),
+        _scan_gradient(inputs[1], states[1], data[::-1], kept[1], d_both[::-1, size:]),
+    )
+    return loss, [*tables, *mats, np.einsum("tlb,thb->lh", p, both), p.sum(axis=(0, 2))]
+
+
 def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = EPOCHS) -> Model:
     """Fit by Adam on the mean cross-entropy of all positions of the windows (N, T)."""
     rng = np.random.default_rng(SEED)
@@ -126,23 +153,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
         order = rng.permutation(len(windows))
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            data = np.ascontiguousarray(windows[rows].T)
-            kept: list[list] = [[], []]
-            fore = _scan(inputs[0], states[0], data, kept[0])
-            back = _scan(inputs[1], states[1], data[::-1], kept[1])[::-1]
-            both = np.concatenate([fore, back], axis=1)
-            logits = np.matmul(out, both) + bias[:, None]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            p[:, labels[rows], np.arange(len(rows))] -= 1
-            p /= p.shape[0] * p.shape[2]
-            d_both = np.matmul(out.T, p)
-            tables, mats = zip(
-                _scan_gradient(inputs[0], states[0], data, kept[0], d_both[:, :HIDDEN]),
-                _scan_gradient(inputs[1], states[1], data[::-1], kept[1], d_both[::-1, HIDDEN:]),
-            )
-            grads = [*tables, *mats, np.einsum("tlb,thb->lh", p, both), p.sum(axis=(0, 2))]
+            _, grads = loss_and_gradient(params, windows[rows], labels[rows])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             step += 1
             rate = 0.02 * (1 - step / (total + 1))
@@ -211,20 +222,21 @@ def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, labels and languages of the training sample."""
     fold = docs.where("lang is not null and length(text) > 0").where(crc_mod(F.col("doc_id"), 5) != 0)
-    counts = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    counts = fold.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not langs:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    langs = sorted(r["lang"] for r in counts)
-    rates = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["n"])))])
+    each = max(LEAST_DOCS, min(SAMPLE_DOCS, MOST_DOCS // len(langs)))
+    rates = counts.select("lang", (F.lit(float(each)) / F.col("n")).alias("rate"))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED)), F.lit(1_000_003)) / 1_000_003
-    chosen = fold.where(share < rates[F.col("lang")])
+    chosen = fold.join(F.broadcast(rates), "lang").where(share < F.col("rate"))  # one row a language
     at = lambda k: F.substring("text", F.lit(1) + F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(100 + k)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int"), F.lit(WINDOW))
     rows = chosen.select("doc_id", "lang", *[at(k).alias(f"w{k}") for k in range(SAMPLE_WINDOWS)]).collect()
-    windows, labels = [], []
+    windows, labels, number = [], [], {lang: i for i, lang in enumerate(langs)}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["w0"])):
         for k in range(SAMPLE_WINDOWS):
             windows.append(cut(r[f"w{k}"].encode())[0][0])
-            labels.append(langs.index(r["lang"]))
+            labels.append(number[r["lang"]])
     return np.array(windows, np.uint8).reshape(-1, WINDOW), np.array(labels, np.int64), langs
 
 

@@ -221,6 +221,71 @@ def test_gradient_of_the_recurrent_layer():
         assert abs((loss(up) - loss(down)) / 2e-2 - grad[i, j]) < 0.05 * max(1, abs(grad[i, j]))
 
 
+def small_network(rng, langs=3):
+    size = language_id.HIDDEN
+    shapes = [(3 * size, 256)] * 2 + [(3 * size, size)] * 2 + [(langs, 2 * size), (langs,)]
+    return [(rng.normal(size=s) * 0.3).astype(np.float32) for s in shapes]
+
+
+def test_gradients_of_all_parameters_by_differences():
+    rng = np.random.default_rng(4)
+    params, windows, labels = small_network(rng), rng.integers(97, 101, (6, 9)).astype(np.uint8), rng.integers(0, 3, 6)
+    _, grads = language_id.loss_and_gradient(params, windows, labels)
+    for k, p in enumerate(params):
+        flat, at = p.reshape(-1), np.argsort(-np.abs(grads[k].reshape(-1)))[:5]
+        for i in at:
+            kept = flat[i]
+            flat[i] = kept + 1e-2
+            up = language_id.loss_and_gradient(params, windows, labels)[0]
+            flat[i] = kept - 1e-2
+            down = language_id.loss_and_gradient(params, windows, labels)[0]
+            flat[i] = kept
+            assert abs((up - down) / 2e-2 - grads[k].reshape(-1)[i]) < 0.05 * abs(grads[k].reshape(-1)[i]) + 2e-4, (k, i)
+
+
+def test_document_probabilities_by_a_loop():
+    """Position by position and unit by unit, on texts shorter and longer than a window."""
+    rng = np.random.default_rng(5)
+    params = small_network(rng)
+    model = language_id.Model(["a", "b", "c"], params[:2], params[2:4], params[4], params[5])
+    size = language_id.HIDDEN
+
+    def walk(table, state, data):
+        h, out = [0.0] * size, []
+        for byte in data:
+            rec = [sum(float(state[i, j]) * h[j] for j in range(size)) for i in range(3 * size)]
+            hard = lambda v: min(1.0, max(0.0, 0.2 * v + 0.5))
+            r = [hard(float(table[i, byte]) + rec[i]) for i in range(size)]
+            z = [hard(float(table[size + i, byte]) + rec[size + i]) for i in range(size)]
+            pre = [float(table[2 * size + i, byte]) + r[i] * rec[2 * size + i] for i in range(size)]
+            cand = [v / (1 + abs(v)) for v in pre]
+            h = [z[i] * h[i] + (1 - z[i]) * cand[i] for i in range(size)]
+            out.append(h)
+        return out
+
+    texts = [b"hello", bytes(range(97, 117)) * 5, b"x" * 64]
+    got = language_id.document_probabilities(model, texts)
+    for text, row in zip(texts, got):
+        total, n = [0.0] * 3, 0
+        for window, skip in zip(*language_id.cut(text)):
+            fore, back = walk(params[0], params[2], window.tolist()), walk(params[1], params[3], window.tolist()[::-1])[::-1]
+            for t in range(skip, len(window)):
+                both = fore[t] + back[t]
+                logits = [sum(float(params[4][k, i]) * both[i] for i in range(2 * size)) + float(params[5][k]) for k in range(3)]
+                e = [math.exp(v) for v in logits]
+                total = [a + b / sum(e) for a, b in zip(total, e)]
+                n += 1
+        assert n == len(text) and all(abs(a / n - b) < 1e-4 for a, b in zip(total, row))
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than a small sample has room for; none is dropped."""
+    monkeypatch.setattr(language_id, "MOST_DOCS", 20)
+    rows = [(i, chr(97 + i % 8) * 200, f"l{i % 8}", "s", None, "", "") for i in range(400)]
+    windows, labels, langs = language_id.sample_windows(docs_of(spark, rows))
+    assert langs == [f"l{k}" for k in range(8)] and set(labels) == set(range(8)) and len(windows) == len(labels)
+
+
 # --- language model
 
 
