@@ -4,12 +4,20 @@ Every stage works on all that its predecessor kept and is written as Parquet bef
 the next one reads it. Reading does not keep the order of several files, so the mixing
 stage writes each row's slot and order_key, and the last stage returns them with the
 digests: by (slot, order_key, doc_id) they are in the mixture's order.
+
+Defined cases, in any stage and in run(): a null or empty text has no words and goes in the
+first stage; null languages and sources are a group and a lane of their own; a null doc_id is
+kept like any other, but loses to a numbered one with the same text or the same shingles;
+rows that share a doc_id are decided each by their own text, rows equal in doc_id and text
+once; of equal texts the largest doc_id stays, of near duplicates the smallest; texts of any
+length are read whole; empty tables pass through; columns beyond those of documents stay with
+their rows up to the last stage, whatever their names, but for slot and order_key, which the
+mixing stage replaces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallymark.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 from tallymark.llm.common import staged
@@ -32,10 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows that repeat a doc_id share its place
-    place = docs.select(F.col("doc_id").cast("long").alias("_id"), "slot", "order_key").distinct()
-    digests = bpe.round_trip(docs)
-    return digests.join(place, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return bpe.round_trip(docs, carried=("slot", "order_key"))
 
 
 STAGES = [

@@ -485,7 +485,7 @@ def _laid_out(results: pa.Array, pieces: np.ndarray, starts: np.ndarray) -> Iter
     return (whole[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()))
 
 
-def _digesting(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _digesting(shared, carried: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Encode, decode the ids, and digest both; a piece's ids are decoded when the piece is new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +497,7 @@ def _digesting(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 pa.array([hashlib.sha256(w[:-1]).hexdigest() for w in written], pa.string()),
                 pa.array([hashlib.sha256(bytes(d).decode("utf-8", "replace").encode()).hexdigest() for d in decoded], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *(batch.column(c) for c in carried)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *carried])
 
     return run
 
@@ -525,10 +525,11 @@ def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_decoding(shared), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+def round_trip(docs: DataFrame, path: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, the digests of the ids and of the text decoded from them, and each row's ``carried`` columns."""
     shared = _shared(docs, path)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digesting(shared), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(_digesting(shared, carried), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
