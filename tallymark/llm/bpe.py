@@ -35,12 +35,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidied
 
 NEVER = np.int64(1 << 40)
 #: Pieces that a worker remembers (in each of the two generations of a Cache at most as many), words, and the longest piece that is cached.
-CACHE_PIECES = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_PIECES = 250_000
+CACHE_WORDS = 150_000
 CACHE_LENGTH = 64
 SHORT_WORD = 150
 _LAST = 1 << 40
@@ -281,7 +281,7 @@ class Encoder:
             self.known_good = np.union1d(self.known_good, fresh[good])
             self.known_bad = np.union1d(self.known_bad, fresh[~good])
         out = ~np.isin(keys, self.known_bad)
-        if len(self.known_good) + len(self.known_bad) > 4_000_000:
+        if len(self.known_good) + len(self.known_bad) > 1_000_000:
             self.known_good = self.known_bad = np.zeros(0, np.int64)
         return out
 
@@ -516,7 +516,7 @@ def _shared(df: DataFrame, path: str | None):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the token ids of every text."""
     shared = _shared(docs, path)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoding(shared), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_encoding(shared)), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -529,7 +529,7 @@ def round_trip(docs: DataFrame, path: str | None = None, carried: tuple[str, ...
     """doc_id, n_tokens, the digests of the ids and of the text decoded from them, and each row's ``carried`` columns."""
     shared = _shared(docs, path)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(_digesting(shared, carried), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(tidied(_digesting(shared, carried)), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact deduplication by a Golomb-coded fingerprint exchange (operator 1).
 
-1. Each block (one scan partition) hashes its normalised texts, sorts the distinct
-   64-bit fingerprints, cuts them by owner (the leading bits) and sends every owner
-   one Golomb-Rice coded list.
+1. Each block (a scan partition, or several where there are many) hashes its normalised
+   texts, sorts the distinct 64-bit fingerprints, cuts them by owner (the leading bits)
+   and sends every owner one Golomb-Rice coded list. The number of lists is that of
+   blocks times owners, and a block holds about ``BLOCK_LOAD`` rows whatever the scan.
 2. An owner decodes its lists and answers each block with a bitmap: which of its
    fingerprints another block holds too. Repeats inside a block are known there.
 3. Documents whose fingerprint is repeated are suspects. Only their texts are
@@ -29,10 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_rows, staged, utf8
+from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_rows, staged, tidied, utf8
 
 #: Fingerprints an owner holds at most, on average.
 OWNER_LOAD = 500_000
+#: Rows of a block where there are more than ``FEWEST_BLOCKS`` of them.
+BLOCK_LOAD = 200_000
+FEWEST_BLOCKS = 256
 #: Suspect ids that may be broadcast to filter the scan of texts (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -139,8 +143,10 @@ def group_equal(docs: DataFrame, bits: int = 64) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"))
-    prints = staged(texts.mapInArrow(_fingerprints(bits), "block long, row long, doc_id long, print long, digest binary"), "dedup-prints")
-    owners = 1 << max(6, (prints.count() // OWNER_LOAD).bit_length())
+    prints = staged(texts.mapInArrow(tidied(_fingerprints(bits)), "block long, row long, doc_id long, print long, digest binary"), "dedup-prints")
+    n = prints.count()
+    owners = 1 << max(6, (n // OWNER_LOAD).bit_length())
+    prints = prints.withColumn("block", F.col("block") % max(FEWEST_BLOCKS, n // BLOCK_LOAD))
     owners = min(owners, 1 << min(bits, 14))
     lists = prints.select("block", "print").repartition(F.col("block")).mapInArrow(_send(owners, bits), "owner long, block long, n long, k long, code binary")
     bitmaps = lists.groupBy("owner").applyInPandas(_answer, "block long, owner long, n long, bits binary")

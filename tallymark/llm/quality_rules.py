@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep_rows, staged, utf8
+from .common import bounded_batches, keep_rows, staged, tidied, utf8
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -93,7 +93,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, a hash of the text and the five counts of every row."""
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, lang string, source string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"), F.xxhash64("text").alias("text_hash"), "lang", "source").mapInArrow(_count_batches, schema)
+    return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"), F.xxhash64("text").alias("text_hash"), "lang", "source").mapInArrow(tidied(_count_batches), schema)
 
 
 def base_failed() -> Column:
