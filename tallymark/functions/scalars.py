@@ -125,3 +125,47 @@ def yes_probability(token: Column, logprob: Column, top: Column) -> Column:
 def incomplete(duration: Column, end: Column) -> Column:
     """Whether a transcript stops too early: a gap above 15 s and above a tenth of the duration."""
     return (duration - end) > F.greatest(F.lit(15.0), 0.1 * duration)
+
+
+def round_half_even(x: Column, scale: int = 100) -> Column:
+    """x to the nearest 1/scale, decided on its exact binary value, ties to even; null stays null.
+
+    The error of the product x * scale is computed exactly by splitting x, so that a value
+    that lies just below or above a half in binary is not taken for one.
+    """
+    s = F.lit(float(scale))
+    p = x * s
+    high = (x * F.lit(134217729.0)) - (x * F.lit(134217729.0) - x)
+    error = (high * s - p) + (x - high) * s
+    whole = F.floor(p).cast("double")
+    over = p - whole - F.lit(0.5)
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1))))
+    return F.when(up, whole + 1).otherwise(whole) / s
+
+
+def display_name(run: Column, prompt: Column) -> Column:
+    """Name of a run as <model>_<thinking|nothinking>_<prompt>; two hosted families have names of their own."""
+    thinking = lambda yes: F.when(yes, "thinking").otherwise("nothinking")
+    old = F.concat(F.lit("gemini-3.1-FL_"), thinking(~run.endswith("_nothink")), F.lit("_"), prompt)
+    new = F.concat(F.lit("gemini-3.5-flash-lite_"), prompt)
+    other = F.concat_ws("_", F.substring_index(run, "_", 1), thinking(run.endswith("thinking") & ~run.endswith("nothinking")), prompt)
+    return F.when(run.startswith("gemini-3.1-flash-lite"), old).when(run.startswith("gemini-3.5-flash-lite"), new).otherwise(other)
+
+
+#: fixed values: parts of a run's key and the input that they stand for, the first that fits counts
+INPUTS = [
+    ("31bthinkEN", False, "text (English, Gemma 31B-thinking translation of ITC)"),
+    ("31bEN", False, "text (English, Gemma 31B translation of ITC)"),
+    ("flash-lite_audio", True, "audio"),
+    ("audiotrans", False, "text (English, Gemini-translated from audio)"),
+    ("itc", False, "text (Indic-Transcribe-Core)"),
+    ("conformer", False, "text (Indic-Conformer)"),
+]
+
+
+def run_input(run: Column) -> Column:
+    """What a run was given, from its key; audio if nothing else is said."""
+    out = F.when(F.lit(False), "")
+    for part, at_end, name in INPUTS:
+        out = out.when(run.endswith(part) if at_end else F.contains(run, F.lit(part)), name)
+    return out.otherwise("audio")

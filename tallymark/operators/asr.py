@@ -58,3 +58,17 @@ def bucket_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
 def semantic_error_rate(affected: Column, reference: Column) -> Column:
     """Affected words per reference word, at most 1 and not below 0; null without reference."""
     return F.when(reference > 0, F.least(F.lit(1.0), F.greatest(affected, F.lit(0)) / reference))
+
+
+def translation_summary(calls: DataFrame, keys: list[str], statuses: list[str]) -> DataFrame:
+    """Per group: micro, mean and median error rate, shares of kept and lost tone and intent, and of the moments' statuses.
+
+    ``calls``: the keys, ser, aff, ref_words, tone, intent and moments (array of statuses).
+    """
+    share = lambda c, answer: F.avg((F.col(c) == answer).cast("double")).alias(f"{c}_{answer}")
+    total = F.sum(F.size("moments"))
+    rate = lambda s: ratio(F.sum(F.size(F.filter("moments", lambda m: m == s))), total).alias(f"{s}_rate")
+    return calls.groupBy(*keys).agg(
+        F.count("*").alias("n"), ratio(F.sum("aff"), F.sum("ref_words")).alias("micro_ser"), F.avg("ser").alias("mean_ser"), F.median("ser").alias("median_ser"),
+        *[share(c, a) for c in ("tone", "intent") for a in ("yes", "no")], total.cast("long").alias("moments"), *[rate(s) for s in statuses],
+    )

@@ -22,14 +22,14 @@ def metrics(df: DataFrame, tp: str = "tp", fp: str = "fp", fn: str = "fn", tn: s
 def per_file(files: DataFrame, gt: DataFrame, flags: DataFrame) -> DataFrame:
     """Counts and bucket of every (run, file); files without flags are rows too.
 
-    ``flag_fn`` follows the one-to-one pairing when it holds: reference flags less matched flags, never below 0.
+    ``flag_fn`` is reference flags less matched flags; the pairing is one to one, so it is not below 0.
     """
     g = gt.groupBy("file_id").agg(F.count("*").alias("n_gt"))
     m = flags.groupBy("run_key", "file_id").agg(F.count("*").alias("n_flags"), F.count_if("matched").alias("flag_tp"), F.count_if(redundant()).alias("flag_redundant"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     joined = files.join(g, "file_id", "left").join(m, ["run_key", "file_id"], "left").withColumns({c: zero(F.col(c)) for c in ("n_gt", "n_flags", "flag_tp", "flag_redundant")})
     bucket = F.when((F.col("n_gt") > 0) & (F.col("flag_tp") > 0), "TP").when(F.col("n_gt") > 0, "FN").when(F.col("n_flags") > 0, "FP").otherwise("TN")
-    return joined.withColumns({"flag_fp": F.col("n_flags") - F.col("flag_tp"), "flag_fn": F.greatest(F.col("n_gt") - F.col("flag_tp"), F.lit(0)), "file_bucket": bucket})
+    return joined.withColumns({"flag_fp": F.col("n_flags") - F.col("flag_tp"), "flag_fn": F.col("n_gt") - F.col("flag_tp"), "file_bucket": bucket})
 
 
 def with_all(df: DataFrame, column: str) -> DataFrame:

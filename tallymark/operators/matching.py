@@ -1,8 +1,8 @@
 """Pairing of model flags with reference flags.
 
-Candidate pairs come from equi-joins with a time band as residual. One-to-one
-assignment runs per (run, file): a file holds a bounded number of flags, and its
-candidates, not its flags' product, are what is gathered.
+Candidate pairs come from equi-joins on file and stretch of time. One-to-one assignment
+gathers the candidates of a (run, file), not its flags' product, and solves each connected
+group of them by itself.
 """
 
 from __future__ import annotations
@@ -15,31 +15,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at_chunk_border, time_decay
+from ..functions.udfs import text_ratio
 
 WEIGHT_CONTENT, WEIGHT_TIME, CATEGORY_BONUS = 0.70, 0.30, 0.15
 MIN_CONTENT, MIN_SCORE = 0.5, 0.45
 NOT_ALLOWED = 1e6
 
 
+def near_pairs(gt: DataFrame, flags: DataFrame, seconds: float) -> DataFrame:
+    """Pairs of one file at most ``seconds`` apart: run_key, file_id, gi, gc, mi, mc, delta.
+
+    Time is cut into stretches of that length and a reference flag stands in its own and
+    both beside it, so that a file with many flags is joined stretch by stretch.
+    """
+    stretch = lambda c: F.floor(F.col(c) / F.lit(float(max(seconds, 1))))
+    g = gt.select("file_id", F.col("category").alias("gc"), F.col("event_id").alias("gi"), F.col("t_sec").cast("double").alias("gs"))
+    g = g.withColumn("stretch", F.explode(F.sequence(stretch("gs") - 1, stretch("gs") + 1)))
+    f = flags.select("run_key", "file_id", F.col("category").alias("mc"), F.col("event_id").alias("mi"), F.col("t_sec").cast("double").alias("ms")).withColumn("stretch", stretch("ms"))
+    return f.join(g, ["file_id", "stretch"]).withColumn("delta", F.abs(F.col("gs") - F.col("ms"))).where(F.col("delta") <= seconds).select("run_key", "file_id", "gi", "gc", "mi", "mc", "delta")
+
+
+def mutual_pairs(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """The pairs of a run in which each side is the other's best by ``order`` (least first), then by the lower id."""
+    of_flag = pairs.groupBy("run_key", "mi").agg(F.min(F.struct(*order, "gi")).alias("a"))
+    of_gt = pairs.groupBy("run_key", "gi").agg(F.min(F.struct(*order, "mi")).alias("b"))
+    best = of_flag.select("run_key", "mi", F.col("a.gi").alias("gi")).join(of_gt.select("run_key", F.col("b.mi").alias("mi"), "gi"), ["run_key", "mi", "gi"], "left_semi")
+    return pairs.join(best, ["run_key", "mi", "gi"], "left_semi")
+
+
 def band_candidates(gt: DataFrame, flags: DataFrame, seconds: int = 15) -> DataFrame:
     """Pairs of one file and category at most ``seconds`` apart: run_key, file_id, gi, mi, delta."""
-    g = gt.select("file_id", "category", F.col("event_id").alias("gi"), F.col("t_sec").alias("gs"))
-    f = flags.select("run_key", "file_id", "category", F.col("event_id").alias("mi"), F.col("t_sec").alias("ms"))
-    near = (g["file_id"] == f["file_id"]) & (g["category"] == f["category"]) & (F.abs(g["gs"] - f["ms"]) <= seconds)
-    return f.join(g, near).select("run_key", f["file_id"], "gi", "mi", F.abs(F.col("gs") - F.col("ms")).alias("delta"))
+    return near_pairs(gt, flags, seconds).where("gc = mc").select("run_key", "file_id", "gi", "mi", F.col("delta").cast("int").alias("delta"))
+
+
+def prematched(candidates: DataFrame, gt_text: Column, flag_text: Column, least: float) -> DataFrame:
+    """Candidates whose texts are at least so similar, with the similarity."""
+    return candidates.withColumn("similarity", text_ratio(gt_text, flag_text)).where(F.col("similarity") >= least)
 
 
 def scored_candidates(gt: DataFrame, flags: DataFrame, content: Column, seconds: float = 60.0) -> DataFrame:
     """Pairs of one file within the time window, or with a flag at a chunk border, and their combined score.
 
     ``content`` is a similarity in [0, 1] over columns gi and mi; pairs below ``MIN_CONTENT`` are no candidates.
+    A flag at a chunk border has no usable time and meets all reference flags of its file.
     """
-    g = gt.select("file_id", F.col("category").alias("gc"), F.col("event_id").alias("gi"), F.col("t_sec").cast("double").alias("gs"))
-    f = flags.select("run_key", "file_id", F.col("category").alias("mc"), F.col("event_id").alias("mi"), F.col("t_sec").cast("double").alias("ms"))
-    unknown, delta = at_chunk_border(F.col("ms")), F.abs(F.col("gs") - F.col("ms"))
-    pairs = f.join(g, "file_id").where(unknown | (delta <= seconds)).withColumn("content", content).where(F.col("content") >= MIN_CONTENT)
+    unknown = at_chunk_border(F.col("t_sec").cast("double"))
+    near = near_pairs(gt, flags.where(~unknown), seconds).withColumn("known", F.lit(True))
+    g = gt.select("file_id", F.col("category").alias("gc"), F.col("event_id").alias("gi"))
+    f = flags.where(unknown).select("run_key", "file_id", F.col("category").alias("mc"), F.col("event_id").alias("mi"))
+    anywhere = f.join(g, "file_id").withColumns({"delta": F.lit(0.0), "known": F.lit(False)})
+    pairs = near.unionByName(anywhere).withColumn("content", content).where(F.col("content") >= MIN_CONTENT)
     bonus = F.when(F.col("gc") == F.col("mc"), CATEGORY_BONUS).otherwise(-CATEGORY_BONUS)
-    score = WEIGHT_CONTENT * F.col("content") + WEIGHT_TIME * time_decay(delta, ~unknown) + bonus
+    score = WEIGHT_CONTENT * F.col("content") + WEIGHT_TIME * time_decay(F.col("delta"), F.col("known")) + bonus
     return pairs.select("run_key", "file_id", "gi", "mi", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
 
@@ -83,15 +110,40 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[c]), c) for c in range(m) if owner[c] >= 0)
 
 
+def groups_of(gi: np.ndarray, mi: np.ndarray) -> np.ndarray:
+    """The connected group of every candidate pair."""
+    _, g = np.unique(gi, return_inverse=True)
+    _, m = np.unique(mi, return_inverse=True)
+    parent = list(range(int(g.max()) + int(m.max()) + 2))
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    m = m + int(g.max()) + 1
+    for a, b in zip(g.tolist(), m.tolist()):
+        parent[root(a)] = root(b)
+    return np.array([root(a) for a in g.tolist()])
+
+
 def best_pairs(scores: pd.DataFrame, least: float = MIN_SCORE) -> pd.DataFrame:
-    """Pairs of greatest total score; forced pairs that are no candidates and pairs below ``least`` are dropped."""
-    gs, ms = np.sort(scores["gi"].unique()), np.sort(scores["mi"].unique())
-    cost = np.full((len(gs), len(ms)), NOT_ALLOWED)
-    at = np.searchsorted(gs, scores["gi"]), np.searchsorted(ms, scores["mi"])
-    cost[at] = 1 - scores["score"]
+    """Pairs of greatest total score; pairs below ``least`` are dropped.
+
+    Candidates that share no flag do not compete, so each connected group of candidates
+    is assigned by itself, and the cost tables have the size of a group, not of a file.
+    """
+    if scores.empty:
+        return pd.DataFrame([], columns=["run_key", "file_id", "gi", "mi", "score"])
     key = scores[["run_key", "file_id"]].iloc[0]
-    rows = [(key["run_key"], key["file_id"], gs[i], ms[j], 1 - cost[i, j]) for i, j in least_cost(cost) if cost[i, j] < NOT_ALLOWED and 1 - cost[i, j] >= least - 1e-12]
-    return pd.DataFrame(rows, columns=["run_key", "file_id", "gi", "mi", "score"])
+    rows = []
+    for _, part in scores.groupby(groups_of(scores["gi"].to_numpy(), scores["mi"].to_numpy()), sort=False):
+        gs, ms = np.sort(part["gi"].unique()), np.sort(part["mi"].unique())
+        cost = np.full((len(gs), len(ms)), NOT_ALLOWED)
+        cost[np.searchsorted(gs, part["gi"]), np.searchsorted(ms, part["mi"])] = 1 - part["score"]
+        rows += [(key["run_key"], key["file_id"], gs[i], ms[j], 1 - cost[i, j]) for i, j in least_cost(cost) if cost[i, j] < NOT_ALLOWED and 1 - cost[i, j] >= least - 1e-12]
+    return pd.DataFrame(sorted(rows), columns=["run_key", "file_id", "gi", "mi", "score"])
 
 
 def verified_pairs(verify: Callable[[pd.DataFrame], pd.Series], rounds: int = 3, reference_compat: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -39,10 +39,11 @@ def auprc(rows: DataFrame, keys: list[str], score: str, positive: Column, totals
 
 
 def recall_at_fp(rows: DataFrame, keys: list[str], score: str, positive: Column, totals: DataFrame, budgets: list[int]) -> DataFrame:
-    """Recall of the last tie group whose false positives fit the budget, else 0."""
+    """Recall of the last tie group whose false positives fit the budget, else 0; null without a reference flag."""
     c = curve(rows, keys, score, positive).join(totals, keys)
     recall = F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt"))
-    return c.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("fp") <= b, recall)), F.lit(0.0)).alias(f"recall_at_{b}_fp") for b in budgets])
+    some = F.max("n_gt") > 0
+    return c.groupBy(*keys).agg(*[F.when(some, F.coalesce(F.max(F.when(F.col("fp") <= b, recall)), F.lit(0.0))).alias(f"recall_at_{b}_fp") for b in budgets])
 
 
 def average_precision(rows: DataFrame, keys: list[str], score: str, positive: Column, tiebreak: str) -> DataFrame:

@@ -75,12 +75,6 @@ def t7_semantic_wer(spark, d):
     return semantic(spark, d).select("item_id", C.ratio(affected(), F.col("ref_words")).alias("semantic_wer"))
 
 
-@query("t5_flat_metrics", f"with {SEM} select item_id, chunk, ref_words, a1 as meaning_words, a2 as omission_words from sem")
-def t5_flat_metrics(spark, d):
-    at = lambda i, n: F.col("discrepancies")[i]["words"].alias(n)
-    return semantic(spark, d).select("item_id", "chunk", "ref_words", at(0, "meaning_words"), at(1, "omission_words"))
-
-
 @query("a32_micro_average", f"with {SEM} select chunk, sum((a1 + a2) / ref_words::double * ref_words) filter (where ref_words > 0) / sum(ref_words) filter (where ref_words > 0) as micro from sem group by 1")
 def a32_micro_average(spark, d):
     s = semantic(spark, d).withColumn("ser", C.ratio(affected(), F.col("ref_words")))
@@ -108,39 +102,11 @@ def a35_wer_buckets(spark, d):
     return A.bucket_stats(s, "raw", "ser")
 
 
-@query("a36_significant_share", f"with {SEM}, v as (select (item_id % 17) / 10.0::double as v, a1 >= 3 as sig from sem) select {BIN} as bucket, count(*) as n, avg(case when sig then 1.0 else 0.0 end) as share from v group by 1")
-def a36_significant_share(spark, d):
-    from ..functions.scalars import tenth_bin
-
-    s = semantic(spark, d).select(tenth_bin(F.expr("(item_id % 17) / 10.0D")).alias("bucket"), (F.col("discrepancies")[0]["words"] >= 3).alias("sig"))
-    return s.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.col("sig").cast("double")).alias("share"))
-
-
-@query("a41_translation_summary", f"with {SEM}, v as (select language, least(1.0, greatest(a1 + a2 - 1, 0) / ref_words::double) as ser, ref_words, item_id % 5 > 0 as tone from sem), l as (select * from v union all select * replace ('ALL' as language) from v) select language, count(*) as n, avg(ser) as mean_ser, median(ser) as median_ser, sum(ser * ref_words) / sum(ref_words) as micro_ser, avg(case when tone then 1.0 else 0.0 end) as tone_rate from l group by 1")
-def a41_translation_summary(spark, d):
-    s = semantic(spark, d).withColumn("ser", A.semantic_error_rate(affected() - 1, F.col("ref_words"))).withColumn("tone", (F.col("item_id") % 5 > 0).cast("double"))
-    return C.with_all(s, "language").groupBy("language").agg(F.count("*").alias("n"), F.avg("ser").alias("mean_ser"), F.median("ser").alias("median_ser"), A.micro_average(F.col("ser"), F.col("ref_words")).alias("micro_ser"), F.avg("tone").alias("tone_rate"))
-
-
 @query("a42_error_rate_per_call", f"with {SEM} select item_id, least(1.0, greatest(a1 + a2 - 1, 0) / ref_words::double) as ser from sem")
 def a42_error_rate_per_call(spark, d):
     return semantic(spark, d).select("item_id", A.semantic_error_rate(affected() - 1, F.col("ref_words")).alias("ser"))
 
 
-@query("a44_category_counts", f"with {SEM} select chunk, median((a1 + a2) / ref_words::double) as median_ser, sum(a1)::bigint as meaning, sum(a2)::bigint as omission from sem group by 1")
-def a44_category_counts(spark, d):
-    s = semantic(spark, d)
-    words = s.select("item_id", "chunk", F.explode("discrepancies").alias("x")).groupBy("chunk").pivot("x.category", ["meaning", "omission"]).agg(F.sum("x.words"))
-    med = s.withColumn("ser", C.ratio(affected(), F.col("ref_words"))).groupBy("chunk").agg(F.median("ser").alias("median_ser"))
-    return med.join(words, "chunk")
-
-
-@query("v2_language_pivot", f"with {SEM} select language, avg((a1 + a2) / ref_words::double) filter (where chunk = 0) as chunk_0, avg((a1 + a2) / ref_words::double) filter (where chunk = 1) as chunk_1, avg((a1 + a2) / ref_words::double) filter (where chunk = 2) as chunk_2 from sem group by 1")
-def v2_language_pivot(spark, d):
-    s = semantic(spark, d).withColumn("ser", C.ratio(affected(), F.col("ref_words"))).withColumn("c", F.concat(F.lit("chunk_"), F.col("chunk").cast("string")))
-    return s.groupBy("language").pivot("c", ["chunk_0", "chunk_1", "chunk_2"]).agg(F.avg("ser"))
-
-
 @query("v3_combined_pivot", f"with {SEM} select language, item_id % 2 as model, count(*) filter (where chunk = 0) as n_0, avg(ref_words) filter (where chunk = 0) as words_0, count(*) filter (where chunk = 1) as n_1, avg(ref_words) filter (where chunk = 1) as words_1 from sem where chunk < 2 group by 1, 2")
 def v3_combined_pivot(spark, d):
     s = semantic(spark, d).where("chunk < 2").withColumn("model", F.expr("item_id % 2"))
@@ -156,8 +122,15 @@ def e22_reference_rows(spark, d):
     return g.withColumn("n_words", F.size(F.filter(F.split("full_text", " "), lambda w: w != "")).cast("long"))
 
 
-@query("e18_union_per_file", "select user_id, count(*) as n_flags, bool_and(value < 20) as all_failed from events group by 1")
-def e18_union_per_file(spark, d):
-    e = X.table(spark, d, "events")
-    g = e.groupBy("user_id").agg(F.flatten(F.collect_list(F.array("event_id"))).alias("flags"), F.bool_and(F.col("value") < 20).alias("all_failed"))
-    return g.select("user_id", F.size("flags").cast("long").alias("n_flags"), "all_failed")
+JUDGED = "v as (select language, item_id % 2 as source, least(1.0, greatest(a1 + a2 - 1, 0) / ref_words::double) as ser, greatest(a1 + a2 - 1, 0) as aff, ref_words, case item_id % 5 when 0 then 'no' when 1 then 'partly' else 'yes' end as tone, case item_id % 4 when 0 then 'no' else 'yes' end as intent, item_id % 3 as n_moments, case when item_id % 3 > 0 then 1 else 0 end as n_kept, case when item_id % 3 > 1 then 1 else 0 end as n_lost from sem)"
+
+
+@query("a41_translation_summary", f"with {SEM}, {JUDGED}, l as (select * from v union all select * replace ('ALL' as language) from v) select source, language, count(*) as n, sum(aff) / sum(ref_words)::double as micro_ser, avg(ser) as mean_ser, median(ser) as median_ser, " + ", ".join(f"avg(({c} = '{a}')::int) as {c}_{a}" for c in ("tone", "intent") for a in ("yes", "no")) + ", sum(n_moments)::bigint as moments, sum(n_kept) / nullif(sum(n_moments), 0)::double as preserved_rate, sum(n_lost) / nullif(sum(n_moments), 0)::double as lost_rate from l group by 1, 2")
+def a41_translation_summary(spark, d):
+    """Error rates, tone and intent, and the status of the moments that matter, by source overall and by language."""
+    status = F.slice(F.array(F.lit("preserved"), F.lit("lost")), F.lit(1), (F.col("item_id") % 3).cast("int"))
+    s = semantic(spark, d).withColumns({
+        "source": F.col("item_id") % 2, "ser": A.semantic_error_rate(affected() - 1, F.col("ref_words")), "aff": F.greatest(affected() - 1, F.lit(0)),
+        "tone": F.expr("case item_id % 5 when 0 then 'no' when 1 then 'partly' else 'yes' end"), "intent": F.expr("case item_id % 4 when 0 then 'no' else 'yes' end"), "moments": status,
+    })
+    return A.translation_summary(C.with_all(s, "language"), ["source", "language"], ["preserved", "lost"])

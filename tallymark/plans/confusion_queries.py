@@ -14,7 +14,7 @@ FILE_STATE = """
 st as (select f.run_key, f.file_id, f.language, coalesce(g.n, 0) as n_gt, coalesce(m.n, 0) as n_flags, coalesce(m.tp, 0) as flag_tp, coalesce(m.red, 0) as flag_redundant
   from fx_files f left join (select file_id, count(*) as n from fx_gt group by 1) g using (file_id)
   left join (select run_key, file_id, count(*) as n, count(*) filter (where matched) as tp, count(*) filter (where fp_type = 'DUPLICATE_OR_EXTRA_INSTANCE') as red from fx_scored group by 1, 2) m using (run_key, file_id)),
-pf as (select *, n_flags - flag_tp as flag_fp, greatest(n_gt - flag_tp, 0) as flag_fn,
+pf as (select *, n_flags - flag_tp as flag_fp, n_gt - flag_tp as flag_fn,
   case when n_gt > 0 and flag_tp > 0 then 'TP' when n_gt > 0 then 'FN' when n_flags > 0 then 'FP' else 'TN' end as file_bucket from st)
 """
 RATIOS = "tp / nullif(tp + fp, 0)::double as precision, tp / nullif(tp + fn, 0)::double as recall, tn / nullif(tn + fp, 0)::double as specificity, (tp + tn) / nullif(tp + fp + fn + tn, 0)::double as accuracy"
@@ -137,7 +137,7 @@ def a6_file_level_pp(spark, d):
 @query("a7_flag_level_pp", f"""with {PP}, st as (select f.run_key, f.file_id, (select count(*) from fx_gt g where g.file_id = f.file_id) as n_gt,
   (select count(*) from p3 where p3.run_key = f.run_key and p3.file_id = f.file_id and not pp_dropped) as n_flags, (select count(*) from p3 where p3.run_key = f.run_key and p3.file_id = f.file_id and not pp_dropped and matched) as flag_tp,
   (select count(*) from p3 where p3.run_key = f.run_key and p3.file_id = f.file_id and not pp_dropped and fp_type = 'DUPLICATE_OR_EXTRA_INSTANCE') as flag_redundant from fx_files f),
-pf as (select *, n_flags - flag_tp as flag_fp, greatest(n_gt - flag_tp, 0) as flag_fn from st), c as (select run_key, {FLAG_SUMS} from pf group by 1)
+pf as (select *, n_flags - flag_tp as flag_fp, n_gt - flag_tp as flag_fn from st), c as (select run_key, {FLAG_SUMS} from pf group by 1)
 select run_key, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn, redundant::bigint as redundant, {FLAG_RATIOS} from c""", fx=True)
 def a7_flag_level_pp(spark, d):
     files, gt, flags = tables(spark, d)
@@ -179,15 +179,11 @@ def a12_violation_by_matched(spark, d):
 
 
 def matched_index(flags, gt):
-    """The reference flags that some flag of the run matches, by the fixture's rule."""
-    g = gt.select("file_id", F.col("event_id").alias("gt_index"), F.col("category").alias("gc"), F.col("t_sec").alias("gs"))
-    runs = flags.select("run_key").distinct()
-    f = flags.select("run_key", F.col("file_id").alias("ff"), F.col("category").alias("fc"), F.col("t_sec").alias("fs")).withColumnRenamed("run_key", "fr")
-    grid = g.crossJoin(F.broadcast(runs))
-    return grid.join(f, (F.col("fr") == F.col("run_key")) & (F.col("ff") == F.col("file_id")) & (F.col("fc") == F.col("gc")) & (F.abs(F.col("fs") - F.col("gs")) <= 60), "left_semi").select("run_key", "file_id", "gt_index")
+    """(run_key, file_id, gt_index) of the reference flags that a run caught."""
+    return flags.where("matched").select("run_key", "file_id", F.col("matched_gi").alias("gt_index"))
 
 
-HITS = "hits as (select r.run_key, g.file_id, g.event_id as gt_index from fx_gt g cross join (select distinct run_key from fx_scored) r where exists (select 1 from fx_scored s where s.run_key = r.run_key and s.file_id = g.file_id and s.category = g.category and abs(s.t_sec - g.t_sec) <= 60))"
+HITS = "hits as (select run_key, file_id, matched_gi as gt_index from fx_scored where matched)"
 
 
 @query("a3_qualifying_bucket", f"""with {FILE_STATE}, {HITS}, q as (select pf.run_key, pf.file_id, pf.file_bucket, count(w.event_id) as n_wanted, count(h.gt_index) as n_hit
@@ -270,12 +266,39 @@ def a23_file_buckets_by_confidence(spark, d):
     return state.groupBy("run_key", F.col("cat").alias("category"), bucket).agg(F.count_if("pos").alias("pos_files"), F.count_if(~F.col("pos")).alias("neg_files"))
 
 
-@query("a17_mode_diagnostics", f"""with {MODES}, k as (select * from modes where not is_dropped), au as (select run_key, mode, sum(case when matched then rk end) as rs, count(*) filter (where matched) as p, count(*) filter (where not matched) as q from
- (select *, rank() over (partition by run_key, mode order by coalesce(score, -1)) + (count(*) over (partition by run_key, mode, coalesce(score, -1)) - 1) / 2.0 as rk from k) group by 1, 2)
-select a.run_key, a.mode, n, n_dropped, n_capped, below_06, below_08, (rs - p * (p + 1) / 2.0) / (p::double * q) as auroc from au a join
-(select run_key, mode, count(*) as n, count(*) filter (where is_dropped) as n_dropped, count(*) filter (where not is_dropped and score < coalesce(confidence, 0)) as n_capped, count(*) filter (where confidence >= 0.6 and score < 0.6) as below_06, count(*) filter (where confidence >= 0.8 and score < 0.8) as below_08 from modes group by 1, 2) s using (run_key, mode)""", fx=True)
+RATE = "cast(printf('%.2f', count(*) filter (where matched) / count(*)::double) as varchar)"
+
+
+def _auroc_sql(name: str, rows: str) -> str:
+    """Rank form of the AUROC of each run and mode over rows (run_key, mode, sig, matched)."""
+    return f"""{name} as (select run_key, mode, (sum(rk) filter (where matched) - count(*) filter (where matched) * (count(*) filter (where matched) + 1) / 2.0) / nullif(count(*) filter (where matched)::double * count(*) filter (where not matched), 0) as auroc from
+ (select *, rank() over (partition by run_key, mode order by sig) + (count(*) over (partition by run_key, mode, sig) - 1) / 2.0 as rk from {rows}) group by 1, 2)"""
+
+
+@query("a17_mode_diagnostics", f"""with {MODES}, m as (select *, coalesce(score, 0) as sig, score < confidence as lower_ from modes), k as (select * from m where not is_dropped), z as (select * replace (case when is_dropped then -1.0 else sig end as sig) from m), {_auroc_sql('au', 'k')}, {_auroc_sql('az', 'z')},
+s as (select run_key, mode, count(*) as n, count(*) filter (where is_dropped) as n_dropped, count(*) filter (where is_dropped and matched) as n_dropped_tp, count(*) filter (where not is_dropped and lower_) as n_capped, count(*) filter (where not is_dropped and lower_ and matched) as n_capped_tp,
+ count(*) filter (where not is_dropped and matched and confidence >= 0.6 and score < 0.6) as below_06, count(*) filter (where not is_dropped and matched and confidence >= 0.8 and score < 0.8) as below_08 from m group by 1, 2),
+ra as (select run_key, mode, string_agg(act || '=' || r, ',' order by act) as by_act from (select run_key, mode, coalesce(speech_act, '(missing)') as act, {RATE} as r from k where mode in ('sa', 'pp_full') group by 1, 2, 3) group by 1, 2),
+rs as (select run_key, mode, string_agg(spk || '=' || r, ',' order by spk) as by_speaker from (select run_key, mode, coalesce(speaker, '(missing)') as spk, {RATE} as r from k where mode in ('sa', 'pp_full') group by 1, 2, 3) group by 1, 2)
+select s.*, au.auroc, az.auroc as auroc_dropped_lowest, by_act, by_speaker from s join au using (run_key, mode) join az using (run_key, mode) left join ra using (run_key, mode) left join rs using (run_key, mode)""", fx=True)
 def a17_mode_diagnostics(spark, d):
-    m = S.by_mode(tables(spark, d)[2])
-    down = lambda t: F.count_if((F.col("confidence") >= t) & (F.col("score") < t))
-    stats = m.groupBy("run_key", "mode").agg(F.count("*").alias("n"), F.count_if("is_dropped").alias("n_dropped"), F.count_if(~F.col("is_dropped") & (F.col("score") < F.coalesce("confidence", F.lit(0.0)))).alias("n_capped"), down(0.6).alias("below_06"), down(0.8).alias("below_08"))
-    return stats.join(R.auroc(m.where("not is_dropped"), ["run_key", "mode"], "score", F.col("matched")).select("run_key", "mode", "auroc"), ["run_key", "mode"])
+    """Per run and mode: what is dropped, capped and pushed below 0.6 and 0.8, the AUROC without and with dropped flags as lowest, and rates of true flags by act and speaker."""
+    from ..functions.scalars import round_half_even
+
+    m = S.by_mode(tables(spark, d)[2]).withColumn("sig", F.coalesce("score", F.lit(0.0)))
+    kept, lower = ~F.col("is_dropped"), F.coalesce(F.col("score") < F.col("confidence"), F.lit(False))
+    pushed = lambda t: F.count_if(kept & F.col("matched") & (F.col("confidence") >= t) & (F.col("score") < t))
+    keys = ["run_key", "mode"]
+    stats = m.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if("is_dropped").alias("n_dropped"), F.count_if(F.col("is_dropped") & F.col("matched")).alias("n_dropped_tp"), F.count_if(kept & lower).alias("n_capped"),
+        F.count_if(kept & lower & F.col("matched")).alias("n_capped_tp"), pushed(0.6).alias("below_06"), pushed(0.8).alias("below_08"),
+    )
+    au = R.auroc(m.where(kept), keys, "sig", F.col("matched")).select(*keys, "auroc")
+    low = R.auroc(m.withColumn("sig", F.when(kept, F.col("sig")).otherwise(-1.0)), keys, "sig", F.col("matched")).select(*keys, F.col("auroc").alias("auroc_dropped_lowest"))
+
+    def rates(column: str, name: str):
+        rows = m.where(kept & F.col("mode").isin("sa", "pp_full")).groupBy(*keys, F.coalesce(column, F.lit("(missing)")).alias("v")).agg(F.avg(F.col("matched").cast("double")).alias("r"))
+        shown = F.concat_ws("=", "v", F.format_string("%.2f", round_half_even(F.col("r"))))
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", shown.alias("t")))), lambda x: x["t"]), ",").alias(name))
+
+    return stats.join(au, keys).join(low, keys).join(rates("speech_act", "by_act"), keys, "left").join(rates("speaker", "by_speaker"), keys, "left")

@@ -30,32 +30,12 @@ def io4_first_wins(spark, d):
     return io.first_wins(X.base(spark, d).select("file_id", "event_id", "category"), ["file_id"], "event_id")
 
 
-@query("io5_gt_scan", "select file_id, event_id, category, t_sec, confidence from fx_gt", fx=True)
-def io5_gt_scan(spark, d):
-    """Reference documents with nested flags: both statuses must be success; flags are taken out in order."""
-    b = X.gt_flags(X.base(spark, d))
-    flag = F.struct("event_id", "category", "t_sec", "confidence")
-    docs = b.groupBy("file_id").agg(F.array_sort(F.collect_list(flag)).alias("flags")).withColumns({"transcript_status": F.lit("success"), "class_status": F.lit("success")})
-    out = docs.where("transcript_status = 'success' and class_status = 'success'").select("file_id", F.posexplode("flags").alias("gt_index", "f"))
-    return out.select("file_id", "f.*")
-
-
-@query("io6_model_scan", "select run_key, event_id, -entropy_mean as neg_entropy from fx_scored", fx=True)
-def io6_model_scan(spark, d):
-    return tables(spark, d)[2].select("run_key", "event_id", (-F.col("entropy_mean")).alias("neg_entropy"))
-
-
 @query("io7_score_input", "select distinct s.run_key, s.file_id from fx_scored s where s.file_id in (select file_id from fx_gt)", fx=True)
 def io7_score_input(spark, d):
     _, gt, flags = tables(spark, d)
     return flags.select("run_key", "file_id").distinct().join(gt.select("file_id"), "file_id", "left_semi").select("run_key", "file_id")
 
 
-@query("io8_cache_scan", "select run_key, count(*) as n, count(distinct file_id) as files from fx_scored where language = 'tamil' group by 1", fx=True)
-def io8_cache_scan(spark, d):
-    return tables(spark, d)[2].where("language = 'tamil'").groupBy("run_key").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
-
-
 @query("io10_keyed_merge", "select run_key, event_id, 'old' as origin from fx_scored where run_key <> 'm2' union all select run_key, event_id, 'new' from fx_scored where run_key = 'm2' and event_id % 2 = 0", fx=True)
 def io10_keyed_merge(spark, d):
     flags = tables(spark, d)[2].select("run_key", "event_id")
@@ -76,33 +56,6 @@ def io12_resume(spark, d):
     return io.todo(f, done, ["file_id"], F.col("status") == "success").select("file_id")
 
 
-@query("io14_log_scan", "select user_id, event_id, event_type as level from events where event_type in ('error', 'signup')")
-def io14_log_scan(spark, d):
-    lines = X.table(spark, d, "events").select("user_id", "event_id", F.concat_ws(" ", F.lit("2024-01-01"), F.concat(F.lit("["), "event_type", F.lit("]")), F.col("event_id").cast("string")).alias("line"))
-    level = F.regexp_extract("line", r"^\S+ \[(\w+)\] (\d+)$", 1)
-    return lines.withColumn("level", level).where(F.col("level").isin("error", "signup")).select("user_id", "event_id", "level")
-
-
-@query("io15_review_manifest", "select f.file_id, case when f.user_id % 2 = 0 then 'TP' else 'FP' end as folder, count(g.event_id) as n_gt from (select distinct file_id, user_id from fx_base) f left join fx_gt g using (file_id) group by 1, 2 having (folder = 'TP') <> (count(g.event_id) > 0)", fx=True)
-def io15_review_manifest(spark, d):
-    b = X.base(spark, d)
-    n = X.gt_flags(b).groupBy("file_id").agg(F.count("*").alias("n_gt"))
-    f = b.select("file_id", F.when(F.col("user_id") % 2 == 0, "TP").otherwise("FP").alias("folder")).distinct().join(n, "file_id", "left").fillna(0, ["n_gt"])
-    return f.where((F.col("folder") == "TP") != (F.col("n_gt") > 0))
-
-
-@query("io16_run_discovery", "select run_key, 'v' || regexp_extract(folder, '_promptv([0-9]+)$', 1) as prompt from (select distinct run_key, 'results_promptv' || (event_id % 8 + 2) as folder from fx_scored)", fx=True)
-def io16_run_discovery(spark, d):
-    runs = tables(spark, d)[2].select("run_key", F.expr("concat('results_promptv', event_id % 8 + 2)").alias("folder")).distinct()
-    return runs.select("run_key", F.concat(F.lit("v"), F.regexp_extract("folder", r"_promptv([0-9]+)$", 1)).alias("prompt"))
-
-
-@query("io17_timing_rows", "select event_id, cast(json_extract_string(props, '$.k') as double) / 10 as seconds from events where event_type = 'view'")
-def io17_timing_rows(spark, d):
-    meta = F.from_json("props", "struct<k: double>")
-    return X.table(spark, d, "events").where("event_type = 'view'").select("event_id", (meta["k"] / 10).alias("seconds"))
-
-
 @query("u1_union_all", "select event_id, 'gt' as side from fx_gt union all select event_id, 'model' from fx_scored", fx=True)
 def u1_union_all(spark, d):
     _, gt, flags = tables(spark, d)
@@ -148,6 +101,3 @@ def e24_text_fallback(spark, d):
     return t.select("conv_id", "turn", F.coalesce(F.nullif(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(""), F.lit("")), "role").alias("shown"))
 
 
-@query("e27_error_rows", "select event_id, 'error' as status, event_type as reason from events where event_type = 'error' and value > 50")
-def e27_error_rows(spark, d):
-    return X.table(spark, d, "events").where("event_type = 'error' and value > 50").select("event_id", F.lit("error").alias("status"), F.col("event_type").alias("reason"))

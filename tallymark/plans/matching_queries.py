@@ -55,18 +55,6 @@ def j7_verified_assignment(spark, d):
     return M.assign(candidates(spark, d), M.verified_pairs(_odd_sum))
 
 
-@query("a45_match_reliability")
-def a45_match_reliability(spark, d):
-    c = candidates(spark, d)
-    return M.reliability(M.assign(c), M.assign(c).where("(gi + mi) % 5 <> 0"))
-
-
-@query("a46_matcher_stability")
-def a46_matcher_stability(spark, d):
-    c = candidates(spark, d)
-    return M.same_pairs(M.assign(c), M.assign(c, M.greedy_pairs))
-
-
 @query("j1_lookup_join", "select e.event_id, s.duration_s, s.snr_db from fx_base e left join fx_segments s on s.file_id = e.file_id and e.event_id % 3 > 0", fx=True)
 def j1_lookup_join(spark, d):
     b = X.base(spark, d)
@@ -74,14 +62,6 @@ def j1_lookup_join(spark, d):
     return b.join(seg, (F.col("sf") == F.col("file_id")) & (F.col("event_id") % 3 > 0), "left").select("event_id", "duration_s", "snr_db")
 
 
-@query("j2_three_way_join", "select l.l_orderkey, l.l_linenumber, p.p_brand, s.s_name from lineitem l join part p on p.p_partkey = l.l_partkey join supplier s on s.s_suppkey = l.l_suppkey where p.p_size < 10")
-def j2_three_way_join(spark, d):
-    t = lambda n: X.table(spark, d, n)
-    parts = t("part").where("p_size < 10").select("p_partkey", "p_brand")
-    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "p_brand", "s_name")
-
-
 @query("j8_dev_membership", "select event_id from fx_scored where file_id in (select file_id from fx_base where user_id % 8 = 0)", fx=True)
 def j8_dev_membership(spark, d):
     b = X.base(spark, d)
@@ -162,14 +142,6 @@ def p12_duplicate_rule(spark, d):
     return S.enforce_duplicates(verdicts, matched_index(flags, gt)).select("event_id", "final_type", "low_confidence")
 
 
-@query("a37_fp_breakdown", "select run_key, coalesce(language, 'ALL') as language, fp_type, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by run_key, coalesce(language, 'ALL')) as pct from fx_scored where fp_type is not null group by grouping sets ((run_key, language, fp_type), (run_key, fp_type))", fx=True)
-def a37_fp_breakdown(spark, d):
-    from pyspark.sql import Window as W
-
-    n = C.with_all(tables(spark, d)[2].where("fp_type is not null"), "language").groupBy("run_key", "language", "fp_type").agg(F.count("*").alias("n"))
-    return n.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy("run_key", "language")))
-
-
 @query("e8_breakdown_bundle", "select run_key, grouping(language) = 0 as by_language, grouping(category) = 0 as by_category, coalesce(language, category, 'ALL') as grp, fp_type, count(*) as n from fx_scored where fp_type is not null group by grouping sets ((run_key, fp_type), (run_key, language, fp_type), (run_key, category, fp_type))", fx=True)
 def e8_breakdown_bundle(spark, d):
     f = tables(spark, d)[2].where("fp_type is not null")
@@ -196,12 +168,6 @@ def a39_adjusted_precision(spark, d):
     return s.select("run_key", share("tp0", "fp0").alias("raw_flag"), share("tp1", "fp1").alias("adjusted_flag"), share("ft0", "ff0").alias("raw_file"), share("ft1", "ff1").alias("adjusted_file"))
 
 
-@query("a40_review_agreement", "select coalesce(fp_type, 'ALL') as fp_type, count(*) as n, avg(case when event_id % 4 > 0 then 1.0 else 0.0 end) as agreement from fx_scored where fp_type is not null group by grouping sets ((fp_type), ())", fx=True)
-def a40_review_agreement(spark, d):
-    f = C.with_all(tables(spark, d)[2].where("fp_type is not null"), "fp_type")
-    return f.groupBy("fp_type").agg(F.count("*").alias("n"), F.avg((F.col("event_id") % 4 > 0).cast("double")).alias("agreement"))
-
-
 @query("a48_eligibility_reconciliation", f"with {FILE_STATE} select a.run_key, n_eligible, n_fp, n_eligible = n_fp as equal from (select run_key, count(*) as n_eligible from fx_scored where not matched group by 1) a join (select run_key, sum(flag_fp)::bigint as n_fp from pf group by 1) b using (run_key)", fx=True)
 def a48_eligibility_reconciliation(spark, d):
     files, gt, flags = tables(spark, d)
@@ -210,15 +176,64 @@ def a48_eligibility_reconciliation(spark, d):
     return a.join(b, "run_key").withColumn("equal", F.col("n_eligible") == F.col("n_fp"))
 
 
-@query("e6_work_items", "select s.event_id, (select count(*) from fx_scored o where o.run_key = s.run_key and o.file_id = s.file_id and o.event_id <> s.event_id) as n_siblings from fx_scored s where not matched and event_id % 4 <> 1", fx=True)
-def e6_work_items(spark, d):
-    """Unmatched flags without a valid cached verdict, with the number of other flags of their file."""
-    flags = tables(spark, d)[2]
-    cached = flags.where("event_id % 4 = 1").select("event_id")
-    n = flags.groupBy("run_key", "file_id").agg((F.count("*") - 1).alias("n_siblings"))
-    return flags.where(~F.col("matched")).join(cached, "event_id", "left_anti").join(n, ["run_key", "file_id"]).select("event_id", "n_siblings")
-
-
 @query("e7_flag_report", "select run_key, file_id, language, event_id, category, fp_type, confidence, entropy_mean from fx_scored where fp_type is not null", fx=True)
 def e7_flag_report(spark, d):
     return tables(spark, d)[2].where("fp_type is not null").select("run_key", "file_id", "language", "event_id", "category", "fp_type", "confidence", "entropy_mean")
+
+
+@query("a37_fp_breakdown", "with c as (select run_key, cut.axis, cut.grp, fp_type from fx_scored, lateral (values ('overall', 'ALL'), ('language', language), ('category', category)) cut(axis, grp) where fp_type is not null) select run_key, axis, grp, fp_type, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by run_key, axis, grp) as pct from c group by 1, 2, 3, 4", fx=True)
+def a37_fp_breakdown(spark, d):
+    """Types of false positives overall, by language and by category, as counts and shares of their group."""
+    from pyspark.sql import Window as W
+
+    cuts = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), g.alias("grp")) for a, g in (("overall", F.lit("ALL")), ("language", F.col("language")), ("category", F.col("category")))])).alias("c")
+    n = tables(spark, d)[2].where("fp_type is not null").select("run_key", "fp_type", cuts).groupBy("run_key", "c.axis", "c.grp", "fp_type").agg(F.count("*").alias("n"))
+    return n.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy("run_key", "axis", "grp")))
+
+
+REVIEW = "rv as (select event_id, case event_id % 5 when 0 then 'GT_MISS' when 1 then null when 2 then 'MATCHER_MISS' else fp_mark end as human from fx_base b join (select event_id as e, fp_mark from fx_scored) s on s.e = b.event_id where event_id % 3 > 0)"
+
+
+@query("a40_review_agreement", f"with {REVIEW}, j as (select fp_type, human = fp_type as agrees from fx_scored join rv using (event_id) where fp_type is not null and human is not null) select coalesce(fp_type, 'ALL') as fp_type, count(*) as n, count(*) filter (where agrees) as n_agree, 100.0 * count(*) filter (where agrees) / count(*) as pct from j group by grouping sets ((fp_type), ())", fx=True)
+def a40_review_agreement(spark, d):
+    """Verdicts beside those of a review sheet that people filled in for some flags; empty lines do not count."""
+    flags = tables(spark, d)[2]
+    human = F.expr("case event_id % 5 when 0 then 'GT_MISS' when 1 then null when 2 then 'MATCHER_MISS' else fp_mark end")
+    review = flags.where("event_id % 3 > 0").select("event_id", human.alias("human")).where("human is not null")
+    j = flags.where("fp_type is not null").select("event_id", "fp_type").join(review, "event_id")
+    judged = j.withColumn("agrees", F.col("human") == F.col("fp_type"))
+    g = C.with_all(judged, "fp_type").groupBy("fp_type").agg(F.count("*").alias("n"), F.count_if("agrees").alias("n_agree"))
+    return g.withColumn("pct", 100.0 * F.col("n_agree") / F.col("n"))
+
+
+MUTUAL = """mu as (select run_key, file_id, gi, mi, gc = mc as confirmed from (select s.run_key, s.file_id, g.event_id as gi, s.event_id as mi, g.category as gc, s.category as mc,
+  row_number() over (partition by s.run_key, s.event_id order by abs(g.t_sec - s.t_sec), g.event_id) as a, row_number() over (partition by s.run_key, g.event_id order by abs(g.t_sec - s.t_sec), s.event_id) as b
+  from fx_scored s join fx_gt g on g.file_id = s.file_id and abs(g.t_sec - s.t_sec) <= {w}) where a = 1 and b = 1)"""
+
+
+def nearest(spark, d, seconds):
+    """Pairs of each other's nearest flags within a file, with the verdict on them: only equal categories are confirmed."""
+    _, gt, flags = tables(spark, d)
+    return M.mutual_pairs(M.near_pairs(gt, flags, seconds), ["delta"]).withColumn("confirmed", F.col("gc") == F.col("mc"))
+
+
+@query("a45_match_reliability", f"with {MUTUAL.format(w=60)} select run_key, count(*) as n_proposed, count(*) filter (where confirmed) as n_confirmed, count(*) filter (where confirmed) / count(*)::double as match_reliability from mu group by 1", fx=True)
+def a45_match_reliability(spark, d):
+    pairs = nearest(spark, d, 60)
+    return M.reliability(pairs, pairs.where("confirmed"))
+
+
+@query("a46_matcher_stability", f"with {MUTUAL.format(w=60)}, m2 as ({MUTUAL.format(w=30).removeprefix('mu as (')}, t as (select run_key, file_id, gi, mi, 1 as w from mu union all select run_key, file_id, gi, mi, 2 from m2), p as (select run_key, file_id, gi, mi, sum(w) as w from t group by 1, 2, 3, 4) select run_key, file_id, bool_and(w = 3) as stable from p group by 1, 2", fx=True)
+def a46_matcher_stability(spark, d):
+    """The same matcher twice, the second time with a narrower window: files whose pairs are all the same are stable."""
+    return M.same_pairs(nearest(spark, d, 60), nearest(spark, d, 30))
+
+
+@query("j3_prematch")
+def j3_prematch(spark, d):
+    """Candidates of one category within 15 s whose texts are alike, assigned greedily by likeness."""
+    _, gt, flags = tables(spark, d)
+    near = M.band_candidates(gt, flags)
+    text = lambda c: F.concat(F.lit("said at "), F.col(c) % 10, F.lit(" words "), F.col(c) % 7)
+    alike = M.prematched(near, text("gi"), text("mi"), 0.5).select("run_key", "file_id", "gi", "mi", F.col("similarity").alias("score"))
+    return M.assign(alike, M.greedy_pairs)

@@ -29,12 +29,6 @@ def r1_auroc_runs(spark, d):
     return R.auroc(tables(spark, d)[2], ["run_key"], "confidence", F.col("matched"))
 
 
-@query("r2_auroc_by_pairs", "select a.run_key, avg(case when coalesce(a.confidence, -1) > coalesce(b.confidence, -1) then 1.0 when coalesce(a.confidence, -1) = coalesce(b.confidence, -1) then 0.5 else 0.0 end) as auroc from fx_scored a join fx_scored b on a.run_key = b.run_key and a.matched and not b.matched group by 1", fx=True)
-def r2_auroc_by_pairs(spark, d):
-    """The pair-counting form has the value of the rank form, which needs no self join."""
-    return R.auroc(tables(spark, d)[2], ["run_key"], "confidence", F.col("matched")).select("run_key", "auroc")
-
-
 CURVE = """
 n_gt as (select r.run_key, (select count(*) from fx_gt) as n_gt from (select distinct run_key from fx_scored) r),
 tg as (select run_key, confidence as s, count(*) as n, count(*) filter (where matched) as p from fx_scored group by 1, 2),
@@ -51,7 +45,7 @@ def r3_auprc_tied(spark, d):
     return R.auprc(tables(spark, d)[2], ["run_key"], "confidence", F.col("matched"), gt_totals(spark, d))
 
 
-@query("r5_recall_at_fp_budget", f"with {CURVE} select run_key, " + ", ".join(f"coalesce(max(tp / n_gt::double) filter (where fp <= {b}), 0) as recall_at_{b}_fp" for b in (10, 25, 50, 100)) + " from cv group by 1", fx=True)
+@query("r5_recall_at_fp_budget", f"with {CURVE} select run_key, " + ", ".join(f"case when max(n_gt) > 0 then coalesce(max(tp / n_gt::double) filter (where fp <= {b}), 0) end as recall_at_{b}_fp" for b in (10, 25, 50, 100)) + " from cv group by 1", fx=True)
 def r5_recall_at_fp_budget(spark, d):
     return R.recall_at_fp(tables(spark, d)[2], ["run_key"], "confidence", F.col("matched"), gt_totals(spark, d), [10, 25, 50, 100])
 
@@ -108,13 +102,6 @@ def a47_token_usage(spark, d):
     return e.groupBy(F.col("event_type").alias("modality")).agg(F.count("*").alias("n"), F.sum("k").alias("tokens"), F.sum(F.col("value") * 0.001).alias("cost"))
 
 
-@query("a47_usage_by_map", "select user_id, string_agg(event_type || '=' || n, ',' order by event_type) as by_type from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1")
-def a47_usage_by_map(spark, d):
-    n = X.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    m = n.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
-    return m.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("by_type"))
-
-
 @query("l1_sorted_ids", "select run_key, event_id, row_number() over (partition by run_key order by confidence desc nulls last, event_id) as place from fx_scored", fx=True)
 def l1_sorted_ids(spark, d):
     return tables(spark, d)[2].select("run_key", "event_id", F.row_number().over(W.partitionBy("run_key").orderBy(F.desc_nulls_last("confidence"), "event_id")).alias("place"))
@@ -141,18 +128,57 @@ def l4_review_sample(spark, d):
     return f.withColumn("_i", F.row_number().over(w)).where(always | low | (F.col("_i") <= 5)).select("event_id", "fp_type", why)
 
 
-@query("l5_dev_set", "with p as (select quantile_cont(duration_s, 0.9) as p90 from fx_segments), c as (select distinct b.file_id, b.language, s.duration_s, exists (select 1 from fx_gt g where g.file_id = b.file_id) as pos from fx_base b join fx_segments s using (file_id), p where duration_s <= p90), r as (select *, row_number() over (partition by language, pos order by md5(file_id), file_id) as place from c) select file_id, language, pos from r where place <= case when pos then 3 else 2 end", fx=True)
+@query("r2_auroc_by_pairs", "with p as (select a.run_key, avg(case when coalesce(a.confidence, -1) > coalesce(b.confidence, -1) then 1.0 when coalesce(a.confidence, -1) = coalesce(b.confidence, -1) then 0.5 else 0.0 end) as auroc from fx_scored a join fx_scored b on a.run_key = b.run_key and a.matched and not b.matched group by 1) select run_key, cast(printf('%.3f', auroc::double) as double) as auroc from p", fx=True)
+def r2_auroc_by_pairs(spark, d):
+    """Pair counting with half a point for a tie, to three digits; the rank form has the same value and needs no self join."""
+    from ..functions.scalars import round_half_even
+
+    found = R.auroc(tables(spark, d)[2], ["run_key"], "confidence", F.col("matched"))
+    return found.select("run_key", round_half_even(F.col("auroc"), 1000).alias("auroc"))
+
+
+@query("r5_recall_without_reference", "select 'none' as run_key, null::double as recall_at_10_fp from (select 1)")
+def r5_recall_without_reference(spark, d):
+    """A run without a single reference flag has no recall, rather than a recall of 0."""
+    flags = tables(spark, d)[2].select(F.lit("none").alias("run_key"), "confidence", "matched")
+    none = spark.createDataFrame([("none", 0)], "run_key string, n_gt int")
+    return R.recall_at_fp(flags, ["run_key"], "confidence", F.lit(False), none, [10])
+
+
+@query("a47_usage_by_map", "with k as (select event_type, user_id, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as k from events group by 1, 2) select user_id, sum(k)::bigint as tokens, string_agg(event_type || '=' || k, ',' order by event_type) as by_type from k group by 1")
+def a47_usage_by_map(spark, d):
+    """Each request brings a map of tokens by modality; the maps of a user are added key by key."""
+    usage = X.table(spark, d, "events").select("user_id", F.create_map("event_type", F.get_json_object("props", "$.k").cast("long")).alias("m"))
+    n = usage.select("user_id", F.explode("m").alias("modality", "k")).groupBy("user_id", "modality").agg(F.sum("k").alias("k"))
+    m = n.groupBy("user_id").agg(F.sum("k").alias("tokens"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", "k")))).alias("m"))
+    return m.select("user_id", "tokens", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("by_type"))
+
+
+#: stratum -> files to choose for each language
+QUOTAS = {"clear_positive": 1, "weak_positive": 1, "multi_positive": 1, "clear_negative": 2, "disagreed_negative": 3, "disagreed_positive": 2}
+STRATUM = "case when n_gt > 0 and disagreed then 'disagreed_positive' when n_gt > 1 then 'multi_positive' when n_gt = 1 and best >= 0.8 then 'clear_positive' when n_gt = 1 then 'weak_positive' when disagreed then 'disagreed_negative' else 'clear_negative' end"
+
+
+@query("l5_dev_set", f"""with p as (select quantile_cont(duration_s, 0.9) as p90 from fx_segments), g as (select file_id, count(*) as n_gt, max(coalesce(confidence, 0)) as best from fx_gt group by 1),
+v as (select file_id, count(distinct flagged) > 1 as disagreed from (select f.run_key, f.file_id, count(s.event_id) > 0 as flagged from fx_files f left join fx_scored s on s.run_key = f.run_key and s.file_id = f.file_id and s.confidence >= 0.8 group by 1, 2) group by 1),
+c as (select distinct b.file_id, b.language, coalesce(n_gt, 0) as n_gt, best, disagreed from fx_base b join fx_segments s using (file_id) left join g using (file_id) join v using (file_id), p where duration_s <= p90), t as (select *, {STRATUM} as stratum from c),
+r as (select *, row_number() over (partition by language, stratum order by md5(file_id), file_id) as place from t) select file_id, language, stratum, place from r where place <= case stratum {" ".join(f"when '{k}' then {n}" for k, n in QUOTAS.items())} end""", fx=True)
 def l5_dev_set(spark, d):
-    """Stratified selection: files up to the 90th percentile of duration, quotas per language and stratum."""
-    b = X.base(spark, d)
-    seg = X.segments(b)
+    """Stratified choice: files up to the 90th percentile of duration, a quota a language and stratum, files on which runs disagree apart."""
+    files, gt, flags = tables(spark, d)
+    seg = X.segments(X.base(spark, d))
     p90 = seg.agg(F.percentile("duration_s", 0.9).alias("p90"))
-    gt = X.gt_flags(b).select("file_id").distinct().withColumn("pos", F.lit(True))
-    c = b.select("file_id", "language").distinct().join(seg, "file_id").crossJoin(F.broadcast(p90)).where("duration_s <= p90").join(gt, "file_id", "left").withColumn("pos", F.coalesce("pos", F.lit(False)))
-    w = W.partitionBy("language", "pos").orderBy(F.md5("file_id"), "file_id")
-    return c.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.when(F.col("pos"), 3).otherwise(2)).select("file_id", "language", "pos")
+    g = gt.groupBy("file_id").agg(F.count("*").alias("n_gt"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
+    sure = flags.where("confidence >= 0.8D").select("run_key", "file_id").distinct().withColumn("flagged", F.lit(True))
+    split = files.join(sure, ["run_key", "file_id"], "left").groupBy("file_id", "language").agg((F.count_distinct(F.coalesce("flagged", F.lit(False))) > 1).alias("disagreed"))
+    c = split.join(seg, "file_id").crossJoin(F.broadcast(p90)).where("duration_s <= p90").join(g, "file_id", "left").fillna(0, ["n_gt"]).withColumn("stratum", F.expr(STRATUM))
+    quota = F.coalesce(*[F.when(F.col("stratum") == k, F.lit(n)) for k, n in QUOTAS.items()])
+    w = W.partitionBy("language", "stratum").orderBy(F.md5("file_id"), "file_id")
+    return c.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota).select("file_id", "language", "stratum", "place")
 
 
-@query("l6_round_robin_head", "with r as (select event_id, category, row_number() over (partition by category order by event_id) as place from fx_base) select event_id, category, place from r where place <= 2", fx=True)
+@query("l6_round_robin_head", "with r as (select event_id, category, row_number() over (partition by category order by event_id) as place from fx_base), k as (select *, row_number() over (order by place, category) as turn from r where place <= 4) select event_id, category, turn from k where turn <= 9", fx=True)
 def l6_round_robin_head(spark, d):
-    return R.top_k(X.base(spark, d).select("event_id", "category", F.lit(0).alias("_z")), ["category"], "_z", 2, "event_id").select("event_id", "category", "place")
+    """The first files of each bucket, bucket by bucket in turn, up to nine in all."""
+    heads = R.top_k(X.base(spark, d).select("event_id", "category", F.lit(0).alias("_z")), ["category"], "_z", 4, "event_id")
+    return heads.withColumn("turn", F.row_number().over(W.orderBy("place", "category"))).where("turn <= 9").select("event_id", "category", "turn")  # four rows a bucket

@@ -55,14 +55,6 @@ def a28_leaderboard(spark, d):
     return rows.withColumn("place", place).withColumn("partial", F.col("calls") < 0.9 * 381)
 
 
-@query("a29_heldout_leaderboard", f"with held as (select * from fx_files where user_id % 8 <> 0), {sweep_sql('fx_scored', 'confidence', [0.8], files='held')}, l as (select run_key, tp, fp, fn, tn, recall, specificity from sweep where language = 'ALL' and category = 'ALL' and threshold = 0.8) select *, row_number() over (order by recall + specificity desc nulls last, run_key) as place from l", fx=True)
-def a29_heldout_leaderboard(spark, d):
-    files, gt, flags = tables(spark, d)
-    held = files.join(files.where("user_id % 8 = 0").select("file_id").distinct(), "file_id", "left_anti")
-    at = T.sweep(held, gt, flags, "confidence", [0.8], keys=("run_key",), all_keys=()).where("category = 'ALL' and threshold = 0.8D")
-    return at.select("run_key", "tp", "fp", "fn", "tn", "recall", "specificity", F.row_number().over(W.orderBy(F.desc_nulls_last(F.col("recall") + F.col("specificity")), "run_key")).alias("place"))
-
-
 @query("a30_gt_consistency", "with h as (select r, file_id, md5(string_agg(category || t_sec || case when r = 3 and event_id % 64 = 0 then 'x' else '' end, '|' order by event_id)) as h from fx_gt cross join (values (1), (2), (3)) v(r) group by 1, 2) select file_id, count(distinct h) as n_versions from h group by 1 having count(distinct h) > 1", fx=True)
 def a30_gt_consistency(spark, d):
     """Files whose reference flags differ between runs, by a digest of the ordered flags."""
@@ -74,12 +66,6 @@ def a30_gt_consistency(spark, d):
     return h.groupBy("file_id").agg(F.count_distinct("h").alias("n_versions")).where("n_versions > 1")
 
 
-@query("r6_leaderboard_rank", "with s as (select run_key, avg(case when matched then 1.0 else 0.0 end) as score from fx_scored group by 1) select run_key, score, row_number() over (order by coalesce(score, 0) desc, run_key) as place from s", fx=True)
-def r6_leaderboard_rank(spark, d):
-    s = tables(spark, d)[2].groupBy("run_key").agg(F.avg(F.col("matched").cast("double")).alias("score"))
-    return s.withColumn("place", F.row_number().over(W.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "run_key")))
-
-
 @query("v4_wide_overview", f"with {sweep_sql('fx_scored', 'confidence', [0.6, 0.8, 0.9])} select run_key, category, max(recall) filter (where threshold = 0.6) as t06_recall, max(specificity) filter (where threshold = 0.6) as t06_specificity, max(recall) filter (where threshold = 0.8) as t08_recall, max(specificity) filter (where threshold = 0.8) as t08_specificity from sweep where language = 'ALL' group by 1, 2", fx=True)
 def v4_wide_overview(spark, d):
     files, gt, flags = tables(spark, d)
@@ -88,14 +74,6 @@ def v4_wide_overview(spark, d):
     return named.groupBy("run_key", "category").pivot("t", ["t06", "t08"]).agg(F.max("recall").alias("recall"), F.max("specificity").alias("specificity"))
 
 
-@query("v6_overview_matrix", f"with {sweep_sql('fx_scored', 'confidence', [0.8])} select category, max(case when run_key = 'm1' then tp || '/' || (tp + fn) || ' ' || tn || '/' || (tn + fp) end) as m1, max(case when run_key = 'm2' then tp || '/' || (tp + fn) || ' ' || tn || '/' || (tn + fp) end) as m2 from sweep where language = 'ALL' and threshold = 0.8 group by 1", fx=True)
-def v6_overview_matrix(spark, d):
-    files, gt, flags = tables(spark, d)
-    s = T.sweep(files, gt, flags, "confidence", [0.8], keys=("run_key",), all_keys=()).where("threshold = 0.8D")
-    cell = F.concat("tp", F.lit("/"), F.col("tp") + F.col("fn"), F.lit(" "), "tn", F.lit("/"), F.col("tn") + F.col("fp"))
-    return s.withColumn("cell", cell).groupBy("category").pivot("run_key", ["m1", "m2"]).agg(F.max("cell"))
-
-
 @query("e9_scored_map", f"with {MODES} select event_id, max(score) filter (where mode = 'raw') as raw, max(score) filter (where mode = 'sa') as sa, max(score) filter (where mode = 'pp_full') as pp_full from modes group by 1", fx=True)
 def e9_scored_map(spark, d):
     m = S.with_modes(tables(spark, d)[2])
@@ -123,3 +101,66 @@ def i3_none_row_equals_confusion(spark, d):
     s = T.sweep(files, gt, flags, "confidence", [0.5], keys=("run_key",), all_keys=()).where("category = 'ALL' and threshold is null").select("run_key", "tp", "fp", "fn", "tn")
     p = C.file_level(C.per_file(files, gt, flags), "run_key").select("run_key", *[F.col(c).alias(f"p_{c}") for c in ("tp", "fp", "fn", "tn")])
     return s.join(p, "run_key").select("run_key", ((F.col("tp") == F.col("p_tp")) & (F.col("fp") == F.col("p_fp")) & (F.col("fn") == F.col("p_fn")) & (F.col("tn") == F.col("p_tn"))).alias("equal"))
+
+
+def at_all(spark, d, files, flags, score, threshold):
+    s = T.sweep(files, tables(spark, d)[1], flags, score, [threshold], keys=("run_key",), all_keys=())
+    return s.where(f"category = 'ALL' and threshold = {threshold}D")
+
+
+#: run -> scoring mode and threshold that were picked for it on the development set
+PICKED = {"m1": ("sa", 0.6), "m3": ("pp_full", 0.9)}
+HELD = "held as (select * from fx_files where user_id % 8 <> 0)"
+ALL_AT = "{n} as (select run_key, recall, specificity, n_gt_pos, n_gt_neg from (with {sweep} select * from sweep) where language = 'ALL' and category = 'ALL' and threshold = {t})"
+
+
+@query("a29_heldout_leaderboard", f"""with {MODES}, {HELD}, mr as (select * exclude (score), score as s from modes where mode = 'raw'), mp as (select * exclude (score), score as s from modes where mode = 'pp_full' and not is_dropped), ms as (select * exclude (score), score as s from modes where mode = 'sa'),
+{ALL_AT.format(n='raw8', sweep=sweep_sql('mr', 's', [0.8], files='held'), t=0.8)}, {ALL_AT.format(n='pp8', sweep=sweep_sql('mp', 's', [0.8], files='held'), t=0.8)}, {ALL_AT.format(n='sa6', sweep=sweep_sql('ms', 's', [0.6], files='held'), t=0.6)}, {ALL_AT.format(n='pp9', sweep=sweep_sql('mp', 's', [0.9], files='held'), t=0.9)},
+l as (select r.run_key, r.n_gt_pos + r.n_gt_neg as heldout_files, r.run_key <> 'm2' as complete, r.n_gt_pos as gt_pos_files, r.n_gt_neg as gt_neg_files, r.recall as raw08_recall, r.specificity as raw08_spec, case when r.run_key <> 'm1' then p.recall end as pp08_recall, case when r.run_key <> 'm1' then p.specificity end as pp08_spec,
+ case r.run_key when 'm1' then 'sa @ 0.6' when 'm3' then 'pp_full @ 0.9' end as picked, case r.run_key when 'm1' then s.recall when 'm3' then q.recall end as picked_recall, case r.run_key when 'm1' then s.specificity when 'm3' then q.specificity end as picked_spec
+ from raw8 r join pp8 p using (run_key) join sa6 s using (run_key) join pp9 q using (run_key))
+select *, row_number() over (order by complete desc, coalesce(raw08_recall, 0) + coalesce(raw08_spec, 0) desc, run_key) as place from l""", fx=True)
+def a29_heldout_leaderboard(spark, d):
+    """Held-out files only: the raw setting, the post-processed one where the prompt has its fields, and the one picked for the run; complete runs first."""
+    files, gt, flags = tables(spark, d)
+    held = files.join(files.where("user_id % 8 = 0").select("file_id").distinct(), "file_id", "left_anti")
+    scored = S.with_modes(flags)
+    kept = lambda mode: scored.where("not dropped") if mode in S.MODES[2:] else scored
+    rates = lambda mode, t, name: at_all(spark, d, held, kept(mode), f"score_{mode}", t).select("run_key", F.col("recall").alias(f"{name}_recall"), F.col("specificity").alias(f"{name}_spec"))
+    raw = at_all(spark, d, held, scored, "score_raw", 0.8).select("run_key", (F.col("n_gt_pos") + F.col("n_gt_neg")).alias("heldout_files"), F.col("n_gt_pos").alias("gt_pos_files"), F.col("n_gt_neg").alias("gt_neg_files"), F.col("recall").alias("raw08_recall"), F.col("specificity").alias("raw08_spec"))
+    pp = rates("pp_full", 0.8, "pp08").where("run_key <> 'm1'")  # the prompt of m1 has none of the fields
+    picked = None
+    for run, (mode, t) in PICKED.items():
+        one = rates(mode, t, "picked").where(F.col("run_key") == run).withColumn("picked", F.lit(f"{mode} @ {t}"))
+        picked = one if picked is None else picked.unionByName(one)
+    rows = raw.withColumn("complete", F.col("run_key") != "m2").join(pp, "run_key", "left").join(picked, "run_key", "left")
+    return rows.withColumn("place", heldout_place())
+
+
+def heldout_place():
+    """Complete runs first, then by recall plus specificity; one row a run."""
+    total = F.coalesce("raw08_recall", F.lit(0.0)) + F.coalesce("raw08_spec", F.lit(0.0))
+    return F.row_number().over(W.orderBy(F.col("complete").desc(), total.desc(), "run_key"))
+
+
+@query("r7_heldout_order", "select * from (values ('a', true, 0.9::double, null::double, 2), ('b', false, 1.0, 1.0, 4), ('c', true, 0.9, 0.9, 1), ('d', true, 0.9, null, 3), ('e', false, null, null, 5)) v(run_key, complete, raw08_recall, raw08_spec, place)")
+def r7_heldout_order(spark, d):
+    rows = [("a", True, 0.9, None), ("b", False, 1.0, 1.0), ("c", True, 0.9, 0.9), ("d", True, 0.9, None), ("e", False, None, None)]
+    return spark.createDataFrame(rows, "run_key string, complete boolean, raw08_recall double, raw08_spec double").withColumn("place", heldout_place())
+
+
+@query("r6_leaderboard_rank", f"with {sweep_sql('fx_scored', 'confidence', [0.8])}, s as (select run_key, (recall + specificity) / 2 as balanced_acc from sweep where language = 'ALL' and category = 'ALL' and threshold = 0.8) select run_key, balanced_acc, row_number() over (order by coalesce(balanced_acc, 0) desc, run_key) as place from s", fx=True)
+def r6_leaderboard_rank(spark, d):
+    files, _, flags = tables(spark, d)
+    s = at_all(spark, d, files, flags, "confidence", 0.8).select("run_key", ((F.col("recall") + F.col("specificity")) / 2).alias("balanced_acc"))
+    return s.withColumn("place", F.row_number().over(W.orderBy(F.coalesce("balanced_acc", F.lit(0.0)).desc(), "run_key")))  # one row a run
+
+
+@query("v6_overview_matrix", f"with {sweep_sql('fx_scored', 'confidence', [0.8])}, c as (select run_key, category, tp || '/' || (tp + fn) || ' ' || tn || '/' || (tn + fp) as cell from sweep where language = 'ALL' and threshold = 0.8) select category, " + ", ".join(f"max(cell) filter (where run_key = '{r}') as {r}" for r in X.RUNS) + " from c group by 1", fx=True)
+def v6_overview_matrix(spark, d):
+    """Recall and specificity as counts, a column a run of the table."""
+    files, gt, flags = tables(spark, d)
+    s = T.sweep(files, gt, flags, "confidence", [0.8], keys=("run_key",), all_keys=()).where("threshold = 0.8D")
+    cell = F.concat("tp", F.lit("/"), F.col("tp") + F.col("fn"), F.lit(" "), "tn", F.lit("/"), F.col("tn") + F.col("fp"))
+    runs = sorted(r["run_key"] for r in files.select("run_key").distinct().collect())  # one name a run
+    return s.withColumn("cell", cell).groupBy("category").pivot("run_key", runs).agg(F.max("cell"))

@@ -95,19 +95,6 @@ def transcripts(spark, d):
     return t.groupBy("conv_id").agg(segs)
 
 
-@query("sc11_clean_segments", f"with c as ({TURNS}) select conv_id, len(list_filter(segs, lambda s: s.text is not null and length(trim(s.text)) > 100)) as n_kept from c")
-def sc11_clean_segments(spark, d):
-    kept = F.filter("segs", lambda s: s["text"].isNotNull() & (F.length(F.trim(s["text"])) > 100))
-    return transcripts(spark, d).select("conv_id", F.size(kept).alias("n_kept"))
-
-
-@query("sc12_salvaged_objects", "select event_id, 2 as n_found, category as first_text from fx_base", fx=True)
-def sc12_salvaged_objects(spark, d):
-    broken = F.concat(F.lit('[{"t":"00:01","en":"'), "category", F.lit('"},{"t":"00:02","en":"x"},{"t":"00:0'))
-    found = F.regexp_extract_all(broken, F.lit(r'\{"t":"([^"]*)","en":"([^"]*)"\}'), 2)
-    return X.base(spark, d).select("event_id", found.alias("f")).select("event_id", F.size("f").alias("n_found"), F.get("f", F.lit(0)).alias("first_text"))
-
-
 @query("sc13_transcript_summary", f"with c as ({TURNS}) select conv_id, array_to_string(list_transform(segs, lambda s: s.text), ' ') as full_text, segs[-1].t::double as end_s, (conv_id % 90 + 15.0 * len(segs) - segs[-1].t) > greatest(15.0, 0.1 * (conv_id % 90 + 15.0 * len(segs))) as incomplete from c")
 def sc13_transcript_summary(spark, d):
     t = transcripts(spark, d).withColumn("end_s", F.element_at("segs", -1)["t"].cast("double")).withColumn("duration", F.expr("conv_id % 90 + 15D * size(segs)"))
@@ -125,11 +112,6 @@ def sc15_normal_text(spark, d):
     return docs.select("doc_id", C.normal_text(F.col("text")).alias("text"))
 
 
-@query("sc16_script_share", "select event_id, case when language = 'hindi' then 3 / 9.0 else 0.0 end as share from fx_base", fx=True)
-def sc16_script_share(spark, d):
-    return X.base(spark, d).select("event_id", C.script_share(F.lit("नमत hello ab1!".replace(" ab1!", " b")), F.col("language")).alias("share"))
-
-
 @query("sc17_collapse_repeats")
 def sc17_collapse_repeats(spark, d):
     return X.table(spark, d, "documents").select("doc_id", U.collapse_repeats("text").alias("text"))
@@ -141,13 +123,6 @@ def sc18_text_ratio(spark, d):
     return b.select("item_id", U.text_ratio("text", F.reverse("text")).alias("ratio"))
 
 
-@query("sc19_cosine", "select a.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
-def sc19_cosine(spark, d):
-    e = X.table(spark, d, "embeddings")
-    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return e.join(other, "vec_id").select("vec_id", C.cosine(F.col("embedding"), F.col("other")).alias("cosine"))
-
-
 @query("sc20_time_decay", "select event_id, case when event_id % 4 > 0 then exp(-(t_sec % 60) / 20.0::double) else 0.7 end as decay from fx_base", fx=True)
 def sc20_time_decay(spark, d):
     return X.base(spark, d).select("event_id", C.time_decay(F.col("t_sec") % 60, F.col("event_id") % 4 > 0).alias("decay"))
@@ -171,28 +146,11 @@ def sc24_short_id(spark, d):
     return long.select("long_id", C.short_id(F.col("long_id")).alias("short_id"))
 
 
-@query("sc25_run_names", "select distinct run_key, case when run_key like '%1' then 'audio' when run_key like '%2' then 'transcript' else 'translated text' end as input, 'Model ' || upper(run_key) as name from fx_files", fx=True)
-def sc25_run_names(spark, d):
-    k = F.col("run_key")
-    inputs = F.when(k.endswith("1"), "audio").when(k.endswith("2"), "transcript").otherwise("translated text")
-    return X.files(X.base(spark, d)).select("run_key").distinct().select("run_key", inputs.alias("input"), F.concat(F.lit("Model "), F.upper(k)).alias("name"))
-
-
-@query("sc26_hashes", "select item_id, substr(sha256(text), 1, 16) as prompt_hash, md5(text) as text_md5 from benchmark")
-def sc26_hashes(spark, d):
-    return X.table(spark, d, "benchmark").select("item_id", F.substring(F.sha2("text", 256), 1, 16).alias("prompt_hash"), F.md5("text").alias("text_md5"))
-
-
 @query("sc27_stable_shard")
 def sc27_stable_shard(spark, d):
     return X.base(spark, d).select("file_id").distinct().select("file_id", (F.crc32(F.col("file_id").cast("binary")) % 4).alias("shard"))
 
 
-@query("sc28_rounded", "select event_id, round(value, 2) as value from fx_base", fx=True)
-def sc28_rounded(spark, d):
-    return X.base(spark, d).select("event_id", F.round("value", 2).alias("value"))
-
-
 @query("sc29_geometric_confidence", "select event_id, sqrt(exp(-(event_id % 30) / 10.0::double) * exp(-(event_id % 7) / 5.0::double)) as confidence from fx_base", fx=True)
 def sc29_geometric_confidence(spark, d):
     return X.base(spark, d).select("event_id", C.geometric_confidence(F.expr("-(event_id % 30) / 10.0D"), F.expr("-(event_id % 7) / 5.0D")).alias("confidence"))
@@ -231,22 +189,9 @@ def sc34_fixed_windows(spark, d):
     return t.groupBy("conv_id", "win").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("text"))
 
 
-@query("sc35_context_lines", "select conv_id, case when sum(length(text)) <= 600 then count(*) else count(*) filter (where turn * 15 <= 90 or contains(lower(text), 'the')) end as n_lines from conversations group by 1")
-def sc35_context_lines(spark, d):
-    t = transcripts(spark, d)
-    chars = F.aggregate("segs", F.lit(0), lambda a, s: a + F.length(s["text"]))
-    near = F.filter("segs", lambda s: (s["turn"] * 15 <= 90) | F.contains(F.lower(s["text"]), F.lit("the")))
-    return t.select("conv_id", F.when(chars <= 600, F.size("segs")).otherwise(F.size(near)).cast("long").alias("n_lines"))
-
-
 @query("sc37_placeholders", "select item_id, 'ID ' || item_id || ' TEXT ' || substr(text, 1, 20) as prompt from benchmark")
 def sc37_placeholders(spark, d):
     b = X.table(spark, d, "benchmark")
     return b.select("item_id", F.replace(F.replace(F.lit("ID {id} TEXT {text}"), F.lit("{id}"), F.col("item_id").cast("string")), F.lit("{text}"), F.substring("text", 1, 20)).alias("prompt"))
 
 
-@query("sc38_frame_snr", "select user_id, count(*) as n_frames, case when count(*) >= 10 then quantile_cont(20 * log10(greatest(value, 0.01)), 0.9) - quantile_cont(20 * log10(greatest(value, 0.01)), 0.1) end as snr_db from events group by 1")
-def sc38_frame_snr(spark, d):
-    db = 20 * F.log10(F.greatest("value", F.lit(0.01)))
-    e = X.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_frames"), F.percentile(db, 0.9).alias("hi"), F.percentile(db, 0.1).alias("lo"))
-    return e.select("user_id", "n_frames", F.when(F.col("n_frames") >= 10, F.col("hi") - F.col("lo")).alias("snr_db"))

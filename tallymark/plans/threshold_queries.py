@@ -164,21 +164,65 @@ def r12_monotonicity(spark, d):
     return T.rises(_sweep(spark, d, "confidence", T.TENTHS), ["run_key", "language", "category"]).select("run_key", "language", "category", "threshold")
 
 
-@query("v1_threshold_pivot", f"with {sweep_sql('fx_scored', 'confidence', T.TENTHS)} select run_key, category, max(recall) filter (where threshold is null) as recall_none, max(recall) filter (where threshold = 0.5) as recall_05, max(recall) filter (where threshold = 0.8) as recall_08, max(specificity) filter (where threshold = 0.5) as specificity_05, max(specificity) filter (where threshold = 0.8) as specificity_08 from sweep where language = 'ALL' group by 1, 2", fx=True)
+@query("r12_planted_rise", f"with {sweep_sql('fx_scored', 'confidence', T.TENTHS)}, p as (select run_key, language, category, threshold, case when threshold = 0.5 and category = 'ALL' then tp + 1000 else tp end as tp, fp, case when threshold = 0.7 and language = 'tamil' then -1 else tn end as tn from sweep), l as (select *, lag(tp) over w as tp0, lag(fp) over w as fp0, lag(tn) over w as tn0 from p window w as (partition by run_key, language, category order by threshold nulls first)) select run_key, language, category, threshold from l where tp > tp0 or fp > fp0 or tn < tn0", fx=True)
+def r12_planted_rise(spark, d):
+    """The check of monotonicity finds what was put wrong into a sweep."""
+    s = _sweep(spark, d, "confidence", T.TENTHS)
+    wrong = s.withColumn("tp", F.when((F.col("threshold") == 0.5) & (F.col("category") == "ALL"), F.col("tp") + 1000).otherwise(F.col("tp"))).withColumn("tn", F.when((F.col("threshold") == 0.7) & (F.col("language") == "tamil"), -1).otherwise(F.col("tn")))
+    return T.rises(wrong, ["run_key", "language", "category"]).select("run_key", "language", "category", "threshold")
+
+
+#: the row of the entropy grid that stands beside each row of the other signals; fixed values
+BESIDE = [(None, None), (0.0, 0.0), (0.1, -2.0), (0.2, -1.0), (0.3, -0.5), (0.4, -0.25), (0.5, -0.1), (0.6, -0.05), (0.7, -0.02), (0.8, -0.01), (0.9, 0.0)]
+BLOCK = ["tp", "fp", "fn", "tn", "precision", "recall", "specificity", "accuracy"]
+SIGNALS = {"conf": ("confidence", T.TENTHS), "logp": ("logprob_confidence", T.TENTHS), "entr": ("-entropy_mean", T.ENTROPY)}
+_BESIDE_SQL = ", ".join(f"({'null' if t is None else t}::double, {'null' if e is None else e}::double)" for t, e in BESIDE)
+
+
+@query("v1_threshold_pivot", "with " + ", ".join(f"{n} as (select * from (with {sweep_sql('fx_scored', e, g)} select * from sweep) where language = 'ALL')" for n, (e, g) in SIGNALS.items()) + f""", be(t, e) as (values {_BESIDE_SQL})
+select conf.run_key, conf.category, conf.threshold, conf.n_gt_pos, conf.n_gt_neg, {", ".join(f"{n}.{c} as {n}_{c}" for n in SIGNALS for c in BLOCK)} from conf join be on be.t is not distinct from conf.threshold
+ left join logp on logp.run_key = conf.run_key and logp.category = conf.category and logp.threshold is not distinct from be.t left join entr on entr.run_key = conf.run_key and entr.category = conf.category and entr.threshold is not distinct from be.e""", fx=True)
 def v1_threshold_pivot(spark, d):
-    s = _sweep(spark, d, "confidence", T.TENTHS).where("language = 'ALL'")
-    at = lambda c, t: F.max(F.when(F.col("threshold").eqNullSafe(F.lit(t)), F.col(c)))
-    return s.groupBy("run_key", "category").agg(at("recall", None).alias("recall_none"), at("recall", 0.5).alias("recall_05"), at("recall", 0.8).alias("recall_08"), at("specificity", 0.5).alias("specificity_05"), at("specificity", 0.8).alias("specificity_08"))
+    """A row a category and threshold, the three signals beside each other; entropy has a grid of its own, placed by position."""
+    files, gt, flags = tables(spark, d)
+    scored = flags.withColumn("neg_entropy", -F.col("entropy_mean"))
+    block = lambda n, score, grid: T.sweep(files, gt, scored, score, grid, keys=("run_key",), all_keys=()).select("run_key", "category", F.col("threshold").alias(f"{n}_at"), "n_gt_pos", "n_gt_neg", *[F.col(c).alias(f"{n}_{c}") for c in BLOCK])
+    beside = spark.createDataFrame(BESIDE, "threshold double, at_entropy double")
+    conf = block("conf", "confidence", T.TENTHS).join(F.broadcast(beside), F.col("threshold").eqNullSafe(F.col("conf_at"))).drop("conf_at")
+    out = conf
+    for n, score, grid, at in (("logp", "logprob_confidence", T.TENTHS, "threshold"), ("entr", "neg_entropy", T.ENTROPY, "at_entropy")):
+        other = block(n, score, grid).drop("n_gt_pos", "n_gt_neg").withColumnsRenamed({"run_key": f"{n}_run", "category": f"{n}_cat"})
+        out = out.join(other, (F.col(f"{n}_run") == F.col("run_key")) & (F.col(f"{n}_cat") == F.col("category")) & F.col(f"{n}_at").eqNullSafe(F.col(at)), "left").drop(f"{n}_run", f"{n}_cat", f"{n}_at")
+    return out.drop("at_entropy")
+
+
+def one_matcher(rows, current: str):
+    """Rows of one matcher version a prompt; more than one is an error. Adds whether it is the current one."""
+    from pyspark.sql import Window as Win
+
+    of_prompt = Win.partitionBy("prompt")
+    several = F.min("matcher_version").over(of_prompt) != F.max("matcher_version").over(of_prompt)
+    wrong = F.raise_error(F.concat(F.lit("several matcher versions for prompt "), "prompt")).cast("string")
+    checked = rows.withColumn("matcher_version", F.when(several, wrong).otherwise(F.col("matcher_version")))
+    return checked.withColumn("current", F.col("matcher_version") == current)
+
+
+PROMPT_OF = "case run_key when 'm1' then 'v3' when 'm2' then 'v4' else 'v6' end"
+VERSION_OF = "case run_key when 'm2' then 'k1' else 'k2' end"
 
 
-@query("v5_cross_prompt_summary", f"with {MODES}, {MODE_FILES}, {sweep_sql('kept', 'mode_score', [0.6, 0.8, 0.9], files='mode_files', keys='run_key, mode')} select run_key, mode, threshold, tp, fp, fn, tn, recall, specificity, flag_precision from sweep where language = 'ALL' and category = 'ALL'", fx=True)
+@query("v5_cross_prompt_summary", f"with {MODES}, {MODE_FILES}, {sweep_sql('kept', 'mode_score', [0.6, 0.8, 0.9], files='mode_files', keys='run_key, mode')} select run_key, {PROMPT_OF} as prompt, {VERSION_OF} as matcher_version, run_key <> 'm2' as current, mode, threshold, recall, specificity, precision, flag_precision, fp as fp_files, fn as fn_files, flag_tp + flag_fp as n_flags from sweep where language = 'ALL' and category = 'ALL'", fx=True)
 def v5_cross_prompt_summary(spark, d):
+    """Whole-run rows of all prompts and modes, after a check that each prompt was scored by one matcher version."""
     s = mode_sweep(spark, d).where("language = 'ALL' and category = 'ALL'").where("threshold is null or threshold in (0.6D, 0.8D, 0.9D)")
-    return s.select("run_key", "mode", "threshold", "tp", "fp", "fn", "tn", "recall", "specificity", "flag_precision")
+    named = s.withColumn("prompt", F.expr(PROMPT_OF)).withColumn("matcher_version", F.expr(VERSION_OF))
+    return one_matcher(named, "k2").select("run_key", "prompt", "matcher_version", "current", "mode", "threshold", "recall", "specificity", "precision", "flag_precision", F.col("fp").alias("fp_files"), F.col("fn").alias("fn_files"), (F.col("flag_tp") + F.col("flag_fp")).alias("n_flags"))
 
 
-@query("r8_best_modes", f"with {MODES}, {MODE_FILES}, {sweep_sql('kept', 'mode_score', [0.6, 0.8, 0.9], files='mode_files', keys='run_key, mode')}, k as (select run_key, threshold, mode, recall, row_number() over (partition by run_key, threshold order by recall desc nulls last, specificity desc nulls last, mode) as place from sweep where language = 'ALL' and category = 'ALL' and threshold is not null) select * from k where place <= 3", fx=True)
+@query("r8_best_modes", f"with {MODES}, {MODE_FILES}, {sweep_sql('kept', 'mode_score', [0.6, 0.8, 0.9], files='mode_files', keys='run_key, mode')}, k as (select run_key, threshold, mode, recall, specificity, flag_precision, row_number() over (partition by run_key, threshold order by recall desc nulls last, specificity desc nulls last, flag_precision desc nulls last, mode) as by_recall, row_number() over (partition by run_key, threshold order by specificity desc nulls last, recall desc nulls last, mode) as by_specificity, row_number() over (partition by run_key, threshold order by flag_precision desc nulls last, recall desc nulls last, mode) as by_flag_precision from sweep where language = 'ALL' and category = 'ALL' and threshold is not null) select * from k where least(by_recall, by_specificity, by_flag_precision) <= 3", fx=True)
 def r8_best_modes(spark, d):
+    """The three best modes of each run and threshold by recall, by specificity and by flag precision."""
     s = mode_sweep(spark, d).where("language = 'ALL' and category = 'ALL' and threshold in (0.6D, 0.8D, 0.9D)")
-    w = W.partitionBy("run_key", "threshold").orderBy(F.desc_nulls_last("recall"), F.desc_nulls_last("specificity"), "mode")
-    return s.withColumn("place", F.row_number().over(w)).where("place <= 3").select("run_key", "threshold", "mode", "recall", "place")
+    place = lambda *by: F.row_number().over(W.partitionBy("run_key", "threshold").orderBy(*[F.desc_nulls_last(c) for c in by], "mode"))
+    ranked = s.withColumns({"by_recall": place("recall", "specificity", "flag_precision"), "by_specificity": place("specificity", "recall"), "by_flag_precision": place("flag_precision", "recall")})
+    return ranked.where(F.least("by_recall", "by_specificity", "by_flag_precision") <= 3).select("run_key", "threshold", "mode", "recall", "specificity", "flag_precision", "by_recall", "by_specificity", "by_flag_precision")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.matching import mutual_pairs, near_pairs
+
 CATEGORIES = ["PlatformMove", "SuspiciousActivity", "Explicit-Flirting"]
 RUNS = ["m1", "m2", "m3"]
 
@@ -32,7 +34,12 @@ def gt_flags(b: DataFrame) -> DataFrame:
 
 
 def model_flags(b: DataFrame) -> DataFrame:
-    """Flags of three runs; ``matched`` tells whether a reference flag of the category lies within 60 s."""
+    """Flags of three runs, paired one to one with the reference flags of their file.
+
+    A flag and a reference flag within 60 s are a pair if each is the other's best: own
+    category first, then the nearest, then the lower id. So a flag may catch a reference
+    flag of another category.
+    """
     flags = b.where("event_id % 8 in (1, 2, 3)").selectExpr(
         "*", "concat('m', event_id % 8) as run_key",
         "case event_id % 8 when 1 then 'v3' when 2 then 'v4' else 'v6' end as prompt",
@@ -41,11 +48,10 @@ def model_flags(b: DataFrame) -> DataFrame:
         "case event_id % 13 when 0 then 'unclear' when 1 then 'user' else 'expert' end as speaker",
         "case event_id % 9 when 0 then 'DUPLICATE_OR_EXTRA_INSTANCE' when 1 then 'GT_MISS' when 2 then 'MATCHER_MISS' when 3 then 'UNCLEAR' when 4 then 'HALLUCINATED_QUOTE' else null end as fp_mark",
     )
-    gt = gt_flags(b).select(F.col("file_id").alias("g_file"), F.col("category").alias("g_category"), F.col("t_sec").alias("g_sec"))
-    near = (F.col("file_id") == F.col("g_file")) & (F.col("category") == F.col("g_category")) & (F.abs(F.col("g_sec") - F.col("t_sec")) <= 60)
-    hit = flags.join(gt, near, "left_semi").select(F.col("event_id").alias("hit_id"))
-    marked = flags.join(hit, F.col("event_id") == F.col("hit_id"), "left").withColumn("matched", F.col("hit_id").isNotNull()).drop("hit_id")
-    return marked.withColumn("matched_gt_category", F.when(F.col("matched"), F.col("category"))).withColumn("fp_type", F.when(~F.col("matched"), F.col("fp_mark")))
+    pairs = near_pairs(gt_flags(b), flags, 60).withColumn("other", (F.col("gc") != F.col("mc")).cast("int"))
+    hits = mutual_pairs(pairs, ["other", "delta"]).select(F.col("mi").alias("event_id"), F.col("gi").alias("matched_gi"), F.col("gc").alias("matched_gt_category"))
+    marked = flags.join(hits, "event_id", "left").withColumn("matched", F.col("matched_gi").isNotNull())
+    return marked.withColumn("fp_type", F.when(~F.col("matched"), F.col("fp_mark")))
 
 
 def files(b: DataFrame) -> DataFrame:

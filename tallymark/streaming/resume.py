@@ -21,3 +21,26 @@ def windowed_counts(events: DataFrame, width: str = "45 seconds", late: str = "1
     """Counts per type and tumbling window of an event stream, with a watermark for late rows."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+
+
+def running_report(spark: SparkSession, source: str, schema: StructType, keys: list[str], sink: str, checkpoint: str, fmt: str = "json") -> DataFrame:
+    """Counts by key of all files seen so far, brought up to date batch by batch.
+
+    Each batch writes the totals after it into a folder of its own number, so that a batch
+    that is run again after a failure writes the same folder and counts nothing twice.
+    """
+
+    def totals(before: int) -> DataFrame:
+        return spark.read.schema(f"{', '.join(f'{k} string' for k in keys)}, n bigint").parquet(f"{sink}/after={before}")
+
+    def add(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(*keys).agg(F.count("*").alias("n"))
+        if number:
+            counts = counts.unionByName(totals(number - 1)).groupBy(*keys).agg(F.sum("n").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{sink}/after={number}")
+
+    stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", 8).load(source)
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    numbers = [int(r["after"]) for r in spark.read.parquet(sink).select("after").distinct().collect()]  # one folder a batch
+    return totals(max(numbers))
