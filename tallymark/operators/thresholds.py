@@ -35,13 +35,14 @@ def sweep(files: DataFrame, gt: DataFrame, flags: DataFrame, score: str, grid: l
     flags = flags.select(*file_key, "category", "matched", "matched_gt_category", redundant().alias("redundant"), F.col(score).isNull().alias("missing"), level_of(F.col(score), grid).alias("level"))
     own = category_rows(flags, "category", "cat")
     strict = category_rows(flags.where("matched"), "matched_gt_category", "cat")
-    loose_files = own.groupBy(*file_key, "cat").agg(F.max("level").alias("loose"))
-    strict_files = strict.groupBy(*file_key, "cat").agg(F.max("level").alias("strict"))
+    none = F.lit(None).cast("int")
+    reached = own.select(*file_key, "cat", F.col("level").alias("loose"), none.alias("strict")).unionByName(strict.select(*file_key, "cat", none.alias("loose"), F.col("level").alias("strict")))
+    reached = reached.groupBy(*file_key, "cat").agg(F.max("loose").alias("loose"), F.max("strict").alias("strict"))
     gt_files = category_rows(gt, "category", "cat").groupBy("file_id", "cat").agg(F.count("*").alias("n_gt"))
 
     cats = F.explode(F.array(*map(F.lit, ALL_CATEGORIES))).alias("cat")
     grid_files = files.select("file_id", *{"run_key": 1, **dict.fromkeys(keys)}, cats)
-    state = grid_files.join(loose_files, [*file_key, "cat"], "left").join(strict_files, [*file_key, "cat"], "left").join(gt_files, ["file_id", "cat"], "left")
+    state = grid_files.join(reached, [*file_key, "cat"], "left").join(gt_files, ["file_id", "cat"], "left")
     state = state.withColumns({"loose": F.coalesce("loose", F.lit(-1)), "strict": F.coalesce("strict", F.lit(-1)), "n_gt": F.coalesce("n_gt", F.lit(0))})
     file_hist = state.groupBy(*keys, "cat", "loose", "strict", (F.col("n_gt") > 0).alias("positive")).agg(F.count("*").alias("n"), F.sum("n_gt").alias("n_gt"))
     flag_keys = [k for k in keys if k not in flags.columns]

@@ -22,8 +22,7 @@ COUNTS4 = ", ".join(f"count(*) filter (where file_bucket = '{b}') as {b.lower()}
 
 
 def tables(spark, d):
-    b = X.base(spark, d)
-    return X.files(b), X.gt_flags(b), X.model_flags(b)
+    return X.staged_tables(spark, d)
 
 
 def scored(spark, d):

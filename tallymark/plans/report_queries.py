@@ -46,9 +46,11 @@ l as (select s.run_key, n_gt_pos + n_gt_neg as calls, (recall + specificity) / 2
 select *, row_number() over (order by coalesce(balanced_acc, 0) desc, run_key) as place, calls < 0.9 * 381 as partial from l""", fx=True)
 def a28_leaderboard(spark, d):
     files, gt, flags = tables(spark, d)
-    at = T.sweep(files, gt, full_mode(flags), "score_pp_full", [0.8], keys=("run_key",), all_keys=()).where("category = 'ALL' and threshold = 0.8D")
-    hard = files.join(segmented(spark, d).where("difficulty_segment = 'ambiguous_violation'").select("file_id"), "file_id", "left_semi")
-    amb = T.sweep(hard, gt, full_mode(flags), "score_pp_full", [0.8], keys=("run_key",), all_keys=()).where("category = 'ALL' and threshold = 0.8D").select("run_key", F.col("recall").alias("ambiguous_recall"))
+    hard = segmented(spark, d).where("difficulty_segment = 'ambiguous_violation'").select("file_id", F.lit("hard").alias("kind"))
+    kinds = files.join(hard, "file_id", "left").fillna("other", ["kind"])
+    # one sweep: all files, and the hard ones by themselves
+    both = T.sweep(kinds, gt, full_mode(flags), "score_pp_full", [0.8], keys=("run_key", "kind"), all_keys=("kind",)).where("category = 'ALL' and threshold = 0.8D")
+    at, amb = both.where("kind = 'ALL'"), both.where("kind = 'hard'").select("run_key", F.col("recall").alias("ambiguous_recall"))
     fm = flag_metrics(flags).select("run_key", F.col("flag_precision").alias("flag_precision_all"), "precision_gap", "right_flags_high")
     rows = at.select("run_key", (F.col("n_gt_pos") + F.col("n_gt_neg")).alias("calls"), ((F.col("recall") + F.col("specificity")) / 2).alias("balanced_acc"), "recall", "specificity").join(amb, "run_key", "left").join(fm, "run_key")
     place = F.row_number().over(W.orderBy(F.coalesce("balanced_acc", F.lit(0.0)).desc(), "run_key"))  # one row a run

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import mutual_pairs, near_pairs
+from .staging import shared_folder
 
 CATEGORIES = ["PlatformMove", "SuspiciousActivity", "Explicit-Flirting"]
 RUNS = ["m1", "m2", "m3"]
@@ -62,3 +65,17 @@ def files(b: DataFrame) -> DataFrame:
 
 def segments(b: DataFrame) -> DataFrame:
     return b.select("file_id", "user_id").distinct().selectExpr("file_id", "60 + user_id * 7 % 541 as duration_s", "case when user_id % 23 = 0 then null else user_id * 13 % 97 end as snr_db")
+
+
+_staged: set[str] = set()
+
+
+def staged_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, reference flags and model flags, derived once for an application and read from the shared folder."""
+    root = f"{shared_folder(spark)}/{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}/fx"
+    made = {"files": lambda: files(base(spark, sf_dir)), "gt": lambda: gt_flags(base(spark, sf_dir)), "flags": lambda: model_flags(base(spark, sf_dir))}
+    if root not in _staged:
+        for name, make in made.items():
+            make().write.mode("overwrite").parquet(f"{root}/{name}")
+        _staged.add(root)
+    return tuple(spark.read.parquet(f"{root}/{name}") for name in made)

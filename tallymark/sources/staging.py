@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import SparkSession
 
 _local: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir; a local one only where none is set and the master is local."""
+    """A folder of this application under spark.checkpoint.dir, removed when the driver's Python ends.
+
+    A local folder serves only where none is set and the master is local.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not found:
@@ -19,4 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="tallymark-")
         found = _local[app]
-    return f"{found.rstrip('/')}/tallymark-{app}/documents"
+    root = f"{found.rstrip('/')}/tallymark-documents-{app}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -106,3 +106,11 @@ def test_registered(spark, name):
     U.register(spark)
     args = "'a b'" if name in ("collapse_repeats", "lenient_json") else "'a b', 'a c'"
     assert spark.sql(f"select {name}({args}) as x").count() == 1
+
+
+def test_stable_shard(spark):
+    import zlib
+
+    ids = ["call_1", "", "ä-2", "x" * 500]
+    got = spark.createDataFrame([(i,) for i in ids], "file_id string").select("file_id", (F.crc32(F.col("file_id").cast("binary")) % 4).alias("shard")).collect()
+    assert {r["file_id"]: r["shard"] for r in got} == {i: zlib.crc32(i.encode()) % 4 for i in ids}
