@@ -14,13 +14,18 @@ LAYOUT_FN = r"/([a-z]+)_fn/([^/]+)\.([A-Za-z0-9]+)$"
 def dataset_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of a directory tree whose folders are the schema: file_id, path, language, category, bucket, multiplicity."""
     paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return layout_rows(paths).orderBy("path")
+
+
+def layout_rows(paths: DataFrame) -> DataFrame:
+    """Audio files of that layout, by their paths alone."""
     tp = lambda i: F.nullif(F.regexp_extract("path", LAYOUT, i), F.lit(""))
     fn = lambda i: F.nullif(F.regexp_extract("path", LAYOUT_FN, i), F.lit(""))
     rows = paths.select(
         F.coalesce(tp(5), fn(2)).alias("file_id"), "path", F.coalesce(fn(1), tp(1)).alias("language"), F.when(fn(1).isNull(), tp(2)).alias("category"),
         F.when(fn(1).isNotNull(), "FN").otherwise(tp(3)).alias("original_bucket"), tp(4).alias("multiplicity"), F.lower(F.coalesce(tp(6), fn(3))).alias("ext"),
     )
-    return rows.where(F.col("ext").isin(*AUDIO)).drop("ext").orderBy("path")
+    return rows.where(F.col("ext").isin(*AUDIO)).drop("ext")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

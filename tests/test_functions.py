@@ -114,3 +114,14 @@ def test_stable_shard(spark):
     ids = ["call_1", "", "ä-2", "x" * 500]
     got = spark.createDataFrame([(i,) for i in ids], "file_id string").select("file_id", (F.crc32(F.col("file_id").cast("binary")) % 4).alias("shard")).collect()
     assert {r["file_id"]: r["shard"] for r in got} == {i: zlib.crc32(i.encode()) % 4 for i in ids}
+
+
+def test_registered_functions_by_value(spark):
+    """The functions called by name from SQL."""
+    U.register(spark)
+    row = spark.sql(
+        "select word_edits('a b c', 'a x c d') as w, char_edits('abc', 'abd') as c, text_ratio('abcd', 'bcde') as r, collapse_repeats('go go go go go go go go stop') as k, "
+        "lenient_json('noise {\"a\": [1, 2]} tail') as j, token_spans(array('ab', 'cd'), 'bc') as s, token_spans(array('ab'), 'zz') as z, nfc('e\\u0301') as n"
+    ).first()
+    assert tuple(row["w"]) == (1, 0, 1, 2) and tuple(row["c"]) == (1, 0, 0, 2) and row["r"] == 0.75
+    assert row["k"] == "go go go [x8] stop" and row["j"] == '{"a":[1,2]}' and tuple(row["s"]) == (0, 1) and row["z"]["first"] is None and row["n"] == "é"
