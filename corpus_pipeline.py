@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
-from tallymark.llm.common import staged
+from tallymark.llm.common import staged, unstage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        unstage(before)
+        before.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,7 +67,18 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
+
+
+def unstage(tables: list[DataFrame]) -> None:
+    """Remove staged tables that nothing reads any more, and empty the list."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    tables.clear()
 
 
 _roots: set[str] = set()

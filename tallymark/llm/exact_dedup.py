@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_rows, staged, tidied, utf8
+from .common import ASCII_LOWER, ascii_lower, bounded_batches, fresh, keep_rows, staged, tidied, unstage, utf8
 
 #: Fingerprints an owner holds at most, on average.
 OWNER_LOAD = 500_000
@@ -146,12 +146,13 @@ def group_equal(docs: DataFrame, bits: int = 64) -> DataFrame:
     prints = staged(texts.mapInArrow(tidied(_fingerprints(bits)), "block long, row long, doc_id long, print long, digest binary"), "dedup-prints")
     n = prints.count()
     owners = 1 << max(6, (n // OWNER_LOAD).bit_length())
-    prints = prints.withColumn("block", F.col("block") % max(FEWEST_BLOCKS, n // BLOCK_LOAD))
+    dealt = prints.withColumn("block", F.col("block") % max(FEWEST_BLOCKS, n // BLOCK_LOAD))
     owners = min(owners, 1 << min(bits, 14))
-    lists = prints.select("block", "print").repartition(F.col("block")).mapInArrow(_send(owners, bits), "owner long, block long, n long, k long, code binary")
+    lists = dealt.select("block", "print").repartition(F.col("block")).mapInArrow(_send(owners, bits), "owner long, block long, n long, k long, code binary")
     bitmaps = lists.groupBy("owner").applyInPandas(_answer, "block long, owner long, n long, bits binary")
-    marked = prints.groupBy("block").cogroup(bitmaps.groupBy("block")).applyInPandas(_mark, "row long, doc_id long, digest binary, suspect boolean")
+    marked = dealt.groupBy("block").cogroup(bitmaps.groupBy("block")).applyInPandas(_mark, "row long, doc_id long, digest binary, suspect boolean")
     marked = staged(marked, "dedup-marked")
+    unstage([prints])
 
     suspects = marked.where("suspect")
     wanted = staged(suspects.select(F.col("doc_id").alias("_id")).distinct(), "dedup-wanted")

@@ -128,13 +128,54 @@ def test_components_beyond_one_task(spark):
     assert few == one
 
 
+def nodes_of(rows):
+    """Node rows (id, comp, n_shingles, sig, prefix) of texts, each its own component; shingles of four texts or more come last."""
+    words = N._WordHashes()
+    sets = {i: N.shingle_set(normal(text), words) for i, text in rows}
+    values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    common, rank = values[counts >= 4], np.argsort(np.argsort(counts[counts >= 4], kind="stable"), kind="stable")
+    return [(i, i, len(s), bytearray(N._min_hashes([s])[0].tobytes()), bytearray(N.prefix(s, common, rank).tobytes())) for i, s in sets.items()]
+
+
+NODE = "id long, comp long, n_shingles long, sig binary, prefix binary"
+
+
 def test_hot_group_costs_no_square(spark):
+    """800 near copies of one text: candidates grow with their number, and none are left once they are linked."""
     words = [f"h{i}" for i in range(60)]
     rows = [(i, " ".join(words[:-1] + [f"v{i}"])) for i in range(800)]
+    nodes = spark.createDataFrame(nodes_of(rows), NODE)
+    assert N.candidates(nodes, N.FIRST_ORDERS, 1, []).count() <= N.FIRST_ORDERS * 800
+    linked = nodes.withColumn("comp", F.lit(1).cast("long"))
+    assert N.candidates(linked, N.ORDERS, N.REACH, []).count() == 0 and N.exact_candidates(linked).count() == 0
     got = N.group_near(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.agg(F.count_distinct("component_id")).first()[0] == 1
 
 
+def test_common_passage_costs_no_square(spark):
+    """600 texts that share a long passage and are not similar: few pairs, of 179,700, are compared."""
+    rnd = random.Random(12)
+    passage = [f"p{i}" for i in range(140)]
+    rows = [(k, " ".join(passage + [f"u{k}_{j}" for j in range(rnd.randint(50, 70))])) for k in range(600)]
+    nodes = spark.createDataFrame(nodes_of(rows), NODE)
+    assert N.candidates(nodes, N.ORDERS, N.REACH, []).count() <= 2 * N.REACH * N.ORDERS * 600
+    assert N.exact_candidates(nodes).count() <= 600
+
+
+def test_parities_never_rule_out_a_link():
+    rnd = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rnd.integers(1, 400))
+        both = rnd.integers(0, 2**63, n, dtype=np.uint64)
+        x = np.unique(np.concatenate([both, rnd.integers(0, 2**63, int(rnd.integers(0, n // 4 + 2)), dtype=np.uint64)]))
+        y = np.unique(np.concatenate([both, rnd.integers(0, 2**63, int(rnd.integers(0, n // 4 + 2)), dtype=np.uint64)]))
+        inter = len(np.intersect1d(x, y))
+        if 100 * inter >= N.PERCENT * (len(x) + len(y) - inter):
+            assert N.may_reach(*(np.frombuffer(N.parities(s).tobytes(), np.uint8) for s in (x, y)), len(x), len(y))
+    far = [np.unique(rnd.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2)]
+    assert not N.may_reach(N.parities(far[0]), N.parities(far[1]), 500, 500)
+
+
 def passage_rows(n=300):
     """Documents that share a passage, which makes 0.742, with one true partner, at 0.758, for every third."""
     rnd = random.Random(11)
@@ -167,7 +208,7 @@ def test_near_partners_behind_a_shared_passage(spark):
 
 
 def test_prefix_join_alone_finds_all_links(spark, monkeypatch):
-    monkeypatch.setattr(N, "candidates", lambda nodes, orders, reach: nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(N, "candidates", lambda nodes, orders, reach, scratch: nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     monkeypatch.setattr(N, "PAIR_BLOCK", 50)
     rows = near_rows() + [(5000 + i, t) for i, t in passage_rows(60)]
     want = brute_components(rows)
