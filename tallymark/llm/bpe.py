@@ -59,6 +59,8 @@ _LATER = (
     r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e"
     r"\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
+#: How many letters and numbers that version of the regex module knows.
+_KNOWN = (158_172, 2_247)
 _HAS_LATER = regex.compile(f"[{_LATER}]")
 
 
@@ -71,6 +73,14 @@ _WORDS = _word_pattern(r"\p{L}", r"\p{N}", rf"[^{_WHITE}\p{{L}}\p{{N}}]")
 _WORDS_LATER = _word_pattern(rf"[\p{{L}}--[{_LATER}]]", rf"[\p{{N}}--[{_LATER}]]", rf"[[^{_WHITE}\p{{L}}\p{{N}}]||[{_LATER}]]")
 
 
+def check_letters() -> None:
+    """Fail if the regex module's Unicode is not the one that the list of later code points was made for."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = len(regex.findall(r"\p{L}", every)), len(regex.findall(r"\p{N}", every))
+    if found != _KNOWN:
+        raise RuntimeError(f"the regex module knows {found} letters and numbers, not {_KNOWN}; its later code points have to be listed anew")
+
+
 def split_words(piece: str) -> list[str]:
     if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
         return [piece]
@@ -510,6 +520,7 @@ def default_vocabulary() -> str:
 
 def _shared(df: DataFrame, path: str | None):
     bounded_batches(df.sparkSession)
+    check_letters()
     return df.sparkSession.sparkContext.broadcast(load_tables(path or default_vocabulary()))
 
 
