@@ -47,9 +47,17 @@ def recall_at_fp(rows: DataFrame, keys: list[str], score: str, positive: Column,
 
 
 def average_precision(rows: DataFrame, keys: list[str], score: str, positive: Column, tiebreak: str) -> DataFrame:
-    """Average precision over single rows in a stable order; the denominator is the positives in the list."""
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(tiebreak))
-    ranked = rows.withColumns({"i": F.row_number().over(w), "hits": F.sum(positive.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    """Average precision over single rows in a stable order; the denominator is the positives in the list.
+
+    Rows are numbered inside their tie group and lifted by the groups above, so that no
+    window holds all rows of a key.
+    """
+    above = W.partitionBy(*keys).orderBy(F.col("s").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    lift = tie_groups(rows, keys, score, positive).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("s").alias("_s"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_p"))
+    w = W.partitionBy(*keys, score).orderBy(tiebreak)
+    inside = rows.withColumns({"_i": F.row_number().over(w), "_hits": F.sum(positive.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    ranked = inside.join(lift, [*same, F.col(score).eqNullSafe(F.col("_s"))]).withColumns({"i": F.col("_n") + F.col("_i"), "hits": F.col("_p") + F.col("_hits")})
     return ranked.groupBy(*keys).agg((F.sum(F.when(positive, F.col("hits") / F.col("i"))) / F.count_if(positive)).alias("average_precision"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
@@ -177,10 +178,10 @@ def sc33_missing_fields(spark, d):
 
 @query("sc34_window_text", "select a.conv_id, a.turn, string_agg(b.text, ' ' order by b.turn) as text from conversations a join conversations b on a.conv_id = b.conv_id and abs(a.turn - b.turn) * 15 <= 30 group by 1, 2")
 def sc34_window_text(spark, d):
-    """The words within 30 s of each turn, by filtering the transcript's own array."""
-    t = X.table(spark, d, "conversations").select("conv_id", "turn")
-    near = F.filter("segs", lambda s: F.abs(s["turn"] - F.col("turn")) * 15 <= 30)
-    return t.join(transcripts(spark, d), "conv_id").select("conv_id", "turn", F.array_join(F.transform(near, lambda s: s["text"]), " ").alias("text"))
+    """The words within 30 s of each turn, in one pass over the turns in order of time."""
+    t = X.table(spark, d, "conversations").withColumn("at", F.col("turn") * 15)
+    near = W.partitionBy("conv_id").orderBy("at").rangeBetween(-30, 30)
+    return t.select("conv_id", "turn", F.array_join(F.collect_list("text").over(near), " ").alias("text"))
 
 
 @query("sc34_fixed_windows", "select conv_id, (turn * 15) // 45 as win, string_agg(text, ' ' order by turn) as text from conversations group by 1, 2")
