@@ -1,4 +1,4 @@
-"""Operators that other queries contain, by themselves (IO1, A1, SC23, E11, E12, E23)."""
+"""Operators that other queries contain, by themselves (IO1, IO19, A1, SC23, E11, E12, E23, E28)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import confusion as C
 from ..operators import scoring as S
+from ..sources import document_fixtures as Y
+from ..sources import documents as R
 from ..sources import fixtures as X
 from ..sources import io
 from .base import query
@@ -57,3 +59,21 @@ def e12_kept_by_category(spark, d):
 @query("e23_mean_entropy", "select run_key, matched, avg(entropy_mean) as mean_entropy, count(entropy_mean) as n, count(*) as flags from fx_scored group by 1, 2", fx=True)
 def e23_mean_entropy(spark, d):
     return tables(spark, d)[2].groupBy("run_key", "matched").agg(F.avg("entropy_mean").alias("mean_entropy"), F.count("entropy_mean").alias("n"), F.count("*").alias("flags"))
+
+
+@query("io19_chunk_windows", "select file_id, c.range::int as chunk, c.range * 28.0::double as offset_s, least(28.0::double, duration_s - c.range * 28.0) as length_s from fx_segments, range(0, 30) c where c.range * 28.0 < duration_s", fx=True)
+def io19_chunk_windows(spark, d):
+    return R.chunk_windows(X.segments(X.base(spark, d)).withColumn("duration_s", F.col("duration_s").cast("double")), 28.0)
+
+
+@query("e28_prompt_texts", "select * from (values ('prompt_v3.txt', 'v3', 'plain text' || chr(10) || '{json_schema_str}'), ('prompt_v8.py', 'v8', 'Judge' || chr(10) || 'the call'), ('other.py', null, 'direct')) v(name, version, text)")
+def e28_prompt_texts(spark, d):
+    """Prompts of text files, and of Python files by their syntax."""
+    root = Y.folder(spark, d, "gt").removesuffix("/gt") + "/prompts"
+    sources = {"prompt_v3.txt": "plain text\n{json_schema_str}", "prompt_v8.py": 'TEXT = """Judge\nthe call"""\n\n\ndef get_prompt():\n    return TEXT\n', "other.py": "def get_prompt() -> str:\n    return 'direct'\n"}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, source in sources.items():
+        out = hadoop.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
+        out.write(bytearray(source.encode()))
+        out.close()
+    return R.read_prompts(spark, root)

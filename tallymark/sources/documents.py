@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.udfs import prompt_of_source
+
 WIRE_FLAG = "struct<f: string, t: string, tr: string, vb: string, j: string, c: double, sec: int, id: bigint>"
 GT_SCHEMA = (
     "file_id string, language string, user_id bigint, status string, error string, "
@@ -103,6 +105,21 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.regexp_like("value", F.lit(LOG_LINE))).select(part(1).cast("timestamp_ntz").alias("at"), part(2).alias("level"), part(3).alias("file_id"), part(4).cast("long").alias("event_id"))
 
 
+def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt files of a folder, whole: name, version and text; of a Python file, what its get_prompt() returns."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value"))
+    python = F.col("name").endswith(".py")
+    of_python = files.where(python).withColumn("text", prompt_of_source("value"))
+    return of_python.unionByName(files.where(~python).withColumn("text", F.col("value"))).select("name", F.nullif(F.regexp_extract("name", r"_(v[0-9]+)\.", 1), F.lit("")).alias("version"), "text")
+
+
+def chunk_windows(files: DataFrame, seconds: float) -> DataFrame:
+    """The windows that a recording (file_id, duration_s) is cut into: their numbers, offsets and lengths, the last one shorter."""
+    n = F.ceil(F.col("duration_s") / seconds).cast("int")
+    cut = files.where("duration_s > 0").select("file_id", "duration_s", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    return cut.select("file_id", "chunk", (F.col("chunk") * seconds).alias("offset_s"), F.least(F.lit(seconds), F.col("duration_s") - F.col("chunk") * seconds).alias("length_s"))
+
+
 AUDIO_PATH = r"/([a-z]+)_([A-Za-z\-]+)/(TP|FP|FN)(?:/(Single|Multi))?/([^/]+\.([A-Za-z0-9]+))$"
 POOLED_PATH = r"/TN/([^/]+\.([A-Za-z0-9]+))$"
 
