@@ -157,3 +157,14 @@ def ledger_lookup(stage_rows: DataFrame, ledger: DataFrame, earlier: str) -> Dat
     first = W.partitionBy("file_id").orderBy("seq")
     found = ledger.where(F.col("stage") == earlier).withColumn("_i", F.row_number().over(first)).where("_i = 1").select("file_id", "audio_duration_sec")
     return stage_rows.join(found, "file_id").withColumn("rtf", F.col("seconds") / F.col("audio_duration_sec"))
+
+
+#: fixed values: ends of a reply that come again with the same input
+FINAL_REASONS = ["RECITATION", "SAFETY", "PROHIBITED_CONTENT", "BLOCKLIST", "SPII"]
+
+
+def next_step(attempt: Column, ok: Column, code: Column, reason: Column, most: int, base: float) -> dict[str, Column]:
+    """What follows an attempt of a model call: done, failed or again, and the seconds to wait before."""
+    final = F.coalesce(code == 400, F.lit(False)) | F.coalesce(reason.isin(*FINAL_REASONS), F.lit(False)) | (attempt >= most)
+    step = F.when(ok, "done").when(final, "failed").otherwise("again")
+    return {"step": step, "wait_s": F.when(step == "again", F.pow(F.lit(base), attempt))}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import confusion as C
+from ..operators import documents as D
 from ..operators import scoring as S
 from ..sources import document_fixtures as Y
 from ..sources import documents as R
@@ -77,3 +78,14 @@ def e28_prompt_texts(spark, d):
         out.write(bytearray(source.encode()))
         out.close()
     return R.read_prompts(spark, root)
+
+
+CALLS = "event_id % 5 + 1 as attempt, event_id % 4 = 0 as ok, case event_id % 7 when 1 then 400 when 2 then 429 when 3 then 503 end as code, case event_id % 11 when 4 then 'SAFETY' when 5 then 'MAX_TOKENS' end as reason"
+
+
+@query("m14_retry_steps", f"with c as (select event_id, {CALLS} from fx_base), s as (select event_id, attempt, case when ok then 'done' when coalesce(code = 400, false) or coalesce(reason = 'SAFETY', false) or attempt >= 4 then 'failed' else 'again' end as step from c) select event_id, step, case when step = 'again' then pow(2.0::double, attempt) end as wait_s from s", fx=True)
+def m14_retry_steps(spark, d):
+    """Attempts of model calls: what the same input would bring again is not tried again, the rest waits longer each time."""
+    calls = X.base(spark, d).selectExpr("event_id", *[c.strip() for c in CALLS.split(", ")])
+    s = D.next_step(F.col("attempt"), F.col("ok"), F.col("code"), F.col("reason"), 4, 2.0)
+    return calls.select("event_id", s["step"].alias("step"), s["wait_s"].alias("wait_s"))
