@@ -39,10 +39,11 @@ from .common import bounded_batches, tidied
 
 NEVER = np.int64(1 << 40)
 #: Pieces that a worker remembers (in each of the two generations of a Cache at most as many), words, and the longest piece that is cached.
-CACHE_PIECES = 250_000
-CACHE_WORDS = 150_000
+CACHE_PIECES = 500_000
+CACHE_WORDS = 300_000
 CACHE_LENGTH = 64
 SHORT_WORD = 150
+TABLE_WORD = 20  # words of at most so many bytes are merged side by side
 _LAST = 1 << 40
 _SHORT = (3, 2, 1)
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -73,6 +74,9 @@ _WORDS = _word_pattern(r"\p{L}", r"\p{N}", rf"[^{_WHITE}\p{{L}}\p{{N}}]")
 _WORDS_LATER = _word_pattern(rf"[\p{{L}}--[{_LATER}]]", rf"[\p{{N}}--[{_LATER}]]", rf"[[^{_WHITE}\p{{L}}\p{{N}}]||[{_LATER}]]")
 
 
+_CLOSING = frozenset(".,;:!?)")
+
+
 def check_letters() -> None:
     """Fail if the regex module's Unicode is not the one that the list of later code points was made for."""
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
@@ -84,6 +88,8 @@ def check_letters() -> None:
 def split_words(piece: str) -> list[str]:
     if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
         return [piece]
+    if piece[-1:] in _CLOSING and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece[:-1], piece[-1]]
     return (_WORDS if piece.isascii() or not _HAS_LATER.search(piece) else _WORDS_LATER).findall(piece)
 
 
@@ -215,6 +221,9 @@ class Encoder:
         self.pairs = {int(k): (int(r), int(n)) for k, r, n in zip(tables.pair_keys, tables.pair_rank, tables.pair_new)}
         self.rank = {k: r for k, (r, _) in self.pairs.items()}
         self.made = dict(self.pairs.values())
+        self.by_rank = np.full(len(tables.pair_rank) + 1, -1, np.int64)
+        self.by_rank[tables.pair_rank] = tables.pair_new
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         self.known_good = np.zeros(0, np.int64)
         self.known_bad = np.zeros(0, np.int64)
         self.texts = [str(i).encode() + b"," for i in range(self.size)]
@@ -251,6 +260,44 @@ class Encoder:
                 ranks[i] = rank(made * size + seq[i + 1], _LAST)
         return seq
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's rule, one more than the last where there is none; -1 stands beside a word's end."""
+        keys, none = a * self.size + b, len(self.t.pair_keys)
+        at = np.minimum(np.searchsorted(self.t.pair_keys, keys), none - 1)
+        return np.where((self.t.pair_keys[at] == keys) & (a >= 0) & (b >= 0), self.t.pair_rank[at], none)
+
+    def merge_table(self, words: list[bytes]) -> list[list[int]]:
+        """The merges of many short words side by side, one merge a word and round: lowest rank first, leftmost of equals."""
+        self.exact_words += len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        wide = int(lengths.max()) + 1
+        seq = np.full((len(words), wide), -1, np.int64)
+        seq[np.arange(wide) < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rank = self.ranks_of(seq[:, :-1], seq[:, 1:])
+        none, columns = len(self.t.pair_keys), np.arange(wide)
+        open_ = np.arange(len(words))
+        while len(open_):
+            i = rank[open_].argmin(axis=1)
+            least = rank[open_, i]
+            go = least < none
+            open_, i, least = open_[go], i[go], least[go]
+            if not len(open_):
+                break
+            # the pair's second token goes, what follows moves up
+            rows = seq[open_]
+            moved = np.take_along_axis(np.concatenate([rows, np.full((len(rows), 1), -1)], axis=1), columns + (columns > i[:, None]), axis=1)
+            at = np.arange(len(open_))
+            moved[at, i] = self.by_rank[least]
+            seq[open_] = moved
+            kept = np.take_along_axis(np.concatenate([rank[open_], np.full((len(rows), 1), none)], axis=1), columns[:-1] + (columns[:-1] > i[:, None]), axis=1)
+            last = wide - 1
+            kept[at, np.minimum(i, last - 1)] = self.ranks_of(moved[at, i], moved[at, np.minimum(i + 1, last)])
+            before = i > 0
+            kept[at[before], i[before] - 1] = self.ranks_of(moved[at[before], i[before] - 1], moved[at[before], i[before]])
+            rank[open_] = kept
+        sizes = (seq >= 0).sum(axis=1).tolist()
+        return [row[:n] for row, n in zip(seq.tolist(), sizes)]
+
     def merge_exactly(self, word: bytes) -> list[int]:
         """The merges themselves: lowest rank first, leftmost of equals; O(n log n) for long words."""
         self.exact_words += 1
@@ -306,8 +353,13 @@ class Encoder:
         inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
         if len(inside):
             bad[owner[inside[~self.pairs_fit(flat[inside], flat[inside + 1])]]] = True
-        for i in np.flatnonzero(bad):
-            out[i] = self.merge_exactly(raw[i])
+        wrong = np.flatnonzero(bad).tolist()
+        short = [i for i in wrong if len(raw[i]) <= TABLE_WORD]
+        for i, merged in zip(short, self.merge_table([raw[i] for i in short]) if short else ()):
+            out[i] = merged
+        for i in wrong:
+            if len(raw[i]) > TABLE_WORD:
+                out[i] = self.merge_exactly(raw[i])
         return out
 
     def pieces(self, text: str) -> list[list[str]]:

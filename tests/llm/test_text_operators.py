@@ -107,6 +107,13 @@ def texts_of_all_kinds():
     return texts + ["", "<|endoftext|>", "a<|endoftext|> b", " " * 500, "a" * 3000, "\U000190b6揌ò9", "the house's café isn't"]
 
 
+def test_merges_side_by_side_equal_merges_alone(tables):
+    rnd = random.Random(17)
+    encoder = bpe.Encoder(tables)
+    words = [bytes(rnd.choice(b" abcdefghijthenringouést.,#\xc3\xa9\xff") for _ in range(rnd.randint(1, bpe.TABLE_WORD))) for _ in range(3000)]
+    assert encoder.merge_table(words) == [encoder.merge_short(w) for w in words]
+
+
 def test_bpe_digests_equal_library(spark, monkeypatch):
     """The three columns that the query returns, with a store of pieces that is forgotten again and again."""
     import hashlib
