@@ -110,7 +110,7 @@ def texts_of_all_kinds():
 def test_merges_side_by_side_equal_merges_alone(tables):
     rnd = random.Random(17)
     encoder = bpe.Encoder(tables)
-    words = [bytes(rnd.choice(b" abcdefghijthenringouést.,#\xc3\xa9\xff") for _ in range(rnd.randint(1, bpe.TABLE_WORD))) for _ in range(3000)]
+    words = [bytes(rnd.choice(b" abcdefghijthenringou.,#\xc3\xa9\xff") for _ in range(rnd.randint(1, bpe.TABLE_WORD))) for _ in range(3000)]
     assert encoder.merge_table(words) == [encoder.merge_short(w) for w in words]
 
 
