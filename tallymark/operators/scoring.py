@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +96,3 @@ def enforce_duplicates(verdicts: DataFrame, matched_gt: DataFrame) -> DataFrame:
     wrong = F.col("verified") & duplicate & F.col("is_matched").isNull()
     low = ~F.col("verified") & F.col("fp_type").isin("DUPLICATE_OR_EXTRA_INSTANCE", "MATCHER_MISS")
     return joined.withColumn("final_type", F.when(wrong, "MATCHER_MISS").otherwise(F.col("fp_type"))).withColumn("low_confidence", low).drop("is_matched")
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -14,7 +14,6 @@ from ..operators import asr as A
 from ..operators import confusion as CF
 from ..operators import documents as D
 from ..operators import scoring as S
-from ..operators import timing as T
 from ..sources import document_fixtures as Y
 from ..sources import documents as R
 from ..sources import fixtures as X
