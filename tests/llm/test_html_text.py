@@ -80,3 +80,52 @@ def test_quotes_and_ends():
     assert extract('<a title="x>y">z</a> <b title="no end>w') == "z w"
     assert extract("a < b <c") == "a < b"
     assert extract("a<!-- never closed <b>c</b>") == "a"
+
+
+def test_visible_characters_equal_an_independent_parser(spark):
+    """All pages of the small table: the standard library's event parser sees the same characters, layout marks aside."""
+    import os
+    import re
+    from html.parser import HTMLParser
+
+    import pytest
+
+    from tallymark.llm import html_text as H
+
+    table = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(table):
+        pytest.skip("no test tables here")
+
+    class Seen(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            style = re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or "")
+            hidden = tag in H.UNSEEN or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or bool(style)
+            if tag not in H.VOID:
+                self.stack.append((tag, hidden))
+            elif not hidden and not any(h for _, h in self.stack):
+                shown = a.get("alt") if tag == "img" else a.get("value") if tag == "input" and a.get("type", "text") not in ("hidden", "checkbox", "radio", "password", "file") else ""
+                self.words += (shown or "").split()
+
+        def handle_endtag(self, tag):
+            at = max((i for i, (t, _) in enumerate(self.stack) if t == tag), default=None)
+            if at is not None:
+                del self.stack[at:]
+
+        def handle_data(self, data):
+            if not any(h for _, h in self.stack):
+                self.words += data.split()
+
+    mark = re.compile(r"^(\*|\||>|\d+\.|-{20})$")
+    letters = lambda words: sorted("".join(w for w in words if not mark.match(w)))
+    rows = spark.read.parquet(table).collect()
+    for r in rows:
+        seen = Seen()
+        seen.feed(r["html"] or "")
+        seen.close()
+        assert letters(seen.words) == letters(extract(r["html"]).split()), r["page_id"]
+    assert len(rows) > 100
