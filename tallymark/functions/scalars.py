@@ -144,7 +144,7 @@ def round_half_even(x: Column, scale: int = 100) -> Column:
 
 
 def display_name(run: Column, prompt: Column) -> Column:
-    """Name of a run as <model>_<thinking|nothinking>_<prompt>; two hosted families have names of their own."""
+    """Name of a run as <model>_<thinking|nothinking>_<prompt>; two hosted families have names of their own (fixed values)."""
     thinking = lambda yes: F.when(yes, "thinking").otherwise("nothinking")
     old = F.concat(F.lit("gemini-3.1-FL_"), thinking(~run.endswith("_nothink")), F.lit("_"), prompt)
     new = F.concat(F.lit("gemini-3.5-flash-lite_"), prompt)
