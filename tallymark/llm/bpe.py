@@ -23,11 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +47,7 @@ CACHE_LENGTH = 64
 SHORT_WORD = 150
 TABLE_WORD = 20  # words of at most so many bytes are merged side by side
 _LAST = 1 << 40
+_BETWEEN = "\u0100"  # stands between words; no byte's letter
 _SHORT = (3, 2, 1)
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Code points that the regex module's newer Unicode counts as letters or
@@ -223,6 +226,12 @@ class Encoder:
         self.made = dict(self.pairs.values())
         self.by_rank = np.full(len(tables.pair_rank) + 1, -1, np.int64)
         self.by_rank[tables.pair_rank] = tables.pair_new
+        self.token_length = np.array([len(b) for b in tables.token_bytes], np.int64)
+        # finds the longest token from the left, again and again; bytes stand as Latin-1 letters
+        self.finder = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self.finder.add_word(b.decode("latin-1"), i)
+        self.finder.make_automaton()
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         self.known_good = np.zeros(0, np.int64)
         self.known_bad = np.zeros(0, np.int64)
@@ -245,6 +254,16 @@ class Encoder:
                 raise ValueError("the vocabulary lacks a byte")
         return out
 
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The proposals for all words after each other, and how many tokens each word has."""
+        joined = _BETWEEN.join([w.decode("latin-1") for w in words])
+        found = np.fromiter(itertools.chain.from_iterable(self.finder.iter_long(joined)), np.int64).reshape(-1, 2)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        lengths = np.bincount(np.searchsorted(ends, found[:, 0], "right"), minlength=len(words))
+        if int(self.token_length[found[:, 1]].sum()) != len(joined) - max(0, len(words) - 1):
+            raise ValueError("the vocabulary lacks a byte")
+        return found[:, 1], lengths
+
     def merge_short(self, word: bytes) -> list[int]:
         """The merges themselves on lists, which is faster for words of usual length."""
         size, rank = self.size, self.rank.get
@@ -342,25 +361,36 @@ class Encoder:
             self.known_good = self.known_bad = np.zeros(0, np.int64)
         return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words after each other, and how many each word has."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        out = [self.propose(w) for w in raw]
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((t for o in out for t in o), np.int64, int(lengths.sum()))
-        owner = np.repeat(np.arange(len(out)), lengths)
-        bad = np.zeros(len(out), bool)
-        np.logical_or.at(bad, owner[~self.t.sound[flat]], True)
+        flat, lengths = self.propose_all(raw)
+        owner = np.repeat(np.arange(len(raw)), lengths)
+        bad = np.zeros(len(raw), bool)
+        bad[owner[~self.t.sound[flat]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
         if len(inside):
             bad[owner[inside[~self.pairs_fit(flat[inside], flat[inside + 1])]]] = True
         wrong = np.flatnonzero(bad).tolist()
+        if not wrong:
+            return flat, lengths
         short = [i for i in wrong if len(raw[i]) <= TABLE_WORD]
-        for i, merged in zip(short, self.merge_table([raw[i] for i in short]) if short else ()):
-            out[i] = merged
-        for i in wrong:
-            if len(raw[i]) > TABLE_WORD:
-                out[i] = self.merge_exactly(raw[i])
-        return out
+        merged = dict(zip(short, self.merge_table([raw[i] for i in short]) if short else ()))
+        merged.update((i, self.merge_exactly(raw[i])) for i in wrong if len(raw[i]) > TABLE_WORD)
+        out_lengths = lengths.copy()
+        out_lengths[wrong] = [len(merged[i]) for i in wrong]
+        out = np.empty(int(out_lengths.sum()), np.int64)
+        failed = np.repeat(bad, out_lengths)
+        out[~failed] = flat[~bad[owner]]
+        out[failed] = np.fromiter(itertools.chain.from_iterable(merged[i] for i in wrong), np.int64)
+        return out, out_lengths
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        flat, lengths = self.encode_flat(words)
+        listed, cuts = flat.tolist(), np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        return [listed[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
 
     def pieces(self, text: str) -> list[list[str]]:
         """A text as runs between special tokens; in a run, pieces after the first lack their leading blank."""
@@ -468,7 +498,9 @@ class Digests:
 
     def __init__(self, encoder: Encoder):
         self.encoder, self.cache = encoder, Cache()
+        self.names, self.raw = pa.array(encoder.texts, pa.large_binary()), pa.array(encoder.t.token_bytes, pa.large_binary())
         self.forget()
+        self.forget_words()
 
     def forget(self) -> None:
         self.first: dict[str, int] = {"": 0}  # without a blank before
@@ -476,23 +508,42 @@ class Digests:
         self.n = np.zeros(1, np.int64)
         self.ids = self.back = pa.array([b""], pa.large_binary())
 
+    def forget_words(self) -> None:
+        self.words: dict[str, int] = {}
+        self.tokens = self.starts = self.lengths = np.zeros(0, np.int64)
+
     def result(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         names, raw = self.encoder.texts, self.encoder.t.token_bytes
         return len(ids), b"".join([names[i] for i in ids]), b"".join([raw[i] for i in ids])
 
-    def _add(self, results: list[tuple[int, bytes, bytes]]) -> None:
-        n, ids, back = zip(*results)
-        self.n = np.concatenate([self.n, np.array(n, np.int64)])
-        self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.large_binary())])
-        self.back = pa.concat_arrays([self.back, pa.array(back, pa.large_binary())])
+    def _learn(self, pieces: list[str]) -> None:
+        """Append the results of new pieces to the store, in their order."""
+        if len(self.words) > CACHE_WORDS:
+            self.forget_words()
+        split = [split_words(p) for p in pieces]
+        flat = list(itertools.chain.from_iterable(split))
+        fresh = list(dict.fromkeys(w for w in flat if w not in self.words))
+        if fresh:
+            tokens, lengths = self.encoder.encode_flat(fresh)
+            self.words.update(zip(fresh, range(len(self.lengths), len(self.lengths) + len(fresh))))
+            self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.tokens = np.concatenate([self.tokens, tokens])
+        number = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        lengths = self.lengths[number]
+        ends = np.cumsum(lengths)
+        tokens = self.tokens[np.repeat(self.starts[number] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])]
+        self.n = np.concatenate([self.n, np.diff(upto)])
+        self.ids = pa.concat_arrays([self.ids, _joined(self.names, tokens, upto)])
+        self.back = pa.concat_arrays([self.back, _joined(self.raw, tokens, upto)])
 
     def _numbers(self, known: dict[str, int], pieces: list[str], blank: str) -> np.ndarray:
         found = list(map(known.get, pieces))
         new = [i for i, k in enumerate(found) if k is None]
         if new:
             size = len(self.n)
-            learnt = self.encoder.learn([blank + pieces[i] for i in new], self.result)
-            self._add([learnt[blank + pieces[i]] for i in new])
+            self._learn([blank + pieces[i] for i in new])
             for k, i in enumerate(new, size):
                 found[i] = k
                 if len(pieces[i]) <= CACHE_LENGTH:
@@ -538,6 +589,14 @@ class Digests:
         return counts, _laid_out(ids, pieces, starts), _laid_out(back, pieces, starts)
 
 
+def _joined(parts: pa.Array, which: np.ndarray, upto: np.ndarray) -> pa.Array:
+    """Strings made of parts: the i-th of those numbered which[upto[i]:upto[i + 1]]."""
+    laid = parts.take(pa.array(which))
+    _, offsets, data = laid.buffers()
+    ends = np.ascontiguousarray(np.frombuffer(offsets, np.int64, len(laid) + 1)[upto]) if len(laid) else np.zeros(len(upto), np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer(ends), data if data is not None else pa.py_buffer(b"")])
+
+
 def _laid_out(results: pa.Array, pieces: np.ndarray, starts: np.ndarray) -> Iterator[memoryview]:
     """The bytes of each text: the results of its pieces after each other."""
     laid = results.take(pa.array(pieces))

@@ -107,6 +107,15 @@ def texts_of_all_kinds():
     return texts + ["", "<|endoftext|>", "a<|endoftext|> b", " " * 500, "a" * 3000, "\U000190b6揌ò9", "the house's café isn't"]
 
 
+def test_proposals_together_equal_proposals_alone(tables):
+    rnd = random.Random(19)
+    encoder = bpe.Encoder(tables)
+    words = [bytes(rnd.choice(b" abcdefghijthenringou.,#\xc3\xa9\xff") for _ in range(rnd.randint(1, 60))) for _ in range(3000)] + [b" the", b"x" * 5000]
+    flat, lengths = encoder.propose_all(words)
+    cuts = np.concatenate([[0], np.cumsum(lengths)])
+    assert [flat[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:])] == [encoder.propose(w) for w in words]
+
+
 def test_merges_side_by_side_equal_merges_alone(tables):
     rnd = random.Random(17)
     encoder = bpe.Encoder(tables)
