@@ -41,8 +41,8 @@ from .common import bounded_batches, tidied
 
 NEVER = np.int64(1 << 40)
 #: Pieces that a worker remembers (in each of the two generations of a Cache at most as many), words, and the longest piece that is cached.
-CACHE_PIECES = 500_000
-CACHE_WORDS = 300_000
+CACHE_PIECES = 300_000
+CACHE_WORDS = 200_000
 CACHE_LENGTH = 64
 SHORT_WORD = 150
 TABLE_WORD = 20  # words of at most so many bytes are merged side by side
@@ -451,9 +451,9 @@ def decode(tables: Tables, ids) -> str:
 
 
 def _small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about 8 MB of text."""
+    """Batches of about 4 MB of text."""
     for batch in batches:
-        rows = max(1, min(batch.num_rows, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1))))
+        rows = max(1, min(batch.num_rows, int(batch.num_rows * (4 << 20) / max(batch.nbytes, 1))))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
 
