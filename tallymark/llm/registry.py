@@ -17,6 +17,9 @@ MODULES = {
     "op8_html_text": "html_text",
     "op9_language_id": "language_id",
     "op10_quality_rules": "quality_rules",
+    "op11_collocations": "collocations",
+    "op12_filter_audit": "filter_audit",
+    "op13_simhash": "simhash",
 }
 
 
