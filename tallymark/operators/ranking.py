@@ -6,29 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def tie_groups(rows: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
-    """Per keys and distinct score (missing scores are one group below all): n and positives.
+    """Per keys and distinct score (missing scores are one group below all): n, positives p and negatives q.
 
-    The groups, not the rows, are what the window functions below sort.
+    The groups, not the rows, are what is put in order below.
     """
-    return rows.groupBy(*keys, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
+    return rows.groupBy(*keys, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(positive).alias("p")).withColumn("q", F.col("n") - F.col("p"))
 
 
 def auroc(rows: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Mann-Whitney AUROC with average ranks; null if one class is missing."""
-    g = tie_groups(rows, keys, score, positive)
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(W.partitionBy(*keys).orderBy(F.col("s").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = g.withColumn("wins", F.col("p") * (below + (F.col("n") - F.col("p")) / 2.0))
-    sums = wins.groupBy(*keys).agg(F.sum("wins").alias("wins"), F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"))
+    g = running_sums(tie_groups(rows, keys, score, positive), keys, [F.col("s").asc_nulls_first()], ["q"])
+    wins = g.withColumn("wins", F.col("p") * (F.col("upto_q") - F.col("q") / 2.0))
+    sums = wins.groupBy(*keys).agg(F.sum("wins").alias("wins"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return sums.withColumn("auroc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos").cast("double") * F.col("n_neg")))).drop("wins")
 
 
 def curve(rows: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Running true and false positives from the highest score down, a row per tie group."""
-    down = W.partitionBy(*keys).orderBy(F.col("s").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    g = tie_groups(rows, keys, score, positive)
-    return g.withColumns({"tp": F.sum("p").over(down), "fp": F.sum(F.col("n") - F.col("p")).over(down)})
+    g = running_sums(tie_groups(rows, keys, score, positive), keys, [F.col("s").desc_nulls_last()], ["p", "q"])
+    return g.withColumnsRenamed({"upto_p": "tp", "upto_q": "fp"}).drop("q")
 
 
 def auprc(rows: DataFrame, keys: list[str], score: str, positive: Column, totals: DataFrame) -> DataFrame:
@@ -47,18 +47,11 @@ def recall_at_fp(rows: DataFrame, keys: list[str], score: str, positive: Column,
 
 
 def average_precision(rows: DataFrame, keys: list[str], score: str, positive: Column, tiebreak: str) -> DataFrame:
-    """Average precision over single rows in a stable order; the denominator is the positives in the list.
-
-    Rows are numbered inside their tie group and lifted by the groups above, so that no
-    window holds all rows of a key.
-    """
-    above = W.partitionBy(*keys).orderBy(F.col("s").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    lift = tie_groups(rows, keys, score, positive).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("s").alias("_s"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_p"))
-    w = W.partitionBy(*keys, score).orderBy(tiebreak)
-    inside = rows.withColumns({"_i": F.row_number().over(w), "_hits": F.sum(positive.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))})
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    ranked = inside.join(lift, [*same, F.col(score).eqNullSafe(F.col("_s"))]).withColumns({"i": F.col("_n") + F.col("_i"), "hits": F.col("_p") + F.col("_hits")})
-    return ranked.groupBy(*keys).agg((F.sum(F.when(positive, F.col("hits") / F.col("i"))) / F.count_if(positive)).alias("average_precision"))
+    """Average precision over single rows in a stable order; the denominator is the positives in the list."""
+    single = rows.select(*keys, F.col(score).alias("s"), F.col(tiebreak).alias("t"), F.lit(1).alias("n"), F.coalesce(positive.cast("int"), F.lit(0)).alias("p"))
+    ranked = running_sums(single, keys, [F.col("s").desc_nulls_last(), F.col("t").asc()], ["n", "p"])
+    hit = F.when(F.col("p") == 1, F.col("upto_p") / F.col("upto_n"))
+    return ranked.groupBy(*keys).agg((F.sum(hit) / F.sum("p")).alias("average_precision"))
 
 
 def top_k(rows: DataFrame, keys: list[str], by: str, k: int, *tiebreak: str) -> DataFrame:

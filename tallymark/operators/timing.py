@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def sessions(lines: DataFrame, key: str, load: Column) -> DataFrame:
     """Calls of a log: lines between loads, each lasting until the next line.
@@ -27,11 +29,11 @@ def without_outliers(calls: DataFrame, key: str, value: str) -> DataFrame:
 
     The quartiles come from counts of distinct values, so that no group is gathered in one row.
     """
-    by_value = calls.groupBy(key, value).agg(F.count("*").alias("_k"))
-    w = W.partitionBy(key).orderBy(value)
-    run = by_value.withColumns({"_upto": F.sum("_k").over(w), "n": F.sum("_k").over(W.partitionBy(key))})
-    at = lambda i: F.min(F.when(F.col("_upto") > F.floor(i), F.col(value)))
-    q = run.groupBy(key, "n").agg(at(F.col("n") / 4).alias("q1"), at(F.col("n") * 3 / 4).alias("q3"))
+    by_value = calls.groupBy(F.col(key).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    run = running_sums(by_value, ["_g"], [F.col("_v").asc()], ["_k"])
+    total = calls.groupBy(F.col(key).alias("_of")).agg(F.count("*").alias("n"))
+    at = lambda i: F.min(F.when(F.col("upto__k") > F.floor(i), F.col("_v")))
+    q = run.join(total, F.col("_g").eqNullSafe(F.col("_of"))).groupBy(F.col("_g").alias(key), "n").agg(at(F.col("n") / 4).alias("q1"), at(F.col("n") * 3 / 4).alias("q3"))
     cut = q.select(F.col(key).alias("_key"), "n", F.when(F.col("n") >= 4, F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("cut"))
     return calls.join(cut, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("cut").isNull() | (F.col(value) <= F.col("cut"))).drop("_key")
 

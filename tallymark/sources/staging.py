@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _roots: set[str] = set()
@@ -37,3 +38,10 @@ def _remove(spark: SparkSession, root: str) -> None:
         return
     path = sc._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder: what follows reads the copy, and no lost executor makes it be computed again."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
