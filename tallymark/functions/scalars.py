@@ -83,6 +83,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+def unit(vector: Column) -> Column:
+    """An array as doubles of length 1; one without length stays as it is."""
+    values = F.transform(vector, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(values, lambda x: x / length)).otherwise(values)
+
+
+def unit_cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity of two arrays that ``unit`` made."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _ratio_bound(shared: Column, a: Column, b: Column) -> Column:
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(shared * 2.0 / total)
+
+
+def ratio_bound_by_length(a: Column, b: Column) -> Column:
+    """What text_ratio cannot exceed, by the lengths alone; null counts as empty."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    return _ratio_bound(F.least(F.length(a), F.length(b)), a, b)
+
+
+def ratio_bound_by_letters(a: Column, b: Column) -> Column:
+    """What text_ratio cannot exceed, by how often each character occurs in both; null counts as empty."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    return _ratio_bound(shared, a, b)
+
+
 def time_decay(delta: Column, known: Column, tau: float = 20.0, unknown: float = 0.7) -> Column:
     return F.when(known, F.exp(-delta / tau)).otherwise(unknown)
 

@@ -11,17 +11,21 @@ from ..sources import fixtures as X
 from .base import query
 from .confusion_queries import FILE_STATE, HITS, matched_index, tables
 
-CONTENT = "(1 + (gi * 31 + mi * 17) % 100) / 101.0"
+def with_vectors(spark, d, flags):
+    """Flags with the vector of their content: the embedding with the flag's number, counted round."""
+    vectors = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return flags.withColumn("vec_id", F.col("event_id") % F.lit(vectors.count())).join(vectors, "vec_id")
 
 
 def candidates(spark, d):
     _, gt, flags = tables(spark, d)
-    return M.scored_candidates(gt, flags, F.expr("(1 + (gi * 31 + mi * 17) % 100) / 101.0D"))
+    return M.scored_candidates(with_vectors(spark, d, gt), with_vectors(spark, d, flags))
 
 
-PAIRS = f"""
+PAIRS = """
+vc as (select event_id, embedding::double[] as v from fx_base join embeddings on vec_id = event_id % (select count(*) from embeddings)),
 cd as (select s.run_key, s.file_id, g.event_id as gi, s.event_id as mi, g.category as gc, s.category as mc, abs(g.t_sec - s.t_sec)::double as delta, s.t_sec % 28 <= 0.5 or 28 - s.t_sec % 28 <= 0.5 as unk from fx_scored s join fx_gt g using (file_id)),
-ct as (select *, {CONTENT}::double as content from cd where unk or delta <= 60),
+ct as (select cd.*, (list_cosine_similarity(x.v, y.v) + 1) / 2 as content from cd join vc x on x.event_id = gi join vc y on y.event_id = mi where unk or delta <= 60),
 pairs as (select run_key, file_id, gi, mi, greatest(0.0::double, least(1.0::double, 0.70::double * content + 0.30::double * case when unk then 0.7::double else exp(-delta / 20.0::double) end + case when gc = mc then 0.15::double else -0.15::double end)) as score from ct where content >= 0.5)"""
 
 
@@ -36,6 +40,25 @@ def j4_scored_candidates(spark, d):
     return candidates(spark, d)
 
 
+#: a letter of each language's script, for the native excerpts of the fixture
+LETTERS = {"hindi": "क", "tamil": "க", "telugu": "క", "kannada": "ಕ", "malayalam": "ക"}
+
+
+def with_excerpts(flags):
+    """Flags with a native excerpt made from their numbers; one in three is in Latin letters and so has no say."""
+    letter = F.coalesce(*[F.when(F.col("language") == k, F.lit(v)) for k, v in LETTERS.items()])
+    words = F.concat_ws(" ", *[F.concat(F.repeat(F.lit("x"), 1 + F.col("event_id") % n), F.lit("yz")) for n in (2, 3, 5)])
+    return flags.withColumn("excerpt", F.when(F.col("event_id") % 3 == 0, words).otherwise(F.regexp_replace(words, F.lit("[xz]"), letter)))
+
+
+@query("j4_native_candidates")
+def j4_native_candidates(spark, d):
+    """As j4_scored_candidates, with the likeness of native excerpts where it is more than that of the vectors."""
+    _, gt, flags = tables(spark, d)
+    side = lambda t: with_excerpts(with_vectors(spark, d, t))
+    return M.scored_candidates(side(gt), side(flags), native=True)
+
+
 @query("j5_greedy_assignment")
 def j5_greedy_assignment(spark, d):
     return M.assign(candidates(spark, d), M.greedy_pairs)
@@ -229,11 +252,36 @@ def a46_matcher_stability(spark, d):
     return M.same_pairs(nearest(spark, d, 60), nearest(spark, d, 30))
 
 
+def said(c):
+    """A text made from a flag's number."""
+    return F.expr(f"concat(char(97 + {c} % 5), repeat(concat(char(102 + {c} % 7), ' '), cast({c} % 11 as int) + 1), {c} % 1000)")
+
+
 @query("j3_prematch")
 def j3_prematch(spark, d):
     """Candidates of one category within 15 s whose texts are alike, assigned greedily by likeness."""
     _, gt, flags = tables(spark, d)
-    near = M.band_candidates(gt, flags)
-    text = lambda c: F.concat(F.lit("said at "), F.col(c) % 10, F.lit(" words "), F.col(c) % 7)
-    alike = M.prematched(near, text("gi"), text("mi"), 0.5).select("run_key", "file_id", "gi", "mi", F.col("similarity").alias("score"))
+    alike = M.prematched(M.band_candidates(gt, flags), said("gi"), said("mi"), 0.5).select("run_key", "file_id", "gi", "mi", F.col("similarity").alias("score"))
     return M.assign(alike, M.greedy_pairs)
+
+
+PRUNED = """
+pr as (select s.run_key, {gi} as a, {mi} as b from fx_scored s join fx_gt g on g.file_id = s.file_id and g.category = s.category and abs(g.t_sec - s.t_sec) <= 15),
+bd as (select run_key, 2.0::double * least(length(a), length(b)) / (length(a) + length(b)) as by_length,
+  2.0::double * list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))) / (length(a) + length(b)) as by_letters from pr)
+select run_key, count(*) as pairs, count(*) filter (where by_length >= 0.5) as after_length, count(*) filter (where by_length >= 0.5 and by_letters >= 0.5) as after_letters from bd group by 1"""
+
+
+def said_sql(c):
+    return f"chr((97 + {c} % 5)::int) || repeat(chr((102 + {c} % 7)::int) || ' ', ({c} % 11)::int + 1) || ({c} % 1000)"
+
+
+@query("j3_pruned_pairs", "with " + PRUNED.strip().format(gi=said_sql("g.event_id"), mi=said_sql("s.event_id")), fx=True)
+def j3_pruned_pairs(spark, d):
+    """How many candidate pairs of j3_prematch each bound leaves for the comparison of texts."""
+    _, gt, flags = tables(spark, d)
+    a, b = said("gi"), said("mi")
+    fits = lambda bound: F.count_if(bound >= 0.5)
+    by_length, by_letters = M.ratio_bound_by_length(a, b), M.ratio_bound_by_letters(a, b)
+    counts = [F.count("*").alias("pairs"), fits(by_length).alias("after_length"), fits(F.least(by_length, by_letters)).alias("after_letters")]
+    return M.band_candidates(gt, flags).groupBy("run_key").agg(*counts)
