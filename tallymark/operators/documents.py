@@ -87,17 +87,16 @@ def context_lines(segments: Column, full_text: Column, center: Column, excerpt:
     return F.when(F.size(segments) == 0, full_text).otherwise(lines)
 
 
-MARK = r"\*\*\[([^\]]+)\]\*\*"
+#: fixed values: how a section is marked, and how a heading begins that ends it
+SECTION_MARK, HEADING = r"\*\*\[[^\]]+\]\*\*", r"\n\s*(?:#{1,3} |\*\*[A-Z][A-Z ]+\*\*)"
+SECTION = rf"(?s){SECTION_MARK}.*?(?={SECTION_MARK}|{HEADING}|\z)"
 
 
 def sections(text: Column) -> Column:
-    """Sections (name, body) of a text: each from a **[Name]** mark to the next mark or top-level heading."""
-    cut = F.split(F.regexp_replace(text, rf"({MARK})", "\u0001$1"), "\u0001")
-    parts = F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0)))
-    head = lambda p: F.substring(p, 1, 10)
-    body = lambda p: F.concat(head(p), F.regexp_replace(F.substr(p, F.lit(11)), r"(?s)\n\s*(#{1,3} |\*\*[A-Z][A-Z ]+\*\*).*$", ""))
-    tidy = lambda b: F.regexp_replace(F.regexp_replace(b, r"^\s+|\s+$", ""), r"\n{3,}", "\n\n")
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, MARK, 1).alias("name"), tidy(body(p)).alias("body")))
+    """Sections (name, body) of a text: each from a **[Name]** mark to the next mark or top-level heading, blank lines thinned out."""
+    blank_lines = lambda s: F.regexp_replace(F.trim(s), r"\n{3,}", "\n\n")
+    name = lambda s: F.substring_index(F.substring_index(s, "]**", 1), "**[", -1)
+    return F.transform(F.regexp_extract_all(text, F.lit(SECTION), F.lit(0)), lambda s: F.struct(name(s).alias("name"), blank_lines(F.regexp_replace(s, r"\s+$", "")).alias("body")))
 
 
 def question(framing: str, section: Column, short: bool) -> Column:
