@@ -11,12 +11,37 @@ LAYOUT = r"/([a-z]+)_([a-z]+)/(TP|FP)(?:/(Single|Multi))?/([^/]+)\.([A-Za-z0-9]+
 LAYOUT_FN = r"/([a-z]+)_fn/([^/]+)\.([A-Za-z0-9]+)$"
 
 
-def dataset_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a directory tree whose folders are the schema: file_id, path, language, category, bucket, multiplicity."""
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+def dataset_files(spark: SparkSession, root: str, languages: list[str] | None = None, buckets: list[str] | None = None) -> DataFrame:
+    """Files of a directory tree whose folders are the schema: file_id, path, language, category, bucket, multiplicity.
+
+    Spark lists the folders, in parallel if there are many, and no file is opened, as only the
+    paths are asked for. With ``languages`` or ``buckets`` (TP, FP, FN) the other folders are not
+    even listed.
+    """
+    folders = _folders(spark, root, languages, buckets)
+    if not folders:
+        return layout_rows(spark.createDataFrame([], "path string"))
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path")
     return layout_rows(paths).orderBy("path")
 
 
+def _folders(spark: SparkSession, root: str, languages: list[str] | None, buckets: list[str] | None) -> list[str]:
+    """The folders to list, by glob patterns of which each level matches a few names."""
+    if not languages and not buckets:
+        return [root]
+    language = f"{{{','.join(languages)}}}" if languages else "*"
+    tops = [b for b in buckets or ("TP", "FP") if b != "FN"]
+    globs = [f"{root}/{language}_*/{{{','.join(tops)}}}"] if tops else []
+    if not buckets or "FN" in buckets:
+        globs.append(f"{root}/{language}_fn")
+    sc = spark.sparkContext
+    found = []
+    for g in globs:
+        path = sc._jvm.org.apache.hadoop.fs.Path(g)
+        found += [s.getPath().toString() for s in path.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(path) or []]
+    return sorted(found)
+
+
 def layout_rows(paths: DataFrame) -> DataFrame:
     """Audio files of that layout, by their paths alone."""
     tp = lambda i: F.nullif(F.regexp_extract("path", LAYOUT, i), F.lit(""))
