@@ -18,9 +18,10 @@ from ..sources import document_fixtures as Y
 from ..sources import documents as R
 from ..sources import fixtures as X
 from ..sources import io
-from ..streaming import resume
+from ..streaming import resume, sessions
 from .base import query
 from .confusion_queries import tables
+from .ranking_queries import LOG
 
 T_SCHEMA = StructType([StructField("category", StringType()), StructField("language", StringType())])
 sql = Y.sql
@@ -519,11 +520,33 @@ def e21_timing_ledger(spark, d):
 # --- streams -----------------------------------------------------------------------------------
 
 
-@query("st_windowed_counts", "select time_bucket(interval 45 seconds, ts) as started, event_type, count(*) as n from events group by 1, 2")
+LOTS = 3
+
+
+def arriving(spark, d, rows, work):
+    """A stream's source folder that fills in ``LOTS`` lots, in order of time, and ``work`` on it after each, as a job that is started anew."""
+    root = Y.folder(spark, d, "gt").removesuffix("/gt") + f"/stream-{uuid.uuid4().hex}"
+    cut = F.least(F.floor((F.day("ts") - 1) * F.lit(LOTS) / 31), F.lit(LOTS - 1))
+    for lot in range(LOTS):
+        rows.where(cut == lot).write.mode("append").parquet(f"{root}/in")
+        work(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
+    return f"{root}/out"
+
+
+@query("st_windowed_counts", "select started, event_type, count(*) as n from (select time_bucket(interval 45 seconds, ts) as started, event_type from events) where started + interval 45 seconds <= (select date_trunc('milliseconds', max(ts)) from events) - interval 10 minutes group by 1, 2")
 def st_windowed_counts(spark, d):
-    """The tumbling-window counts of the event stream, over all of it at once."""
-    found = resume.windowed_counts(X.table(spark, d, "events"))
-    return found.select(F.col("window.start").cast("timestamp_ntz").alias("started"), "event_type", "n")
+    """Tumbling-window counts of events that arrive in lots, by a stream that is stopped and taken up again; the windows that the watermark has closed."""
+    work = lambda stream, out, mark: resume.append_stream(resume.windowed_counts(stream), out, mark)
+    out = arriving(spark, d, X.table(spark, d, "events").select("ts", "event_type"), work)
+    return spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("started"), "event_type", "n")
+
+
+@query("st_log_sessions", f"with {LOG} select user_id, event_id, run_no::bigint as run_no, round(seconds, 6) as seconds from calls")
+def st_log_sessions(spark, d):
+    """The calls of r10_log_sessions from logs that arrive in lots: an open call waits in the state for its end."""
+    lines = X.table(spark, d, "events").select("ts", "user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp)) / 1e6D").alias("sec"), (F.col("event_type") == "signup").alias("is_load"))
+    work = lambda stream, out, mark: resume.append_stream(sessions.session_stream(stream.drop("ts")), out, mark)
+    return spark.read.parquet(arriving(spark, d, lines, work)).select("user_id", "event_id", "run_no", F.round("seconds", 6).alias("seconds"))
 
 
 @query("st_running_report", "select category, language, count(*) as n from fx_base where event_id % 3 > 0 group by 1, 2", fx=True)

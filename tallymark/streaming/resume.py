@@ -23,6 +23,11 @@ def windowed_counts(events: DataFrame, width: str = "45 seconds", late: str = "1
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
+def append_stream(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Run a query over all that has arrived, append what is settled to Parquet, and stop; state stays in the checkpoint."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def running_report(spark: SparkSession, source: str, schema: StructType, keys: list[str], sink: str, checkpoint: str, fmt: str = "json") -> DataFrame:
     """Counts by key of all files seen so far, brought up to date batch by batch.
 
