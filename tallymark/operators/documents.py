@@ -109,18 +109,33 @@ def question(framing: str, section: Column, short: bool) -> Column:
 # --- flags and their audit -------------------------------------------------------------------
 
 
-def work_items(flags: DataFrame, verdicts: DataFrame, taxonomy: str, prompt_hash: str) -> DataFrame:
-    """Unmatched flags without a verdict of this taxonomy and prompt, each with the other flags of its file.
+def audit_batches(flags: DataFrame, verdicts: DataFrame, taxonomy: str, prompt_hash: str) -> DataFrame:
+    """Per run and file with work to do: all its flags, once, and ``todo``, the indexes of its items among them.
 
-    ``flags``: run_key, file_id, flag_idx, category, matched; ``verdicts``: run_key, file_id,
-    flag_idx, taxonomy_version, prompt_hash.
+    Items are the unmatched flags without a verdict of this taxonomy and prompt. The rows are as
+    large as the flags that they hold, however many items a file has. ``flags``: run_key,
+    file_id, flag_idx, category, matched; ``verdicts``: run_key, file_id, flag_idx,
+    taxonomy_version, prompt_hash.
     """
     keys = ["run_key", "file_id", "flag_idx"]
-    valid = verdicts.where((F.col("taxonomy_version") == taxonomy) & (F.col("prompt_hash") == prompt_hash)).select(*keys).distinct()
-    todo = flags.where(F.col("matched") == F.lit(False)).join(valid, keys, "left_anti")
-    of_file = flags.groupBy("run_key", "file_id").agg(F.array_sort(F.collect_list(F.struct("flag_idx", "category", "matched"))).alias("all_flags"))
-    others = F.filter("all_flags", lambda x: x["flag_idx"] != F.col("flag_idx"))
-    return todo.join(of_file, ["run_key", "file_id"]).select(F.concat_ws("::", *keys).alias("item_id"), *keys, "category", others.alias("other_flags"))
+    valid = verdicts.where((F.col("taxonomy_version") == taxonomy) & (F.col("prompt_hash") == prompt_hash)).select(*keys).distinct().withColumn("_done", F.lit(True))
+    marked = flags.join(valid, keys, "left").withColumn("_todo", (F.col("matched") == F.lit(False)) & F.col("_done").isNull())
+    of_file = F.array_sort(F.collect_list(F.struct("flag_idx", "category", "matched", F.coalesce("_todo", F.lit(False)).alias("todo"))))
+    rows = marked.groupBy("run_key", "file_id").agg(of_file.alias("all"))
+    todo = F.transform(F.filter("all", lambda x: x["todo"]), lambda x: x["flag_idx"])
+    return rows.select("run_key", "file_id", F.transform("all", lambda x: x.dropFields("todo")).alias("flags"), todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def work_items(batches: DataFrame) -> DataFrame:
+    """A row for each item of ``audit_batches`` with the other flags of its file, for a sink that needs them so.
+
+    These rows are as many as the square of a file's flags; what comes before the sink should
+    carry the batches.
+    """
+    items = batches.select("run_key", "file_id", "flags", F.explode("todo").alias("flag_idx"))
+    own = F.get(F.filter("flags", lambda x: x["flag_idx"] == F.col("flag_idx")), F.lit(0))
+    others = F.filter("flags", lambda x: x["flag_idx"] != F.col("flag_idx"))
+    return items.select(F.concat_ws("::", "run_key", "file_id", "flag_idx").alias("item_id"), "run_key", "file_id", "flag_idx", own["category"].alias("category"), others.alias("other_flags"))
 
 
 def missing_counts(flags: DataFrame, prompt: Column, keys: list[str], has_field) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import confusion as C
 from ..operators import ranking as R
 from ..operators import scoring as S
+from ..operators.ordered import running_sums
 from ..sources import fixtures as X
 from .base import query
 
@@ -217,6 +218,14 @@ def a20_error_file_ids(spark, d):
     return wrong.groupBy("run_key", "file_bucket").agg(F.array_join(F.array_sort(F.collect_list("file_id")), ";").alias("file_ids"))
 
 
+@query("a20_error_file_rows", f"with {FILE_STATE} select run_key, file_bucket, row_number() over (partition by run_key, file_bucket order by file_id) as place, file_id from pf where file_bucket in ('FP', 'FN')", fx=True)
+def a20_error_file_rows(spark, d):
+    """The same files as rows with their places, for lists of any length; only a sink joins them to one text."""
+    wrong = scored(spark, d).where(F.col("file_bucket").isin("FP", "FN")).select("run_key", "file_bucket", "file_id", F.lit(1).cast("long").alias("one"))
+    placed = running_sums(wrong, ["run_key", "file_bucket"], [F.col("file_id").asc()], ["one"])
+    return placed.select("run_key", "file_bucket", F.col("upto_one").alias("place"), "file_id")
+
+
 @query("a21_flags_at_threshold", "select run_key, count(*) filter (where confidence >= 0.8) as n_at_08, count(*) filter (where confidence >= 0.9) as n_at_09 from fx_scored group by 1", fx=True)
 def a21_flags_at_threshold(spark, d):
     return tables(spark, d)[2].groupBy("run_key").agg(F.count_if(F.col("confidence") >= 0.8).alias("n_at_08"), F.count_if(F.col("confidence") >= 0.9).alias("n_at_09"))

@@ -159,12 +159,22 @@ def e4_aligned_flags(spark, d):
 @query("e6_work_items", f"""with {INDEXED}, todo as (select * from ix where not matched and event_id % 4 <> 0)
 select t.run_key || '::' || t.file_id || '::' || t.flag_idx as item_id, t.run_key, t.file_id, t.flag_idx, t.category, (select coalesce(string_agg(o.category || ':' || o.matched, ',' order by o.flag_idx), '') from ix o where o.run_key = t.run_key and o.file_id = t.file_id and o.flag_idx <> t.flag_idx) as other_flags from todo t""", fx=True)
 def e6_work_items(spark, d):
+    shown = F.array_join(F.transform("other_flags", lambda x: F.concat_ws(":", x["category"], x["matched"].cast("string"))), ",")
+    return D.work_items(audit_batches(spark, d)).withColumn("other_flags", shown)
+
+
+def audit_batches(spark, d):
     flags = indexed(tables(spark, d)[2])
     verdict = F.expr("case event_id % 4 when 0 then struct('t2' as taxonomy_version, 'abc' as prompt_hash) when 1 then struct('t1' as taxonomy_version, 'abc' as prompt_hash) when 2 then struct('t2' as taxonomy_version, 'old' as prompt_hash) end")
     verdicts = flags.select("run_key", "file_id", "flag_idx", verdict.alias("v")).where("v is not null").select("run_key", "file_id", "flag_idx", "v.*")
-    items = D.work_items(flags.select("run_key", "file_id", "flag_idx", "category", "matched"), verdicts, "t2", "abc")
-    shown = F.array_join(F.transform("other_flags", lambda x: F.concat_ws(":", x["category"], x["matched"].cast("string"))), ",")
-    return items.withColumn("other_flags", shown)
+    return D.audit_batches(flags.select("run_key", "file_id", "flag_idx", "category", "matched"), verdicts, "t2", "abc")
+
+
+@query("e6_audit_batches", f"""with {INDEXED} select run_key, file_id, string_agg(category || ':' || matched, ',' order by flag_idx) as flags, string_agg(flag_idx::varchar, ',' order by flag_idx) filter (where not matched and event_id % 4 <> 0) as todo from ix group by 1, 2 having count(*) filter (where not matched and event_id % 4 <> 0) > 0""", fx=True)
+def e6_audit_batches(spark, d):
+    """A file's flags once, with the indexes of those that are to be judged."""
+    shown = F.array_join(F.transform("flags", lambda x: F.concat_ws(":", x["category"], x["matched"].cast("string"))), ",")
+    return audit_batches(spark, d).select("run_key", "file_id", shown.alias("flags"), F.array_join(F.transform("todo", lambda i: i.cast("string")), ",").alias("todo"))
 
 
 REPORT_COLUMNS = "model language file_id file_bucket dataset_origin_label model_category timestamp excerpt translation model_confidence logprob_derived_confidence entropy_mean fp_type fp_reason evidence_transcript_quote fp_exception_matched related_gt_flag_index transcript_reliability classifier_confidence prompt_hash".split()
@@ -415,6 +425,7 @@ def sc19_cosine(spark, d):
     return c.withColumn("rescaled", (F.col("cosine") + 1) / 2)
 
 
+#: fixed values: keys of runs, their names in reports, and what the runs are given
 NAMES = ["e2b_thinking", "e4b_nothinking", "gemini-3.1-flash-lite_audio", "gemini-3.1-flash-lite_itc10s_nothink", "gemini-3.5-flash-lite_audiotrans", "31b_itc10s_text_thinking", "31b_31bthinkEN_nothinking", "12b_conformer_31bEN_thinking", "e2b_conformer5s_nothinking"]
 NAMED = [
     "e2b_thinking_v8", "e4b_nothinking_v8", "gemini-3.1-FL_thinking_v8", "gemini-3.1-FL_nothinking_v8", "gemini-3.5-flash-lite_v8", "31b_thinking_v8", "31b_nothinking_v8", "12b_thinking_v8", "e2b_nothinking_v8",
@@ -422,10 +433,16 @@ NAMED = [
 GIVEN = ["audio", "audio", "audio", "text (Indic-Transcribe-Core)", "text (English, Gemini-translated from audio)", "text (Indic-Transcribe-Core)", "text (English, Gemma 31B-thinking translation of ITC)", "text (English, Gemma 31B translation of ITC)", "text (Indic-Conformer)"]
 
 
-@query("sc25_run_names", "select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in zip(NAMES, NAMED, GIVEN)) + ") v(run_key, name, input)")
+def chosen_name(names, as_sql):
+    items = ", ".join(f"'{n}'" for n in names)
+    return f"([{items}])[(event_id % {len(names)})::int + 1]" if as_sql else F.get(F.array(*map(F.lit, names)), (F.col("event_id") % len(names)).cast("int"))
+
+
+@query("sc25_run_names", f"select {chosen_name(NAMED, True)} as name, {chosen_name(GIVEN, True)} as input, category, count(*) as n from fx_base group by 1, 2, 3", fx=True)
 def sc25_run_names(spark, d):
-    runs = spark.createDataFrame([(n,) for n in NAMES], "run_key string")
-    return runs.select("run_key", C.display_name(F.col("run_key"), F.lit("v8")).alias("name"), C.run_input(F.col("run_key")).alias("input"))
+    """Flags counted under the names of their runs and what the runs were given, both read off the runs' keys."""
+    runs = X.base(spark, d).select(chosen_name(NAMES, False).alias("run_key"), "category")
+    return runs.groupBy(C.display_name(F.col("run_key"), F.lit("v8")).alias("name"), C.run_input(F.col("run_key")).alias("input"), "category").agg(F.count("*").alias("n"))
 
 
 HALVES = "case event_id % 12 when 0 then 2.675 when 1 then 0.125 when 2 then 0.375 when 3 then 1.005 when 4 then -2.675 when 5 then -0.125 when 6 then 0.005 when 7 then 1000000.125 when 8 then cast(null as double) when 9 then 0.285 else value end"
@@ -565,13 +582,16 @@ def st_running_report(spark, d):
 WIRE = [("f", "category", "string"), ("t", "timestamp", "string"), ("tr", "excerpt", "string"), ("vb", "translation", "string"), ("j", "justification", "string"), ("c", "confidence", "double")]
 
 
-@query("e2_wire_schema", "select * from (values " + ", ".join(f"({i}, '{a}', '{n}', '{t}')" for i, (a, n, t) in enumerate(WIRE)) + ") v(pos, alias, name, type)")
+@query("e2_wire_schema", "select pos, alias, name, type, case alias when 'c' then n_c else n end as n_present from (select count(*) as n, count(confidence) as n_c from fx_gt), (values " + ", ".join(f"({i}, '{a}', '{n}', '{t}')" for i, (a, n, t) in enumerate(WIRE)) + ") v(pos, alias, name, type)", fx=True)
 def e2_wire_schema(spark, d):
-    """The wire format's fields in declared order, by their short names, as the schema of the reader has them."""
-    flag = spark.createDataFrame([], R.GT_SCHEMA).schema["classification"].dataType["d"].dataType.elementType
+    """The wire format's fields in declared order, by their short names, as the schema of the reader has them; and in how many flags of the documents each is filled."""
+    fields = spark.read.schema(R.GT_SCHEMA).json(Y.folder(spark, d, "gt")).select(F.explode("classification.d").alias("x"))
+    declared = {f.name: f.dataType.simpleString() for f in fields.schema["x"].dataType}
+    order = [a for a in declared if a in {a for a, _, _ in WIRE}]
     long_names = {a: n for a, n, _ in WIRE}
-    rows = [(i, f.name, long_names[f.name], f.dataType.simpleString()) for i, f in enumerate(x for x in flag if x.name in long_names)]
-    return spark.createDataFrame(rows, "pos int, alias string, name string, type string")
+    present = fields.agg(*[F.count(F.col("x")[a]).alias(a) for a in order])
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(a).alias("alias"), F.lit(long_names[a]).alias("name"), F.lit(declared[a]).alias("type"), F.col(a).alias("n_present")) for i, a in enumerate(order)])
+    return present.select(F.inline(rows))
 
 
 #: Per stage: the columns of its fixture in an SQL that both engines read, over fx_base.

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import confusion as C
 from ..operators import documents as D
 from ..operators import scoring as S
-from ..sources import document_fixtures as Y
 from ..sources import documents as R
 from ..sources import fixtures as X
 from ..sources import io
 from .base import query
-from .confusion_queries import MODES, RATIOS, tables
+from .confusion_queries import FILE_STATE, MODES, RATIOS, tables
 from .threshold_queries import MODE_FILES, mode_sweep, sweep_sql
 
 TREE = [
@@ -30,11 +29,12 @@ def io1_dataset_tree(spark, d):
     return io.layout_rows(paths)
 
 
-@query("a1_confusion_metrics", f"with c as (select a.range as tp, b.range as fp, c.range as fn, d.range as tn from range(0, 4) a, range(0, 4) b, range(0, 4) c, range(0, 4) d) select tp, fp, fn, tn, {RATIOS} from c")
+@query("a1_confusion_metrics", f"with {FILE_STATE}, c as (select run_key, file_id, " + ", ".join(f"count(*) filter (where file_bucket = '{b}') as {b.lower()}" for b in ("TP", "FP", "FN", "TN")) + f" from pf group by 1, 2 union all select run_key, 'all', " + ", ".join(f"count(*) filter (where file_bucket = '{b}')" for b in ("TP", "FP", "FN", "TN")) + f" from pf group by 1) select *, {RATIOS} from c", fx=True)
 def a1_confusion_metrics(spark, d):
-    """All small confusion rows; a ratio without denominator is null."""
-    row = spark.range(256).select(*[F.expr(f"(id div {4**k}) % 4").alias(c) for k, c in enumerate(("tp", "fp", "fn", "tn"))])
-    return C.metrics(row)
+    """The four ratios of every run, and of every file by itself, where most have no denominator and are null."""
+    files = C.per_file(*tables(spark, d)).select("run_key", F.explode(F.array("file_id", F.lit("all"))).alias("file_id"), "file_bucket")
+    counts = [F.count_if(F.col("file_bucket") == b).alias(b.lower()) for b in ("TP", "FP", "FN", "TN")]
+    return C.metrics(files.groupBy("run_key", "file_id").agg(*counts))
 
 
 @query("sc23_five_bins", "select event_id, case when c < 0.2 then '0.0-0.2' when c < 0.4 then '0.2-0.4' when c < 0.6 then '0.4-0.6' when c < 0.8 then '0.6-0.8' else '0.8-1.0' end as bucket from (select event_id, case when event_id % 50 = 0 then 1.0::double else confidence end as c from fx_base) where c is not null", fx=True)
@@ -67,17 +67,18 @@ def io19_chunk_windows(spark, d):
     return R.chunk_windows(X.segments(X.base(spark, d)).withColumn("duration_s", F.col("duration_s").cast("double")), 28.0)
 
 
-@query("e28_prompt_texts", "select * from (values ('prompt_v3.txt', 'v3', 'plain text' || chr(10) || '{json_schema_str}'), ('prompt_v8.py', 'v8', 'Judge' || chr(10) || 'the call'), ('other.py', null, 'direct')) v(name, version, text)")
+@query("e28_prompt_texts", "select 'prompt_v' || item_id % 9 || case item_id % 3 when 0 then '.txt' else '.py' end as name, 'v' || item_id % 9 as version, text, count(*) as n from benchmark group by all")
 def e28_prompt_texts(spark, d):
-    """Prompts of text files, and of Python files by their syntax."""
-    root = Y.folder(spark, d, "gt").removesuffix("/gt") + "/prompts"
-    sources = {"prompt_v3.txt": "plain text\n{json_schema_str}", "prompt_v8.py": 'TEXT = """Judge\nthe call"""\n\n\ndef get_prompt():\n    return TEXT\n', "other.py": "def get_prompt() -> str:\n    return 'direct'\n"}
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for name, source in sources.items():
-        out = hadoop.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
-        out.write(bytearray(source.encode()))
-        out.close()
-    return R.read_prompts(spark, root)
+    """Prompts made of the benchmark's texts: of text files as they stand, of Python files by their syntax, named or returned at once."""
+    quoted = F.to_json(F.array("text"))
+    literal = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    named = F.concat(F.lit("TEXT = "), literal, F.lit("\n\n\ndef get_prompt():\n    return TEXT\n"))
+    direct = F.concat(F.lit("def get_prompt() -> str:\n    return "), literal, F.lit("\n"))
+    kind = F.col("item_id") % 3
+    files = X.table(spark, d, "benchmark").select(
+        F.concat(F.lit("prompt_v"), F.col("item_id") % 9, F.when(kind == 0, ".txt").otherwise(".py")).alias("name"), F.when(kind == 0, F.col("text")).when(kind == 1, named).otherwise(direct).alias("source"),
+    )
+    return R.prompts(files).groupBy("name", "version", "text").agg(F.count("*").alias("n"))
 
 
 CALLS = "event_id % 5 + 1 as attempt, event_id % 4 = 0 as ok, case event_id % 7 when 1 then 400 when 2 then 429 when 3 then 503 end as code, case event_id % 11 when 4 then 'SAFETY' when 5 then 'MAX_TOKENS' end as reason"

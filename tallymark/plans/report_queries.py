@@ -9,8 +9,9 @@ from ..operators import confusion as C
 from ..operators import scoring as S
 from ..operators import thresholds as T
 from ..sources import fixtures as X
+from ..sources import io
 from .base import query
-from .confusion_queries import DECILE, MODES, tables
+from .confusion_queries import DECILE, FILE_STATE, MODES, tables
 from .threshold_queries import SEGMENTED, segmented, sweep_sql
 
 GOOD = "(matched or coalesce(fp_type = 'DUPLICATE_OR_EXTRA_INSTANCE', false))"
@@ -145,10 +146,13 @@ def heldout_place():
     return F.row_number().over(W.orderBy(F.col("complete").desc(), total.desc(), "run_key"))
 
 
-@query("r7_heldout_order", "select * from (values ('a', true, 0.9::double, null::double, 2), ('b', false, 1.0, 1.0, 4), ('c', true, 0.9, 0.9, 1), ('d', true, 0.9, null, 3), ('e', false, null, null, 5)) v(run_key, complete, raw08_recall, raw08_spec, place)")
+@query("r7_heldout_order", f"with {sweep_sql('fx_scored', 'confidence', [0.8], keys='run_key, language')}, s as (select run_key || ' ' || language as run_key, language <> 'tamil' and run_key <> 'm2' as complete, case when language <> 'kannada' then recall end as raw08_recall, specificity as raw08_spec from sweep where category = 'ALL' and threshold = 0.8 and language <> 'ALL') select *, row_number() over (order by complete desc, coalesce(raw08_recall, 0) + coalesce(raw08_spec, 0) desc, run_key) as place from s", fx=True)
 def r7_heldout_order(spark, d):
-    rows = [("a", True, 0.9, None), ("b", False, 1.0, 1.0), ("c", True, 0.9, 0.9), ("d", True, 0.9, None), ("e", False, None, None)]
-    return spark.createDataFrame(rows, "run_key string, complete boolean, raw08_recall double, raw08_spec double").withColumn("place", heldout_place())
+    """Runs by language in the order of the held-out report: complete ones first, then recall plus specificity, of which either may be missing."""
+    files, gt, flags = tables(spark, d)
+    s = T.sweep(files, gt, flags, "confidence", [0.8], keys=("run_key", "language"), all_keys=()).where("category = 'ALL' and threshold = 0.8D")
+    rows = s.select(F.concat_ws(" ", "run_key", "language").alias("run_key"), F.expr("language <> 'tamil' and run_key <> 'm2'").alias("complete"), F.when(F.col("language") != "kannada", F.col("recall")).alias("raw08_recall"), F.col("specificity").alias("raw08_spec"))
+    return rows.withColumn("place", heldout_place())
 
 
 @query("r6_leaderboard_rank", f"with {sweep_sql('fx_scored', 'confidence', [0.8])}, s as (select run_key, (recall + specificity) / 2 as balanced_acc from sweep where language = 'ALL' and category = 'ALL' and threshold = 0.8) select run_key, balanced_acc, row_number() over (order by coalesce(balanced_acc, 0) desc, run_key) as place from s", fx=True)
@@ -166,3 +170,26 @@ def v6_overview_matrix(spark, d):
     cell = F.concat("tp", F.lit("/"), F.col("tp") + F.col("fn"), F.lit(" "), "tn", F.lit("/"), F.col("tn") + F.col("fp"))
     runs = sorted(r["run_key"] for r in files.select("run_key").distinct().collect())  # one name a run
     return s.withColumn("cell", cell).groupBy("category").pivot("run_key", runs).agg(F.max("cell"))
+
+
+REPORT = [("Files by run", ["run_key", "tp", "fp", "fn", "tn"]), ("Files by run and language", ["run_key", "language", "tp", "fp", "fn", "tn"])]
+REPORT_COUNTS = ", ".join(f"count(*) filter (where file_bucket = '{b}') as {b.lower()}" for b in ("TP", "FP", "FN", "TN"))
+
+
+def report_sql():
+    parts = []
+    for k, (title, columns) in enumerate(REPORT, 1):
+        keys = ", ".join(columns[:-4])
+        line = " || ' | ' || ".join(columns)
+        head = [f"## {title}", "", "| " + " | ".join(columns) + " |", "| " + " | ".join(["---"] * len(columns)) + " |"]
+        parts += [f"select {k} as section, {i} as line, '{text}' as text" for i, text in enumerate(head, 1)]
+        parts.append(f"select {k}, 4 + row_number() over (order by {keys}), '| ' || {line} || ' |' from (select {keys}, {REPORT_COUNTS} from pf group by {keys})")
+    return f"with {FILE_STATE} " + " union all ".join(parts)
+
+
+@query("io18_markdown_report", report_sql(), fx=True)
+def io18_markdown_report(spark, d):
+    """Two tables as the lines of one markdown report."""
+    per_file = C.per_file(*tables(spark, d))
+    counts = [F.count_if(F.col("file_bucket") == b).alias(b.lower()) for b in ("TP", "FP", "FN", "TN")]
+    return io.report_lines([(title, per_file.groupBy(*columns[:-4]).agg(*counts), columns[:-4]) for title, columns in REPORT])

@@ -106,11 +106,16 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompt files of a folder, whole: name, version and text; of a Python file, what its get_prompt() returns."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value"))
-    python = F.col("name").endswith(".py")
-    of_python = files.where(python).withColumn("text", prompt_of_source("value"))
-    return of_python.unionByName(files.where(~python).withColumn("text", F.col("value"))).select("name", F.nullif(F.regexp_extract("name", r"_(v[0-9]+)\.", 1), F.lit("")).alias("version"), "text")
+    """Prompt files of a folder, whole: name, version and text."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    return prompts(files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("source")))
+
+
+def prompts(files: DataFrame) -> DataFrame:
+    """name, version and text of prompt files (name, source); of a Python file, what its get_prompt() returns."""
+    of_python = prompt_of_source(F.when(F.col("name").endswith(".py"), F.col("source")))
+    version = F.nullif(F.regexp_extract("name", r"_(v[0-9]+)\.", 1), F.lit(""))
+    return files.select("name", version.alias("version"), F.coalesce(of_python, "source").alias("text"))
 
 
 def chunk_windows(files: DataFrame, seconds: float) -> DataFrame:

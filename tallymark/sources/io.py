@@ -98,3 +98,24 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
         raise ValueError(f"a report has more than {limit} rows")
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *(line(["" if v is None else str(v) for v in r]) for r in got)])
+
+
+def report_lines(sections: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """Tables as the lines of one markdown report: section, line, text, to be read in that order.
+
+    Each section is a title, a table of few rows and the columns to sort it by.
+    """
+    found = None
+    for k, (title, rows, order) in enumerate(sections):
+        cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), F.lit(" |"))
+        body = rows.select((F.row_number().over(W.orderBy(*order)) + 4).alias("line"), cells.alias("text"))
+        head = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "| " + " | ".join(["---"] * len(rows.columns)) + " |"]
+        lines = rows.sparkSession.createDataFrame(list(enumerate(head, 1)), "line int, text string").unionByName(body).withColumn("section", F.lit(k + 1))
+        found = lines if found is None else found.unionByName(lines)
+    return found.select("section", "line", "text")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """A report's lines as one text file, with an empty line before each section but the first."""
+    gap = F.when((F.col("line") == 1) & (F.col("section") > 1), "\n").otherwise("")
+    lines.coalesce(1).sortWithinPartitions("section", "line").select(F.concat(gap, "text").alias("value")).write.mode("overwrite").text(path)

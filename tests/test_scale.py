@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import scalars, udfs
-from tallymark.operators import components, matching, ordered, ranking
+from tallymark.operators import components, documents, matching, ordered, ranking, samples
+from tallymark.sources import documents as readers
 from tallymark.sources import io
 from tallymark.sources.versions import Conflict, VersionedTable
 from tallymark.streaming import resume, sessions
@@ -311,3 +312,74 @@ def test_sessions_over_any_split(spark, tmp_path, cuts):
             if run and not now[3] and not after[3] and after[2] > now[2]:
                 want.append((u, now[1], run, after[2] - now[2]))
     assert got == sorted(want) and want
+
+
+# --- batches, quotas, reports ------------------------------------------------------------------
+
+
+def batches_of(spark, n):
+    """One file with n flags, of which every second one is matched and every tenth one judged."""
+    flags = spark.range(n).selectExpr("'m' as run_key", "'f' as file_id", "id as flag_idx", "'PlatformMove' as category", "id % 2 = 0 as matched")
+    verdicts = spark.range(0, n, 10).selectExpr("'m' as run_key", "'f' as file_id", "id + 1 as flag_idx", "'t' as taxonomy_version", "'h' as prompt_hash")
+    return documents.audit_batches(flags, verdicts, "t", "h")
+
+
+def test_batches_grow_with_the_flags(spark, tmp_path):
+    sizes = {}
+    for n in (1000, 10_000):
+        batches_of(spark, n).write.option("compression", "none").parquet(str(tmp_path / str(n)))
+        sizes[n] = sum(f.stat().st_size for f in (tmp_path / str(n)).glob("*.parquet"))
+        row = spark.read.parquet(str(tmp_path / str(n))).first()
+        assert len(row["flags"]) == n and row["todo"] == [i for i in range(n) if i % 2 and i % 10 != 1]
+    assert sizes[10_000] < 12 * sizes[1000]
+    items = documents.work_items(batches_of(spark, 50))
+    assert items.count() == 20 and items.where("size(other_flags) <> 49 or category <> 'PlatformMove'").count() == 0
+
+
+def test_quotas_with_substitution(spark):
+    """Against a choice by hand over all files; unmet slots are filled as long as any file of the sign is left."""
+    rnd = random.Random(7)
+    counts = {"p1": 1, "p2": 2, "n1": 2, "n2": 1}
+    rows = []
+    for lang, n in (("a", 40), ("b", 5), ("c", 3), (None, 4)):
+        for i in range(n):
+            positive = rnd.random() < 0.5 and lang != "c"
+            fits = [s for s in counts if (s[0] == "p") == positive and rnd.random() < (0.6 if lang == "a" else 0.3)]
+            rows.append((lang, f"{lang}{i}", positive, fits, rnd.randrange(4)))
+    df = spark.createDataFrame(rows, "lang string, file string, positive boolean, fits array<string>, place int").repartition(3)
+    slots = [samples.Slot(s, n, s[0] == "p", F.array_contains("fits", s)) for s, n in counts.items()]
+    got = samples.by_quota(df, "lang", "file", F.col("positive"), slots, [F.col("place"), F.col("file")]).collect()
+    names = list(counts)
+    for lang in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[0] == lang), key=lambda r: (r[4], r[1]))
+        left, want, empty = list(own), set(), []
+        for s, n in counts.items():
+            hits = [r for r in left if s in r[3]][:n]
+            want |= {(r[1], s, False) for r in hits}
+            left = [r for r in left if r not in hits]
+            empty += [s] * (n - len(hits))
+        for s in empty:
+            same = [r for r in left if r[2] == (s[0] == "p")]
+            same.sort(key=lambda r: (min([(abs(names.index(x) - names.index(s)), names.index(x)) for x in r[3]] or [(9, -1)]), r[4], r[1]))
+            if same:
+                want.add((same[0][1], s, True))
+                left.remove(same[0])
+        assert {(r["file"], r["slot"], r["substituted"]) for r in got if r["lang"] == lang} == want
+    assert all(("from" in r["reason"]) == r["substituted"] for r in got) and len({r["file"] for r in got}) == len(got)
+    assert samples.by_quota(df.limit(0), "lang", "file", F.col("positive"), slots, [F.col("file")]).count() == 0
+
+
+def test_report_of_several_tables(spark, tmp_path):
+    one, two = spark.createDataFrame([("b", 2), ("a", None)], "k string, n int"), spark.createDataFrame([(0.5,)], "x double")
+    lines = io.report_lines([("First", one, ["k"]), ("Second", two, ["x"])])
+    io.write_report(lines, str(tmp_path / "r"))
+    text = "".join(f.read_text() for f in (tmp_path / "r").glob("part-*"))
+    assert text == "## First\n\n| k | n |\n| --- | --- |\n| a |  |\n| b | 2 |\n\n## Second\n\n| x |\n| --- |\n| 0.5 |\n"
+
+
+def test_prompt_files(spark, tmp_path):
+    (tmp_path / "prompt_v3.txt").write_text("plain\n{x}")
+    (tmp_path / "prompt_v8.py").write_text('TEXT = """Judge\nthe call"""\n\n\ndef get_prompt():\n    return TEXT\n')
+    (tmp_path / "other.py").write_text("def get_prompt():\n    return 'direct'\n")
+    got = sorted((r["name"], r["version"], r["text"]) for r in readers.read_prompts(spark, str(tmp_path)).collect())
+    assert got == [("other.py", None, "direct"), ("prompt_v3.txt", "v3", "plain\n{x}"), ("prompt_v8.py", "v8", "Judge\nthe call")]
