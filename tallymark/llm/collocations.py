@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -128,7 +129,7 @@ def level_counts(ids: np.ndarray, k: int, sub_ok: np.ndarray | None) -> tuple[np
 def _count(k: int, frequent: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts (lang, phrase, n) of a batch's phrases of k words; in the first pass also all words of a language (phrase is null)."""
 
-    def settle(lang: str, ids: np.ndarray, by_number: list[bytes], hashes: np.ndarray) -> pa.RecordBatch:
+    def settle(lang: str, ids: np.ndarray, by_number: pa.Array, hashes: np.ndarray) -> pa.RecordBatch:
         sub_ok = None
         if frequent is not None:
             bitmap = np.frombuffer(frequent.value, np.uint8)
@@ -137,13 +138,13 @@ def _count(k: int, frequent: Broadcast | None) -> Callable[[Iterator[pa.RecordBa
             for p in bit_places(own, len(bitmap) * 8):
                 sub_ok &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
         at, counts = level_counts(ids, k, sub_ok)
-        parts = [list(map(by_number.__getitem__, ids[at + i].tolist())) for i in range(k)]
-        phrases: list[bytes | None] = list(map(b" ".join, zip(*parts))) if k > 1 else list(parts[0])
+        parts = [by_number.take(pa.array(ids[at + i])) for i in range(k)]
+        phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k > 1 else parts[0]
         if k == 1:
-            phrases.append(None)
+            phrases = pa.concat_arrays([phrases, pa.nulls(1, pa.binary())])
             counts = np.append(counts, np.count_nonzero(ids))
         langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).cast(pa.string())
-        return pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+        return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +155,8 @@ def _count(k: int, frequent: Broadcast | None) -> Callable[[Iterator[pa.RecordBa
             numbers = _Numbers({_BREAK: 0})
             for lang, of in rows.items():
                 ids = word_numbers(batch.column("text").take(pa.array(of)).to_pylist(), numbers)
-                by_number = list(numbers)
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in by_number), np.uint64, len(by_number)) if k > 1 else np.zeros(0, np.uint64)
+                by_number = pa.array(numbers, pa.binary())
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in numbers), np.uint64, len(numbers)) if k > 1 else np.zeros(0, np.uint64)
                 start = 0
                 while start < len(ids):  # cut between pieces, so that no phrase is lost
                     end = min(len(ids), start + PLACES)
