@@ -71,6 +71,7 @@ def failures(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), utf8(F.col("text")).alias("text"))
     marked = staged(rows.mapInArrow(tidied(_masks), "doc_id long, part string, mask int, digest binary"), "audit-masks")
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
+    first = staged(first, "audit-first")  # as a table of its own, so that a digest with very many rows can be split
     copy = F.when(F.col("doc_id") > F.col("least"), 1 << COPY).otherwise(0)
     return marked.join(first, "digest", "left").select("doc_id", "part", F.col("mask").bitwiseOR(copy).alias("mask"))
 
