@@ -17,7 +17,7 @@ smaller doc_id, wherever that is in the table.
 
 Defined cases: a null text counts as empty, which fails A alone (and E if another empty one
 has a smaller doc_id); a null language and an empty one are the same part, ''; a null doc_id
-never fails E and lets nobody fail it; rows that repeat a doc_id count each, and do not make
+never fails E, lets nobody fail it and has no labels; rows that repeat a doc_id count each, and do not make
 each other fail E; a value equal to a limit passes; a document counts as good or toxic if any
 of its labels says so, and one without labels as neither; texts of any length are read whole;
 an empty table gives no rows; columns beyond those used are ignored.
