@@ -153,7 +153,7 @@ def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
     return (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= (100 - PERCENT) * (n + m)
 
 
-_SKETCH_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_key binary, node long, sig binary, parity binary, prefix binary"
+_SKETCH_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary, parity binary, prefix binary"
 
 
 def _sketch(common: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -164,10 +164,9 @@ def _sketch(common: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.Recor
         blobs = lambda f: pa.array([f(s).tobytes() if len(s) else None for s in sets], pa.binary())
         columns = [
             pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-            pa.array([int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys], pa.int64()),
             blobs(lambda s: next(sigs)), blobs(parities), blobs(lambda s: prefix(s, common, rank)),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_key", "node", "sig", "parity", "prefix"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_key", "sig", "parity", "prefix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHashes()
@@ -257,7 +256,11 @@ def neighbour_pairs(tree: np.ndarray, label: np.ndarray, ids: np.ndarray, comp:
 
 
 def _neighbours(reach: int, edges: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidate pairs of a sorted partition; with edges, also its first and last rows (a is null)."""
+    """Candidate pairs of sorted rows, a partition or the borders that it was dealt.
+
+    With edges, also the partition's first and last rows (a is null), under the number of the
+    border that they lie at: that of the partition before or of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -272,17 +275,18 @@ def _neighbours(reach: int, edges: bool) -> Callable[[Iterator[pa.RecordBatch]],
         both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         none = lambda k, t: pa.nulls(k, t)
         k = len(both)
-        names = ["a", "b", "part", "pos", "tree", "label", "id", "comp"]
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.int64()), none(k, pa.int64())], names=names)
+        names = ["a", "b", "border", "tree", "label", "id", "comp"]
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.int64()), none(k, pa.int64())], names=names)
         if edges:
-            keep = np.unique(np.concatenate([np.arange(min(SPARSE, n)), np.arange(max(0, n - SPARSE), n)]))
-            m, part = len(keep), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int64()), pa.array(np.full(m, part, np.int32)), pa.array(keep, pa.int64()), pa.array(tree[keep]), pa.array([raw[i] for i in keep], pa.binary()), pa.array(ids[keep]), pa.array(comp[keep])], names=names)
+            part = TaskContext.get().partitionId()
+            for border, keep in ((part - 1, np.arange(min(SPARSE, n))), (part, np.arange(max(0, n - SPARSE), n))):
+                m = len(keep)
+                yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int64()), pa.array(np.full(m, border, np.int32)), pa.array(tree[keep]), pa.array([raw[i] for i in keep], pa.binary()), pa.array(ids[keep]), pa.array(comp[keep])], names=names)
 
     return run
 
 
-_CANDIDATE_SCHEMA = "a long, b long, part int, pos long, tree int, label binary, id long, comp long"
+_CANDIDATE_SCHEMA = "a long, b long, border int, tree int, label binary, id long, comp long"
 
 
 def _parts(df: DataFrame, rows: int, each: int) -> int:
@@ -297,9 +301,10 @@ def candidates(nodes: DataFrame, orders: int, reach: int, scratch: list[DataFram
     ordered = rows.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     found = staged(ordered.mapInArrow(tidied(_neighbours(reach, True)), _CANDIDATE_SCHEMA), "near-candidates")
     scratch.append(found)
-    # neighbours across two partitions: a few rows from both ends of each
-    ends = found.where("a is null").select("part", "pos", "tree", "label", "id", "comp").repartition(1).sortWithinPartitions("part", "pos")
-    across = ends.drop("part", "pos").mapInArrow(_neighbours(reach, False), _CANDIDATE_SCHEMA)
+    # neighbours across two partitions: the last rows of one meet the first of the next; borders that share a task may add
+    # candidates, which are confirmed like all, and what a very small partition keeps apart is left to the exact join
+    ends = found.where("a is null").select("border", "tree", "label", "id", "comp").repartition("border").sortWithinPartitions("border", "tree", "label", "id")
+    across = ends.drop("border").mapInArrow(_neighbours(reach, False), _CANDIDATE_SCHEMA)
     return found.where("a is not null").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
@@ -549,7 +554,9 @@ def _grouped(docs: DataFrame, orders: int) -> DataFrame:
     common, rank = common_shingles(texts)
     sketch = staged(texts.mapInArrow(tidied(_sketch(common, rank)), _SKETCH_SCHEMA), "near-sketch")
     numbered = sketch.where("set_key is not null and doc_id is not null")
-    nodes = staged(numbered.groupBy("set_key").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(n) for c, n in (("node", "id"), ("n_shingles", "n_shingles"), ("sig", "sig"), ("parity", "parity"), ("prefix", "prefix"))]), "near-nodes")
+    # nodes are numbered as they are written, so no two have the same id, and by the order of a hash, which is a random one
+    nodes = numbered.groupBy("set_key").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "parity", "prefix")])
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
     comps = edges = None
     scratch: list[DataFrame] = []
     for turn in ("first", "all", "exact"):
