@@ -285,14 +285,15 @@ def e17_reference_pairs(spark, d):
 BIN = "case when {v} >= 1.5 then '1.5+' else printf('%.1f-%.1f', trunc({v} / 0.1::double) / 10, (trunc({v} / 0.1::double) + 1) / 10) end"
 
 
-@query("a36_significant_share", f"""with {ASR_ROWS}, j as (select distinct file_id, user_id % 3 = 0 as significant from fx_base where user_id % 7 <> 1), l as (select source, 'wer' as metric, {BIN.format(v='wer')} as bucket, significant from ar join j using (file_id) where wer is not null and cer is not null and chunk_seconds = 5 union all select source, 'cer', {BIN.format(v='cer')}, significant from ar join j using (file_id) where wer is not null and cer is not null and chunk_seconds = 5)
+@query("a36_significant_share", f"""with {ASR_ROWS}, j as (select distinct file_id, k.k as chunk_seconds, (user_id + k.k) % 3 = 0 as significant from fx_base, (values (5), (10)) k(k) where (user_id + k.k) % 7 <> 1), l as (select source, 'wer' as metric, {BIN.format(v='wer')} as bucket, significant from ar join j using (file_id, chunk_seconds) where wer is not null and cer is not null union all select source, 'cer', {BIN.format(v='cer')}, significant from ar join j using (file_id, chunk_seconds) where wer is not null and cer is not null)
 select source, metric, bucket, count(*) as n_judged, {ROUND2.format(c="count(*) filter (where significant) / count(*)::double")} as pct_significant from l group by 1, 2, 3""", fx=True)
 def a36_significant_share(spark, d):
-    """Share of judged files called significant, by bucket of both rates; files without a judgement are left out."""
-    rates = R.asr_rows(asr_docs(spark, d)).where("wer is not null and cer is not null and chunk_seconds = 5").select("source", "file_id", "wer", "cer")
-    judged = X.base(spark, d).where("user_id % 7 <> 1").select("file_id", F.expr("user_id % 3 = 0").alias("significant")).distinct()
+    """Share of judged transcripts called significant, by bucket of both rates; a judgement is of a file in one chunk size, and those without are left out."""
+    rates = R.asr_rows(asr_docs(spark, d)).where("wer is not null and cer is not null").select("source", "file_id", "chunk_seconds", "wer", "cer")
+    chunks = X.base(spark, d).select("file_id", "user_id", F.explode(F.array(F.lit(5), F.lit(10))).alias("chunk_seconds"))
+    judged = chunks.where("(user_id + chunk_seconds) % 7 <> 1").select("file_id", "chunk_seconds", F.expr("(user_id + chunk_seconds) % 3 = 0").alias("significant")).distinct()
     axis = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), C.tenth_bin(F.col(m)).alias("bucket")) for m in ("wer", "cer")])).alias("a")
-    rows = rates.join(judged, "file_id").select("source", axis, "significant").groupBy("source", "a.metric", "a.bucket")
+    rows = rates.join(judged, ["file_id", "chunk_seconds"]).select("source", axis, "significant").groupBy("source", "a.metric", "a.bucket")
     return rows.agg(F.count("*").alias("n_judged"), C.round_half_even(F.avg(F.col("significant").cast("double"))).alias("pct_significant"))
 
 

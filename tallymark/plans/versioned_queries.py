@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import scoring as S
+from ..sources import documents as R
 from ..sources import fixtures as X
 from ..sources import io
 from ..sources.staging import shared_folder
 from ..sources.versions import VersionedTable
 from .base import query
 from .confusion_queries import MODES, tables
+from .document_queries import PATH_PARTS
 from .named_queries import FILES, TREE
 
 
@@ -62,23 +64,27 @@ def e9_scored_on_disk(spark, d):
     return kept.read().select("run_key", "event_id", *[F.col("scored").getItem(m).alias(m) for m in ("raw", "sa", "pp_full")], "scored_version")
 
 
-def laid_out(spark, d):
-    """A small file for every path that the fixture's files have, in a folder of this call; the tasks write them."""
+def laid_out(spark, d, exprs, top):
+    """A small file for every path that the fixture's files have under ``top``, in a folder of this call; the tasks write them."""
     root = urlparse(new_folder(spark, "tree"))
     if root.scheme not in ("", "file"):
         raise ValueError("the fixture's tree of plain files needs a shared folder that is mounted (file://)")
-    paths = X.base(spark, d).select("file_id", "user_id", "language").distinct().select(F.explode(F.array(*map(F.expr, TREE))).alias("path"))
-    top = root.path
+    paths = X.base(spark, d).select("file_id", "user_id", "language").distinct().select(F.explode(F.array(*map(F.expr, exprs))).alias("path"))
+    folder = root.path
 
     def touch(rows):
         for row in rows:
-            path = top + row["path"].removeprefix("/root")
+            path = folder + row["path"].removeprefix(top)
             os.makedirs(os.path.dirname(path), exist_ok=True)
             with open(path, "wb") as file:
                 file.write(b"-")  # Spark passes over files without content
 
     paths.foreachPartition(touch)
-    return "file://" + top
+    return "file://" + folder
+
+
+def from_root(root):
+    return F.replace("path", F.lit(root.replace("file:///", "file:/")), F.lit(""))
 
 
 LISTED = f"""select file_id, replace({TREE[0]}, '/root', '') as path, language, 'platform' as category, 'TP' as original_bucket, case user_id % 2 when 0 then 'Single' else 'Multi' end as multiplicity from f
@@ -88,12 +94,24 @@ union all select file_id, replace({TREE[1]}, '/root', ''), language, 'platform',
 @query("io1_listed_tree", f"with {FILES} {LISTED}", fx=True)
 def io1_listed_tree(spark, d):
     """A tree of files laid out from the events and listed."""
-    root = laid_out(spark, d)
-    return io.dataset_files(spark, root).withColumn("path", F.replace("path", F.lit(root.replace("file:///", "file:/")), F.lit("")))
+    root = laid_out(spark, d, TREE, "/root")
+    return io.dataset_files(spark, root).withColumn("path", from_root(root))
 
 
 @query("io1_listed_part", f"with {FILES}, t as ({LISTED}) select * from t where language in ('hindi', 'tamil') and original_bucket in ('TP', 'FN')", fx=True)
 def io1_listed_part(spark, d):
     """The same tree, of which only the folders of two languages and two buckets are listed."""
-    root = laid_out(spark, d)
-    return io.dataset_files(spark, root, ["hindi", "tamil"], ["TP", "FN"]).withColumn("path", F.replace("path", F.lit(root.replace("file:///", "file:/")), F.lit("")))
+    root = laid_out(spark, d, TREE, "/root")
+    return io.dataset_files(spark, root, ["hindi", "tamil"], ["TP", "FN"]).withColumn("path", from_root(root))
+
+
+POOLED = " union all ".join(f"select replace({e}, '/data', '') as path, {i} as kind, * from f" for i, e in enumerate(PATH_PARTS))
+
+
+@query("io2_listed_pool", f"""with {FILES}, p as ({POOLED}) select case kind when 0 then file_id || '.MP3' when 1 then file_id || '.wav' else file_id || '.mp3' end as file_id, path, case when kind < 2 then language end as language, case kind when 0 then 'PlatformMove' when 1 then 'Explicit-Flirting' end as category,
+ case kind when 0 then 'TP' when 1 then case user_id % 2 when 0 then 'FP' else 'FN' end else 'TN' end as outcome, case when kind = 0 then case user_id % 3 when 0 then 'single' when 1 then 'multi' end end as multiplicity
+from p where (kind = 0 and user_id % 3 < 2 and user_id % 7 <> 3) or kind = 1 or (kind = 2 and user_id % 5 <> 2)""", fx=True)
+def io2_listed_pool(spark, d):
+    """The older layout, with one pool of clean files, laid out and listed."""
+    root = laid_out(spark, d, PATH_PARTS, "/data")
+    return R.pooled_layout(io.listed(spark, [root]), io.AUDIO).withColumn("path", from_root(root))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock
 from . import fixtures as X
-from .staging import shared_folder
+from .staging import made_from, shared_folder
 
 _written: set[str] = set()
 
@@ -87,7 +86,7 @@ def semantic_documents(b: DataFrame) -> DataFrame:
 
 def folder(spark: SparkSession, sf_dir: str, part: str) -> str:
     """Where a part of the fixture is; it is written the first time that it is asked for."""
-    root = f"{shared_folder(spark)}/{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}"
+    root = f"{shared_folder(spark)}/{made_from(spark, f'{sf_dir}/events.parquet')}"
     path = f"{root}/{part}"
     if path in _written:
         return path

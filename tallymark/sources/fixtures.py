@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import mutual_pairs, near_pairs
-from .staging import shared_folder
+from .staging import made_from, shared_folder
 
 CATEGORIES = ["PlatformMove", "SuspiciousActivity", "Explicit-Flirting"]
 RUNS = ["m1", "m2", "m3"]
@@ -72,7 +70,7 @@ _staged: set[str] = set()
 
 def staged_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files, reference flags and model flags, derived once for an application and read from the shared folder."""
-    root = f"{shared_folder(spark)}/{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}/fx"
+    root = f"{shared_folder(spark)}/{made_from(spark, f'{sf_dir}/events.parquet')}/fx"
     made = {"files": lambda: files(base(spark, sf_dir)), "gt": lambda: gt_flags(base(spark, sf_dir)), "flags": lambda: model_flags(base(spark, sf_dir))}
     if root not in _staged:
         for name, make in made.items():

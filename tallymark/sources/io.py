@@ -21,8 +21,12 @@ def dataset_files(spark: SparkSession, root: str, languages: list[str] | None =
     folders = _folders(spark, root, languages, buckets)
     if not folders:
         return layout_rows(spark.createDataFrame([], "path string"))
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path")
-    return layout_rows(paths).orderBy("path")
+    return layout_rows(listed(spark, folders)).orderBy("path")
+
+
+def listed(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The paths of all files below the folders (files without content are passed over)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path")
 
 
 def _folders(spark: SparkSession, root: str, languages: list[str] | None, buckets: list[str] | None) -> list[str]:

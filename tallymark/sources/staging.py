@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -32,6 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def made_from(spark: SparkSession, table: str) -> str:
+    """A short name for what is derived from a table: another one if the table is written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    written = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    return hashlib.md5(f"{table}|{written}".encode()).hexdigest()[:12]
+
+
 def _remove(spark: SparkSession, root: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:
