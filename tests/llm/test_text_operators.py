@@ -85,6 +85,39 @@ def test_small_groups_lean_on_their_language(spark):
     assert not got[1001]["kept"] and got[1000]["kept"] and got[1002]["kept"]
 
 
+def text_with(measure, amount, start):
+    """100 words or so, all different but for what the measure counts ``amount`` times."""
+    words = [f"w{start + i:07}" for i in range(100)]
+    if measure == "symbol":
+        return " ".join(words) + " " + "#" * amount
+    if measure == "dup_line":
+        return " ".join(words) + "\n" + "same\n" * amount
+    if measure == "repeat":
+        return " ".join(words) + "".join(f" u{start + i:07} aa bb cc" for i in range(amount))
+    return " ".join(w + "x" * (amount + (amount > 0 and i < start // 1000 % 100)) for i, w in enumerate(words))  # word_len
+
+
+@pytest.mark.parametrize(("measure", "usual"), [("symbol", 12), ("dup_line", 9), ("repeat", 25), ("word_len", 9)])
+def test_groups_judge_the_same_text_differently(spark, measure, usual):
+    """One text is usual in a source and odd in another: kept there, rejected here, by this measure; in the operator and in the pipeline's stage."""
+    import corpus_pipeline
+
+    rows = []
+    for i in range(300):
+        rows.append((i, text_with(measure, usual - 1 + i % 3, 1000 * i), "en", "code", None, "m", "b"))
+        rows.append((1000 + i, text_with(measure, 0, 1000 * i + 500), "en", "prose", None, "m", "b"))
+    probe = text_with(measure, usual, 5_000_000)
+    rows += [(5000, probe, "en", "code", None, "m", "b"), (5001, probe, "en", "prose", None, "m", "b")]
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).where("doc_id >= 5000").collect()}
+    assert [got[5000][c] for c in quality_rules.COUNTS] == [got[5001][c] for c in quality_rules.COUNTS]
+    assert got[5000]["kept"] and not got[5001]["kept"] and not got[5001]["base_failed"]
+    numerator, per, *_ = quality_rules.MEASURES[measure]
+    assert got[5001][numerator] * per // got[5001]["n_words"] > got[5001][f"{measure}_upper"]
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, "").collect()}
+    assert 5000 in kept and 5001 not in kept and len(kept) > 595
+
+
 def test_rows_that_share_an_id_are_judged_each(spark):
     rows = make_rows(100) + [(5, "one word", "en", "s1", None, "m", "b")]
     kept = quality_rules.keep_good(docs_of(spark, rows)).where("doc_id = 5").collect()
