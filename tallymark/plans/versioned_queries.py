@@ -1,15 +1,20 @@
-"""Merges that are kept on disk, and a directory tree that is listed (IO1, IO10, IO11, E9)."""
+"""Merges that are kept on disk, directory trees that are listed and recordings that are decoded (IO1, IO2, IO10, IO11, IO19, E9, SC38)."""
 
 from __future__ import annotations
 
+import io as io_
 import os
 import uuid
+import wave
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import documents as D
 from ..operators import scoring as S
+from ..sources import audio as A
 from ..sources import documents as R
 from ..sources import fixtures as X
 from ..sources import io
@@ -64,22 +69,22 @@ def e9_scored_on_disk(spark, d):
     return kept.read().select("run_key", "event_id", *[F.col("scored").getItem(m).alias(m) for m in ("raw", "sa", "pp_full")], "scored_version")
 
 
-def laid_out(spark, d, exprs, top):
-    """A small file for every path that the fixture's files have under ``top``, in a folder of this call; the tasks write them."""
+def laid_out(spark, d, exprs, top, content=lambda row: b"-"):
+    """A file for every path that the fixture's files have under ``top``, in a folder of this call; the tasks write them. Spark passes over files without content."""
     root = urlparse(new_folder(spark, "tree"))
     if root.scheme not in ("", "file"):
         raise ValueError("the fixture's tree of plain files needs a shared folder that is mounted (file://)")
-    paths = X.base(spark, d).select("file_id", "user_id", "language").distinct().select(F.explode(F.array(*map(F.expr, exprs))).alias("path"))
+    paths = X.base(spark, d).select("file_id", "user_id", "language").distinct().select("user_id", F.explode(F.array(*map(F.expr, exprs))).alias("path"))
     folder = root.path
 
-    def touch(rows):
+    def write(rows):
         for row in rows:
             path = folder + row["path"].removeprefix(top)
             os.makedirs(os.path.dirname(path), exist_ok=True)
             with open(path, "wb") as file:
-                file.write(b"-")  # Spark passes over files without content
+                file.write(content(row))
 
-    paths.foreachPartition(touch)
+    paths.foreachPartition(write)
     return "file://" + folder
 
 
@@ -115,3 +120,48 @@ def io2_listed_pool(spark, d):
     """The older layout, with one pool of clean files, laid out and listed."""
     root = laid_out(spark, d, PATH_PARTS, "/data")
     return R.pooled_layout(io.listed(spark, [root]), io.AUDIO).withColumn("path", from_root(root))
+
+
+WAV_RATE = 1600
+#: sample i of user u's recording, and how many it has, in an SQL that both engines read
+SAMPLE, SAMPLES = "((i * 37 + user_id * 11) % 201 - 100) * (20 + 130 * (i // 400 % 2))", "1600 + user_id * 37 % 1600"
+
+
+def wav_of(row):
+    u = row["user_id"]
+    i = np.arange(1600 + u * 37 % 1600)
+    made = io_.BytesIO()
+    with wave.open(made, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(WAV_RATE)
+        w.writeframes((((i * 37 + u * 11) % 201 - 100) * (20 + 130 * (i // 400 % 2))).astype("<i2").tobytes())
+    return made.getvalue() if u % 10 != 7 else b"no recording"
+
+
+def recorded(spark, d):
+    """A recording for every file of the fixture, one in ten of them broken."""
+    return A.recordings(spark, [laid_out(spark, d, ["concat('/', language, '/', file_id, '.wav')"], "", wav_of)])
+
+
+def file_of():
+    return F.regexp_extract("path", r"([^/]+)\.wav$", 1)
+
+
+PCM = f"f as (select distinct file_id, user_id from fx_base), s as (select file_id, user_id, i, {SAMPLE} / 32768.0::double as x from (select *, unnest(range(0, {SAMPLES})) as i from f) where user_id % 10 <> 7)"
+
+
+@query("io19_decoded_chunks", f"with {PCM} select file_id, (i // 800)::int as chunk, (i // 800) * 0.5::double as offset_s, count(*) as n_samples, max(abs(x)) as peak, sum(x * x) as energy, false as failed from s group by 1, 2, 3 union all select file_id, null, null, null, null, null, true from f where user_id % 10 = 7", fx=True)
+def io19_decoded_chunks(spark, d):
+    """Recordings decoded and cut into windows of half a second; a file that cannot be decoded keeps a row."""
+    c = A.chunks(recorded(spark, d), 0.5, WAV_RATE)
+    squares = F.aggregate("samples", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    return c.select(file_of().alias("file_id"), "chunk", "offset_s", F.when(F.col("samples").isNotNull(), F.size("samples").cast("long")).alias("n_samples"), F.array_max(F.transform("samples", F.abs)).cast("double").alias("peak"), squares.alias("energy"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("sc38_recorded_snr", f"with {PCM}, r as (select file_id, i // 51 as frame, 20 * log10(sqrt(avg(x * x) + 1e-12) + 1e-12) as db from s group by 1, 2 having count(*) = 51), t as (select file_id, quantile_cont(db, 0.1) as lo, quantile_cont(db, 0.9) as hi from r group by 1 having count(*) >= 10) select file_id, round(lo, 6) as noise_floor_db, round(hi, 6) as speech_level_db, round(hi - lo, 6) as snr_db from f left join t using (file_id)", fx=True)
+def sc38_recorded_snr(spark, d):
+    """Noise floor, speech level and their distance from the recordings themselves; blank for those that cannot be decoded."""
+    found = A.levels(recorded(spark, d), WAV_RATE).withColumn("file_id", file_of())
+    t = D.snr_table(found, found.where("error is null"), "file_id")
+    return t.select("file_id", *[F.round(c, 6).alias(c) for c in ("noise_floor_db", "speech_level_db", "snr_db")])
