@@ -326,3 +326,32 @@ def test_a_hot_bucket_is_dealt(spark):
     rows = S.dealt(nodes, S.tables(len(fps)), bucket=200)
     assert rows.groupBy("t", "key", "i", "j").count().agg(F.max("count")).first()[0] < 2 * 200 * 1.5
     assert S.links(nodes, bucket=200).count() < 5 * len(fps) * 15
+
+
+# --- operator 6: sums of tables ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 512])
+def test_tables_of_many_tasks_are_added_up(spark, fan_in):
+    """In one level or several, with chunks that few tasks have."""
+    import zlib
+
+    from tallymark.llm import lm_scoring as L
+
+    rng = np.random.default_rng(12)
+    packed = lambda t: zlib.compress(np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8).T), 1)
+    want, rows = {}, []
+    for task in range(20):
+        for chunk in range(5):
+            if rng.random() < 0.7 or chunk == task == 0:
+                t = rng.integers(0, 1 << 40, L._CHUNK * 2)
+                want[chunk] = want.get(chunk, 0) + t
+                rows.append((chunk, packed(t)))
+    df = spark.createDataFrame(rows, "chunk int, counts binary").repartition(20)
+    got = L._summed(df, fan_in).collect()
+    total = {}
+    for r in got:
+        total[r["chunk"]] = total.get(r["chunk"], 0) + L._chunk(r["counts"])
+    assert set(total) == set(want) and all((total[c] == want[c]).all() for c in want)
+    assert len(got) == len(want)
+    assert L._summed(df.limit(0)).count() == 0
