@@ -32,7 +32,8 @@ def closed_calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     last = lines.iloc[-1]
     is_call = not last["is_load"]
     state.update((int(run.iloc[-1]), int(last["event_id"]) if is_call else None, float(last["sec"]) if is_call else None))
-    yield found
+    if len(found):
+        yield found
 
 
 def session_stream(lines: DataFrame) -> DataFrame:
