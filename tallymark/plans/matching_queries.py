@@ -59,7 +59,14 @@ def j4_native_candidates(spark, d):
     return M.scored_candidates(side(gt), side(flags), native=True)
 
 
-@query("j5_greedy_assignment")
+#: candidates from the highest score down, each taken if both its flags are free
+GREEDY = """
+ls as (select run_key, file_id, list({'gs': [gi], 'ms': [mi], 'ss': [score]} order by score desc, gi, mi) as e from pairs group by 1, 2),
+rd as (select run_key, file_id, list_reduce(e, lambda a, x: case when list_has_any(a.gs, x.gs) or list_has_any(a.ms, x.ms) then a else {'gs': list_concat(a.gs, x.gs), 'ms': list_concat(a.ms, x.ms), 'ss': list_concat(a.ss, x.ss)} end) as p from ls)
+select run_key, file_id, unnest(p.gs) as gi, unnest(p.ms) as mi, unnest(p.ss) as score from rd"""
+
+
+@query("j5_greedy_assignment", f"with {PAIRS.strip()}, {GREEDY.strip()}", fx=True)
 def j5_greedy_assignment(spark, d):
     return M.assign(candidates(spark, d), M.greedy_pairs)
 

@@ -147,7 +147,11 @@ def sc24_short_id(spark, d):
     return long.select("long_id", C.short_id(F.col("long_id")).alias("short_id"))
 
 
-@query("sc27_stable_shard")
+#: CRC-32 bit by bit
+CRC32 = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(file_id, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"
+
+
+@query("sc27_stable_shard", f"select file_id, ({CRC32} % 4)::bigint as shard from (select distinct file_id from fx_base)", fx=True)
 def sc27_stable_shard(spark, d):
     return X.base(spark, d).select("file_id").distinct().select("file_id", (F.crc32(F.col("file_id").cast("binary")) % 4).alias("shard"))
 
