@@ -74,7 +74,7 @@ def sc10_wire_flags(spark, d):
     return wires(spark, d).select("event_id", flags.alias("d")).select("event_id", F.size("d").alias("n_flags"), F.get("d", F.lit(0)).getField("f").alias("first_category"))
 
 
-@query("sc8_lenient_json")
+@query("sc8_lenient_json", f"select event_id, case event_id % 5 when 2 then '[' || row_ || ',' || row_ || ']' when 3 then '{{\"other\":1}}' when 4 then null else '{{\"d\":[' || row_ || ']}}' end as value from (select *, {WIRE_ROW} as row_ from fx_base)", fx=True)
 def sc8_lenient_json(spark, d):
     w = wires(spark, d).withColumn("raw", F.concat("raw", F.lit(" trailing words")))
     return w.select("event_id", U.lenient_json("raw").alias("value"))
