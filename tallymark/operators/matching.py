@@ -82,25 +82,27 @@ def content_similarity(gt: Column, flag: Column, gt_text: Column | None = None,
     return F.greatest(by_vector, by_text)  # null is no contender
 
 
-def scored_candidates(gt: DataFrame, flags: DataFrame, seconds: float = 60.0, native: bool = False) -> DataFrame:
+def scored_candidates(gt: DataFrame, flags: DataFrame, content: Column | None = None, seconds: float = 60.0, native: bool = False) -> DataFrame:
     """Pairs of one file within the time window, or with a flag at a chunk border, and their combined score.
 
     Both tables bring ``vec``, the content's vector, and with ``native`` also ``excerpt`` and the
     flags their ``language``. Vectors get length 1 once a flag and travel with it into the
     join, so that a pair costs one dot product and no look-up. Pairs whose content is less alike
     than ``MIN_CONTENT`` are no candidates. A flag at a chunk border has no usable time and
-    meets all reference flags of its file.
+    meets all reference flags of its file. ``content``, a similarity in [0, 1] over columns gi and
+    mi, takes the place of vectors and excerpts.
     """
-    of_gt = {"gv": unit(F.col("vec"))} | ({"gx": F.col("excerpt")} if native else {})
-    of_flag = {"mv": unit(F.col("vec"))} | ({"mx": F.col("excerpt"), "ml": F.col("language")} if native else {})
+    of_gt = {} if content is not None else {"gv": unit(F.col("vec"))} | ({"gx": F.col("excerpt")} if native else {})
+    of_flag = {} if content is not None else {"mv": unit(F.col("vec"))} | ({"mx": F.col("excerpt"), "ml": F.col("language")} if native else {})
     more = lambda columns: [c.alias(n) for n, c in columns.items()]
     unknown = at_chunk_border(F.col("t_sec").cast("double"))
     near = near_pairs(gt, flags.where(~unknown), seconds, of_gt, of_flag).withColumn("known", F.lit(True))
     g = gt.select("file_id", F.col("category").alias("gc"), F.col("event_id").alias("gi"), *more(of_gt))
     f = flags.where(unknown).select("run_key", "file_id", F.col("category").alias("mc"), F.col("event_id").alias("mi"), *more(of_flag))
     anywhere = f.join(g, "file_id").withColumns({"delta": F.lit(0.0), "known": F.lit(False)})
-    texts = (F.col("gx"), F.col("mx"), F.col("ml")) if native else ()
-    pairs = near.unionByName(anywhere).withColumn("content", content_similarity(F.col("gv"), F.col("mv"), *texts)).where(F.col("content") >= MIN_CONTENT)
+    if content is None:
+        content = content_similarity(F.col("gv"), F.col("mv"), *((F.col("gx"), F.col("mx"), F.col("ml")) if native else ()))
+    pairs = near.unionByName(anywhere).withColumn("content", content).where(F.col("content") >= MIN_CONTENT)
     bonus = F.when(F.col("gc") == F.col("mc"), CATEGORY_BONUS).otherwise(-CATEGORY_BONUS)
     score = WEIGHT_CONTENT * F.col("content") + WEIGHT_TIME * time_decay(F.col("delta"), F.col("known")) + bonus
     return pairs.select("run_key", "file_id", "gi", "mi", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
