@@ -6,7 +6,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
-from ..operators import samples as Q
 from ..operators import timing as T
 from ..sources import fixtures as X
 from .base import query
@@ -178,49 +177,6 @@ def l5_dev_set(spark, d):
     return c.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota).select("file_id", "language", "stratum", "place")
 
 
-CATEGORIES3 = ["PlatformMove", "SuspiciousActivity", "Explicit-Flirting"]
-
-
-def dev_files(spark, d):
-    """Signals of every file up to the 90th percentile of duration: reference flags by category, and how many of the runs flag it and get it right."""
-    files, gt, flags = tables(spark, d)
-    seg = X.segments(X.base(spark, d))
-    p90 = seg.agg(F.percentile("duration_s", 0.9).alias("p90"))
-    g = gt.groupBy("file_id").agg(F.count("*").alias("gt_flag_count"), F.collect_set("category").alias("gt_categories"))
-    raised = flags.select("run_key", "file_id").distinct().withColumn("flagged", F.lit(1))
-    n = files.join(raised, ["run_key", "file_id"], "left").groupBy("file_id", "language").agg(F.count("*").alias("n_runs"), F.count("flagged").alias("n_flagged"))
-    kept = n.join(seg, "file_id").crossJoin(F.broadcast(p90)).where("duration_s <= p90").join(g, "file_id", "left")
-    kept = kept.withColumns({"gt_flag_count": F.coalesce("gt_flag_count", F.lit(0)), "positive": F.col("gt_categories").isNotNull()})
-    return kept.withColumn("n_correct", F.when(F.col("positive"), F.col("n_flagged")).otherwise(F.col("n_runs") - F.col("n_flagged")))
-
-
-def dev_set(spark, d):
-    has = lambda c: F.array_contains("gt_categories", c)
-    few, most = F.col("n_correct") * 8 <= F.col("n_runs") * 3, F.col("n_flagged") * 8 >= F.col("n_runs") * 3
-    slots = [Q.Slot(f"positive: {c}", 1, True, has(c)) for c in CATEGORIES3] + [
-        Q.Slot("positive: hard miss", 2, True, few), Q.Slot("negative: hard clean", 3, False, most), Q.Slot("negative: easy clean", 2, False, F.col("n_flagged") * 8 <= F.col("n_runs")),
-    ]
-    # most disagreement first, then by a seeded digest
-    order = [F.abs(2 * F.col("n_correct") - F.col("n_runs")), F.md5(F.concat(F.lit("42|"), "file_id")), F.col("file_id")]
-    return Q.by_quota(dev_files(spark, d), "language", "file_id", F.col("positive"), slots, order)
-
-
-@query("l5_dev_set_filled")
-def l5_dev_set_filled(spark, d):
-    """Five positive and five negative files a language by slots; a slot without candidates is filled from the nearest one, with the reason."""
-    return dev_set(spark, d)
-
-
-@query("l5_dev_set_checks")
-def l5_dev_set_checks(spark, d):
-    """Whether the chosen set holds five positives of each category, 30 reference flags and ten files with more than one."""
-    chosen = dev_set(spark, d).join(dev_files(spark, d).drop("language"), "file_id")
-    has = lambda c: F.count_if(F.array_contains("gt_categories", c))
-    n = chosen.agg(*[has(c).alias(c) for c in CATEGORIES3], F.sum("gt_flag_count").alias("flags"), F.count_if(F.col("gt_flag_count") > 1).alias("multi"))
-    check = lambda name, c, least: F.struct(F.lit(name).alias("condition"), F.col(c).cast("long").alias("n"), (F.col(c) >= least).alias("holds"))
-    return n.select(F.inline(F.array(*[check(f"files with {c}", c, 5) for c in CATEGORIES3], check("reference flags", "flags", 30), check("files with several", "multi", 10))))
-
-
 @query("l6_round_robin_head", "with r as (select event_id, category, row_number() over (partition by category order by event_id) as place from fx_base), k as (select *, row_number() over (order by place, category) as turn from r where place <= 4) select event_id, category, turn from k where turn <= 9", fx=True)
 def l6_round_robin_head(spark, d):
     """The first files of each bucket, bucket by bucket in turn, up to nine in all."""

@@ -91,6 +91,11 @@ def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     rows.select(*columns).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_once(rows: DataFrame, path: str) -> None:
+    """A CSV that stays as it is: a second write to the same path is an error."""
+    rows.write.mode("errorifexists").option("header", "true").csv(path)
+
+
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

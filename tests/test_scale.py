@@ -383,3 +383,11 @@ def test_prompt_files(spark, tmp_path):
     (tmp_path / "other.py").write_text("def get_prompt():\n    return 'direct'\n")
     got = sorted((r["name"], r["version"], r["text"]) for r in readers.read_prompts(spark, str(tmp_path)).collect())
     assert got == [("other.py", None, "direct"), ("prompt_v3.txt", "v3", "plain\n{x}"), ("prompt_v8.py", "v8", "Judge\nthe call")]
+
+
+def test_a_frozen_set_is_not_written_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "file string, place int")
+    io.write_once(rows, str(tmp_path / "v1"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        io.write_once(rows, str(tmp_path / "v1"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "v1")).collect()[0]["place"] == "1"
