@@ -21,8 +21,9 @@ Defined cases: null text counts as empty text and has only the shape marks of an
 text; ratings of unknown documents, null ratings and null doc_ids are not used; of
 several ratings of a document the least counts; without ratings of two grades at least
 the expected grade is the only grade known (0 without any) and the tail probability 1
-or 0 accordingly; repeated rows are scored each; an empty table gives an empty result;
-extra columns are ignored.
+or 0 accordingly; a tail probability of exactly one half is kept; texts of any length are
+read whole; repeated rows are scored each; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations

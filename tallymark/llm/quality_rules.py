@@ -16,8 +16,10 @@ else it is ``FAR`` times the distance of the 99th (or 1st) percentile, plus the
 slack of a measure is what one chance event adds in a text of ``MIN_WORDS`` words.
 
 Defined cases: null or empty text has no words and fails the base rule; null language
-or source forms a group of its own; repeated rows count once each; an empty table
-gives an empty result; columns beyond the needed ones are ignored.
+or source forms a group of its own; repeated rows count once each; texts of any length are
+read whole; a value equal to a limit is within it, and one of exactly MIN_WORDS words or
+MAX_REPEAT_PERCENT passes the base rule; an empty table gives an empty result; columns beyond
+the needed ones are ignored.
 """
 
 from __future__ import annotations
