@@ -373,6 +373,50 @@ def test_bits_of_words_are_a_distribution():
     assert prefix.sum() < 1 and longer.sum() + prefix[97] < 1
 
 
+def test_common_beginnings_are_counted_for_every_word():
+    rnd = random.Random(5)
+    words = [bytes(rnd.choices(b"ab\x00\xff", k=rnd.randrange(6))) for _ in range(400)]
+    times = np.array([rnd.randrange(1, 5) for _ in words])
+    for order in (range(400), sorted(range(400), key=words.__getitem__)):
+        want = Counter()
+        for i in order:
+            for n in range(len(words[i]) + 1):
+                want[(words[i] + b" ")[: n + 1]] += times[i]
+        got = list(lm_scoring.prefixes([words[i] for i in order], times[list(order)]))
+        assert sum(int(m.sum()) for _, _, m in got) == sum(want.values())
+    assert sorted(int(m) for _, _, t in got for m in t) == sorted(want.values())  # of sorted words, once each
+
+
+def test_spelling_is_fitted_on_every_training_word(spark):
+    """Weights and refinement are those of all distinct training words, however many, long or dealt over tasks."""
+    L = lm_scoring
+    rnd = random.Random(22)
+    word = lambda: "".join(rnd.choice(["ka", "to", "ri", "é", "sh", "un", "9", "-"]) for _ in range(rnd.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(150)), "en", "s", None, "", "") for i in range(300)]
+    rows += [(1000 + i, "z".join(word() for _ in range(100)), "en", "s", None, "", "") for i in range(40)]  # words of more than 200 bytes
+    rows += [(2000 + i, "xx" + word() + word(), "en", "s", None, "", "") for i in range(200)]
+    known, ends, fresh = Counter(), 0, 0
+    for i, text, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            words = text.encode().split()
+            known.update(words)
+            ends, fresh = ends + 1, fresh + sum(c == 4 for c in slow_decisions(words)[1])
+    words = sorted(known)
+    assert len(words) > 22_000 and sum(len(w) > 200 for w in words) > 20
+    one = np.ones(len(words), np.int64)
+    table = np.zeros((len(L.ORDERS), 1 << L._bits_for(len(words) * 8), 2), np.int64)
+    L.count_bits(words, one, table)
+    mixer = L.train_mixer(words, one, table)
+    unknown = {i: t.encode() for i, t, *_ in rows if " " not in t and t.encode() not in known}
+    bits = dict(zip(unknown, L.word_bits(list(unknown.values()), mixer)))
+    n, once = sum(known.values()) + ends, sum(c == 1 for c in known.values())
+    p_end = (ends + 1) / (n + 2)
+    fixed = math.log10((once + 1) / (fresh + 2)) + math.log10(1 - p_end) + math.log10(p_end)
+    for parts in (1, 7):
+        got = {r["doc_id"]: r["score"] for r in L.score_documents(docs_of(spark, rows).repartition(parts)).collect()}
+        assert len(bits) > 10 and all(abs(got[i] - fixed - b) < 1e-9 for i, b in bits.items())
+
+
 def test_packing():
     ids = np.array([0, 5, 900_000, 5])
     assert (lm_scoring.unpack(lm_scoring.pack(ids)) == ids).all() and len(lm_scoring.unpack(lm_scoring.pack(ids[:0]))) == 0
