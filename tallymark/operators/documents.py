@@ -84,7 +84,8 @@ def context_lines(segments: Column, full_text: Column, center: Column, excerpt:
     """
     words = F.filter(F.split(excerpt, sep), lambda w: F.length(w) >= 3)
     near = lambda s: F.coalesce(F.abs(clock_seconds(s["t"]) - center) <= seconds, F.lit(False))
-    picked = F.filter(segments, lambda s: near(s) | F.exists(words, lambda w: F.contains(s["text"], w)))
+    # words are bound by a lambda, so that they are computed once and not once a segment
+    picked = F.get(F.transform(F.array(words), lambda found: F.filter(segments, lambda s: near(s) | F.exists(found, lambda w: F.contains(s["text"], w)))), F.lit(0))
     chosen = F.when((F.length(full_text) <= limit) | (F.size(picked) == 0), segments).otherwise(picked)
     lines = F.array_join(F.transform(chosen, lambda s: F.concat(F.lit("["), s["t"], F.lit("] "), s["text"])), "\n")
     return F.when(F.size(segments) == 0, full_text).otherwise(lines)
