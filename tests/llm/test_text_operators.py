@@ -453,6 +453,20 @@ def slow_decisions(words):
     return rows, coded, slot
 
 
+def test_decisions_do_not_depend_on_the_numbers_of_words():
+    """Word 0 of a block is a word like the others, not the lack of one."""
+    L = lm_scoring
+    rnd = random.Random(31)
+    vocabulary = [b"w%d" % i for i in range(4)]
+    texts = [rnd.choices(vocabulary, k=rnd.randrange(12)) for _ in range(300)]
+    doc, place = L.placed(np.array([len(t) for t in texts]))
+    want = sorted((first + t, kind, bit, *contexts) for first, text in zip(np.cumsum([0, *map(len, texts)]).tolist(), texts) for t, kind, bit, contexts in slow_decisions(text)[0])
+    for words in (vocabulary, vocabulary[::-1]):
+        ids = np.array([words.index(w) for text in texts for w in text], np.int32)
+        d = L.decide(ids, doc, place, L.word_hashes(np.array([zlib.crc32(w) for w in words])))
+        assert sorted(zip(d.token.tolist(), d.kind.tolist(), d.bit.astype(int).tolist(), *d.context.tolist())) == want
+
+
 def test_score_equals_a_slow_model(spark):
     """The whole score, decision by decision in plain Python; only the spelling of unknown words is taken from the operator."""
     L = lm_scoring
