@@ -387,6 +387,20 @@ def test_common_beginnings_are_counted_for_every_word():
     assert sorted(int(m) for _, _, t in got for m in t) == sorted(want.values())  # of sorted words, once each
 
 
+def test_words_that_begin_alike_are_met_by_one_task(spark):
+    """Each word once, in order, and no beginning in two tasks but at a border; only words without count come with every row."""
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choices("abc", k=rnd.randrange(1, 9))).encode() for _ in range(3000)})
+    times = {w: rnd.randrange(3) for w in words}
+    rows = [(b, i, w, times[w] * (b == 2)) for b in range(3) for i, w in enumerate(rnd.sample(words, len(words)))]
+    owned = lm_scoring.owned_words(spark.createDataFrame(rows, "block long, lid int, word binary, times long").repartition(5))
+    parts = [[(r["c"], bytes(r["word"])) for r in p if r["word"] is not None] for p in owned.rdd.glom().collect()]
+    parts = [p for p in parts if p]
+    got = [x for p in sorted(parts, key=lambda p: p[0][1]) for x in p]
+    assert got == [(times[w], w) for w in words for _ in range(1 if times[w] else 3)]
+    assert sorted((r["block"], r["lid"], r["crc"], r["c"]) for r in owned.collect()) == sorted((b, i, zlib.crc32(w), times[w]) for b, i, w, _ in rows)
+
+
 def test_spelling_is_fitted_on_every_training_word(spark):
     """Weights and refinement are those of all distinct training words, however many, long or dealt over tasks."""
     L = lm_scoring
